@@ -24,7 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "_h", "text", "label")
 
 
-def train_once(sample: DataFrame, features: Callable, train: Callable[[list, np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray] | None:
+def train_once(sample: DataFrame, features: Callable, train: Callable[[list, np.ndarray], dict[str, np.ndarray]], kind: pa.DataType = pa.int64()) -> dict[str, np.ndarray] | None:
     """features: (data, offsets) -> a list with each row's features; train: (them, labels) -> arrays.
 
     Features are made where the texts are; the sample is bounded, so one task can learn from it. None without rows.
@@ -32,18 +32,18 @@ def train_once(sample: DataFrame, features: Callable, train: Callable[[list, np.
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.gathered(batches, 1 << 20):
             got = features(*common.utf8(common.one(t.column("text"))))
-            yield pa.RecordBatch.from_arrays([common.one(t.column("_h")), pa.array([pack(x) for x in got], pa.binary()), common.one(t.column("label")).cast(pa.int64())], names=["h", "x", "label"])
+            yield pa.RecordBatch.from_arrays([common.one(t.column("_h")), pa.array([pack(x) for x in got], pa.binary()), common.one(t.column("label")).cast(kind)], names=["h", "x", "label"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(h, x, y) for b in batches for h, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         if found:
             found.sort(key=lambda r: (r[0], r[1]))
-            model = train([unpack(r[1]) for r in found], np.array([r[2] for r in found], np.int64))
+            model = train([unpack(r[1]) for r in found], np.array([r[2] for r in found]))
             yield pa.RecordBatch.from_arrays([pa.array([pack(model)], pa.binary())], names=["model"])
 
     common.small_batches(sample.sparkSession)
-    made = sample.mapInArrow(make, "h long, x binary, label long")
-    got = made.coalesce(1).mapInArrow(learn, "model binary").collect()
+    made = sample.mapInArrow(make, f"h long, x binary, label {'string' if pa.types.is_string(kind) else 'long'}")
+    got = made.repartition(1).mapInArrow(learn, "model binary").collect()  # the sample alone moves
     return unpack(bytes(got[0]["model"])) if got else None
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, learning, quality, toxicity
+from . import common, context_mixing, fingerprint, langid, learning, packing, quality, shingle_join, suffix_dedup, toxicity
+
+LOG2_10 = math.log2(10)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +37,46 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", learning.held(F.col("doc_id"), 3, 1).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(common.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.plain(common.table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
+    model = langid.language_model(docs.where(~learning.held(F.col("doc_id"), 4, 2)))
+    out = langid.languages(docs, model)
+    return out.select("doc_id", learning.held(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), length=400, keep_text=False).drop("kept_text")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir).withColumn("held", learning.held(F.col("doc_id"), 10, 0))
+    out = context_mixing.mixing_scores(docs)
+    return out.drop("n_bytes").withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * LOG2_10 / F.col("n_bytes")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokenizer_spec(), keep_ids=False).drop("ids")
+
+
+def tokenizer_spec(path: str | None = None) -> str:
+    """A tokenizer's JSON; by default the public one that the packing query names."""
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op6_language_id": op6_language_id,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_packing": op10_packing,
 }
 #: None of these methods has a form in SQL; tests/llm hold them against brute force, round trips or held-out labels.
 ORACLES: dict[str, str] = {}
