@@ -82,16 +82,16 @@ def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth
     return place, block
 
 
-def shared_starts(strings: list[np.ndarray], depth: int, per_shard: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """String numbers and positions of all substrings of length depth that occur at least twice among the strings."""
+def shared_starts(strings: list[np.ndarray], depth: int, per_shard: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String numbers, positions and blocks (equal: the same substring) of substrings of length depth that occur twice."""
     parts = [strings[i : i + per_shard] for i in range(0, len(strings), per_shard)]
     shards = [shard(p) for p in parts]
     place, block = merged_blocks(shards, depth)
     twice = np.bincount(block, minlength=1)[block] > 1
-    hit = place[twice]
+    hit, of_block = place[twice], block[twice]
     size = np.array([len(s) + 1 for s in strings], np.int64)
     begin = np.cumsum(size) - size
     base = np.cumsum([0, *[sum(len(s) + 1 for s in p) for p in parts]])
     text = np.concatenate([s[0] + o for s, o in zip(shards, base[:-1].tolist(), strict=True)])[hit]  # places to positions
     of = np.searchsorted(begin, text, "right") - 1
-    return of, text - begin[of]
+    return of, text - begin[of], of_block

@@ -1,8 +1,9 @@
 """Language-model scoring: online logistic mixing of hashed-context bit predictors.
 
 A text is its words in lower case (A-Z) and one end. Words that make up 2**-16 or more of the training tokens, the end
-and an escape have Huffman codes; other words are an escape and their bytes, each with a Huffman code, and a stop. Every
-bit of a code is predicted from several hashed contexts (for words: the code so far, with no, one and two words before;
+and an escape have Huffman codes; any other word is an escape and then, with the share of training tokens that Good and
+Turing's rule gives to new words, its bytes, each with a Huffman code, and a stop, or else its share of the counts of
+rare words. Every bit of a code is predicted from several hashed contexts (for words: the code so far, with no, one and two words before;
 for bytes: with one to four bytes before). A predictor's counts give a log odds; a gate, by how often the contexts were
 seen, picks the weights that mix them; an adaptive table refines the mix. All is learned online: each chunk of training
 text is predicted, then moves the weights, then joins the counts. Tasks learn side by side; counts add up, weights are
@@ -228,7 +229,7 @@ def _packed(t: pa.Table, shards: int) -> pa.Table:
     return pa.Table.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in names]))
 
 
-COUNTED = "block int, shard int, counts binary, distinct long, hashes binary"
+COUNTED = "block int, shard int, counts binary, distinct long, once long, hashes binary"
 
 
 def _counted(t: pa.Table, least: float) -> pa.Table:
@@ -241,9 +242,9 @@ def _counted(t: pa.Table, least: float) -> pa.Table:
     often = total >= max(least, 1)
     shard = t.column("shard")[0].as_py()
     back = total[which]
-    rows = [(b, shard, back[x:y].tobytes(), None, None) for b, x, y in zip(t.column("block").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    rows.append((-1, shard, total[often].tobytes(), int((total > 0).sum()), uniq[often].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+    rows = [(b, shard, back[x:y].tobytes(), None, None, None) for b, x, y in zip(t.column("block").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    rows.append((-1, shard, total[often].tobytes(), int((total > 0).sum()), int((total == 1).sum()), uniq[often].tobytes()))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in COUNTED.split(", ")])
 
 
@@ -284,6 +285,9 @@ def _score_block(model: Model, row: dict, counts: np.ndarray, n: int, v: int) ->
         e = tok.example[part]
         slots, bit, of = model.byte_bits(tok.w.lower, tok.w.start[e], tok.w.end[e])
         spelled[part] = np.bincount(of, model.bytes.logs(slots, bit), minlength=len(part))
+    # a rare word is one of the known ones, by its count, or a new one, by its spelling
+    known_share = (1 - model.new) * counts[rare] / max(1, model.rare)
+    spelled[rare] = np.log10(known_share + model.new * 10 ** np.maximum(spelled[rare], -290))
     symbol = np.full(len(tok.hash), END)
     symbol[~tok.is_end] = symbols[tok.which]
     score = np.zeros(len(symbol))
@@ -324,7 +328,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     words = packed.where("shard is not null").select("block", "shard", "hashes", "counts")
     counted = common.stored(words.groupBy("shard").applyInArrow(lambda t: _counted(t, least), COUNTED), "counts")
     # at most 2**COMMON words are that common, which bounds what the driver gets
-    tops = counted.where("block = -1").select("distinct", "hashes", "counts").collect()
+    tops = counted.where("block = -1").select("distinct", "once", "hashes", "counts").collect()
     hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in tops] or [np.zeros(0, np.uint64)])
     often = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in tops] or [np.zeros(0, np.int64)])
     order = np.argsort(hashes)
@@ -332,7 +336,9 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     spelling = _spelling(texts)
     ends = src.where(~F.col("held")).count()
     v = sum(r["distinct"] for r in tops) + (ends > 0)
-    word_code = huffman(np.concatenate([[ends, max(0, n - ends - int(often.sum()))], often]))
+    rare = max(0, n - ends - int(often.sum()))
+    new = min(1.0, (sum(r["once"] for r in tops) + 1) / (rare + 1)) if least >= 1 or rare else 1.0  # Good and Turing's share of new words
+    word_code = huffman(np.concatenate([[ends, rare], often]))
     byte_code = huffman(spelling)
     given = spark.sparkContext.broadcast((hashes, word_code, byte_code))
 
@@ -376,7 +382,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not kept:
             kept.append(Model(*given.value, learned.value))
-            kept[0].ends = ends
+            kept[0].ends, kept[0].rare, kept[0].new = ends, rare, new
         right = right.sort_by("shard")
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
         return pa.Table.from_batches([_score_block(kept[0], r, counts, n, v) for r in left.to_pylist()])

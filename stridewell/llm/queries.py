@@ -55,7 +55,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir).withColumn("held", learning.held(F.col("doc_id"), 10, 0))
     out = context_mixing.mixing_scores(docs)
-    return out.drop("n_bytes").withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * LOG2_10 / F.col("n_bytes")))
+    return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * LOG2_10 / F.col("n_bytes"))).drop("n_bytes")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

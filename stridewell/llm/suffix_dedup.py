@@ -80,15 +80,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nd
     p, row = anchors(sums, offsets, length)
     around = (length - ANCHOR) // 2
     core = length - around
-    out = []
-    for cls in (0, 1):
-        c = p - around * cls
-        a = np.minimum(around, c - offsets[row])
-        b = np.minimum(around, offsets[row + 1] - c - core)
-        ok = (a >= 0) & (b >= 0) & (a + b >= around)
-        c, a, b, r = c[ok], a[ok], b[ok], row[ok]
-        out.append((r, c, a, b, _hashes(sums, c, c + core), _hashes(sums, c - a, c + core + b) ^ tk.mix(a.astype(np.uint64) + np.uint64(99))))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else ()
+    # a core may belong to two anchors: to one as its first class, to the other as its second
+    c, first = np.unique(np.concatenate([p, p - around]), return_index=True)
+    row = np.concatenate([row, row])[first]
+    a = np.minimum(around, c - offsets[row])
+    b = np.minimum(around, offsets[row + 1] - c - core)
+    ok = (a >= 0) & (b >= 0) & (a + b >= around)
+    c, a, b, row = c[ok], a[ok], b[ok], row[ok]
+    return row, c, a, b, _hashes(sums, c, c + core), _hashes(sums, c - a, c + core + b) ^ tk.mix(a.astype(np.uint64) + np.uint64(99))
 
 
 def _joined(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +102,7 @@ def _joined(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[at], z[np.append(at[1:], len(a)) - 1]
 
 
-OCCURS = "doc long, key long, same long, count int, start long, before int, after int, stretch binary"
+OCCURS = "doc long, key long, same long, count int, start long, before int, after int"
 
 
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
@@ -142,39 +141,35 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                 s2 = np.maximum(np.repeat(s, k), offs[of2])
                 z2 = np.minimum(np.repeat(z, k), offs[of2 + 1])
                 m, t = len(at), len(of2)
-                blank = pa.nulls(m, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + r[at]]), pa.array(key[at].view(np.int64)), pa.array(same[at].view(np.int64)), pa.array(np.minimum(count, 2).astype(np.int32)), pa.array(c[at] - offs[r[at]]), pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32)), blank], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + r[at]]), pa.array(key[at].view(np.int64)), pa.array(same[at].view(np.int64)), pa.array(np.minimum(count, 2).astype(np.int32)), pa.array(c[at] - offs[r[at]]), pa.array(a[at].astype(np.int32)), pa.array(b[at].astype(np.int32))], names=names)
                 if t:
                     z0 = pa.nulls(t, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + of2]), z0, z0, pa.nulls(t, pa.int32()), pa.array(s2 - offs[of2]), pa.array((z2 - s2).astype(np.int32)), pa.nulls(t, pa.int32()), pa.nulls(t, pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + of2]), z0, z0, pa.nulls(t, pa.int32()), pa.array(s2 - offs[of2]), pa.array((z2 - s2).astype(np.int32)), pa.nulls(t, pa.int32())], names=names)
 
     return docs.mapInArrow(run, OCCURS)
 
 
-STRETCH = "core long, key long, same long, bytes binary, before int, around int, shift int, count long, root_key long, root_same long"
-
-
 def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (doc, start, before, after, key, same, count) with the bytes of the stretch."""
     around = (length - ANCHOR) // 2
     core = length - around
     small = wanted.count() <= MOST_BROADCAST
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "before", "after", "key", "same", "count")).alias("w"))
-    joined = docs.join(F.broadcast(lists) if small else lists, "doc").select("text", "w")
+    joined = docs.join(F.broadcast(lists) if small else lists, "doc").select("text", "w", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, w, doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = (text or "").encode()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([x["key"] for x in w], pa.int64()), pa.array([x["same"] for x in w], pa.int64()),
                     pa.array([raw[x["start"] - x["before"] : x["start"] + core + x["after"]] for x in w], pa.binary()),
-                    pa.array([x["before"] for x in w], pa.int32()), pa.array([x["count"] for x in w], pa.int64()),
-                ], names=["key", "same", "bytes", "before", "count"])
+                    pa.array([x["before"] for x in w], pa.int32()), pa.array([x["count"] for x in w], pa.int64()), pa.array([doc] * len(w), pa.int64()), pa.array([x["start"] for x in w], pa.int64()),
+                ], names=["key", "same", "bytes", "before", "count", "doc", "start"])
 
-    got = joined.mapInArrow(run, "key long, same long, bytes binary, before int, count long")
+    got = joined.mapInArrow(run, "key long, same long, bytes binary, before int, count long, doc long, start long")
     got = got.dropDuplicates(["key", "same"])
-    return got.select("key", "same", "bytes", "before", F.lit(around).alias("around"), F.lit(0).alias("shift"), "count", F.col("key").alias("root_key"), F.col("same").alias("root_same"))
+    return got.select("key", "same", "bytes", "before", F.lit(around).alias("around"), F.lit(0).alias("shift"), "count", "doc", "start", F.col("key").alias("root_key"), F.col("same").alias("root_same"))
 
 
 FOUND = "root_key long, root_same long, low int, high int"
@@ -184,9 +179,13 @@ def _by_transform(t: pa.Table, length: int) -> pa.Table:
     """Of a core's stretches: the first and last window, counted back from the first core's start, that repeat."""
     raw = [np.frombuffer(x, np.uint8) for x in t.column("bytes").to_pylist()]
     order = sorted(range(len(raw)), key=lambda i: raw[i].tobytes())
-    of, at = bwt.shared_starts([raw[i] for i in order], length)
-    before, shift = (t.column(c).to_numpy() for c in ("before", "shift"))
-    row = np.array(order)[of] if len(of) else of
+    of, at, block = bwt.shared_starts([raw[i] for i in order], length)
+    before, shift, doc, start, count = (t.column(c).to_numpy() for c in ("before", "shift", "doc", "start", "count"))
+    row = np.array(order, np.int64)[of]
+    # stretches of one text may overlap and hold the same window, which then is there once
+    place = np.unique(np.column_stack([block, doc[row], start[row] - before[row] + at]), axis=0)[:, 0]
+    real = (np.bincount(place, minlength=1 + block.max(initial=0)) > 1) | (np.bincount(block, count[row] > 1, minlength=1 + block.max(initial=0)) > 0)
+    row, at = row[real[block]], at[real[block]]
     j = before[row] + shift[row] - at
     low, high = np.full(len(raw), 1 << 30), np.full(len(raw), -1)
     np.minimum.at(low, row, j)
@@ -214,7 +213,7 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
                         continue
                     raw = r["bytes"][a:z]
                     h = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in (r["bytes"][c : c + size] + bytes([cut > 0]), raw + (c - a).to_bytes(4, "little"))]
-                    out.append({"key": h[0] ^ now, "same": h[1], "bytes": raw, "before": c - a, "around": now, "shift": r["shift"] + cut, "count": r["count"], "root_key": r["root_key"], "root_same": r["root_same"]})
+                    out.append({"key": h[0] ^ now, "same": h[1], "bytes": raw, "before": c - a, "around": now, "shift": r["shift"] + cut, "count": r["count"], "doc": r["doc"], "start": r["start"] - cut, "root_key": r["root_key"], "root_same": r["root_same"]})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=b.schema)
 
@@ -235,13 +234,14 @@ def _different(rows: DataFrame, length: int) -> DataFrame:
         if many.isEmpty():
             return found
         halves = common.stored(_split(many, length), "halves")
-        alike = halves.groupBy("key", "same").agg(F.sum("count").alias("all"), F.min(F.struct("root_key", "root_same")).alias("first"))
+        apart = halves.groupBy("key", "same", "doc", "start").agg(F.max("count").alias("count"), F.min(F.struct("root_key", "root_same")).alias("first"))
+        alike = apart.groupBy("key", "same").agg(F.sum("count").alias("all"), F.min("first").alias("first"))
         marked = common.stored(halves.join(alike, ["key", "same"]), "alike")
         # equal stretches repeat whole: all windows that fit
         fits = F.col("around") - (F.length("bytes") - F.lit(length) + F.col("around") - F.col("before"))
         whole = marked.where("all > 1").select("root_key", "root_same", (F.greatest(fits, F.lit(0)) + F.col("shift")).cast("int").alias("low"), (F.col("before") + F.col("shift")).cast("int").alias("high"))
         found = found.union(whole)
-        one = marked.where((F.col("first.root_key") == F.col("root_key")) & (F.col("first.root_same") == F.col("root_same")))
+        one = marked.where((F.col("first.root_key") == F.col("root_key")) & (F.col("first.root_same") == F.col("root_same"))).dropDuplicates(["key", "same"])
         kinds = one.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
         rows = one.join(kinds, "key").withColumn("count", F.col("all")).select(halves.columns)
 
@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     around = (length - ANCHOR) // 2
     core = length - around
-    occurs = common.stored(_occurrences(docs, length).drop("stretch"), "stretches")
+    occurs = common.stored(_occurrences(docs, length), "stretches")
     keyed = occurs.where("key is not null")
     alike = keyed.groupBy("key", "same").agg(F.sum("count").alias("all"), F.min(F.struct("doc", "start", "before", "after")).alias("one"))
     cores = alike.groupBy("key").agg(F.sum("all").alias("every"), F.count(F.lit(1)).alias("kinds")).where("every > 1")
