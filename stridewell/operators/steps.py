@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def number_steps(df: DataFrame, episode: str, order: list[str], step: str = "step") -> DataFrame:
     """df with steps 0, 1, ... of each episode, in an order that must be total."""
@@ -103,11 +105,12 @@ def start_index(df: DataFrame, length: str, order: list[str], by: list[str] | No
 def running_sum(df: DataFrame, value: str, order: list[str], name: str, inclusive: bool = True) -> DataFrame:
     """df with running sums over the whole table: within ranges of the order, then over the ranges' totals.
 
-    The order must be total. Ranges are as many as shuffle partitions; their totals are a small table.
+    The order must be total. Ranges are as many as shuffle partitions; their totals are a small table. The ranges are
+    stored, since Spark samples their bounds anew each time it computes them.
     """
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("_sum", F.sum(value).over(inner))
+    ranged = stored(ranged.withColumn("_sum", F.sum(value).over(inner)), "ranges")
     totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = ranged.join(F.broadcast(before.select("_part", "_before")), "_part")  # a row for each partition

@@ -105,9 +105,12 @@ def complete_runs(files: DataFrame, run: str, seed: str, expected: int) -> DataF
 
 
 def health(spark: SparkSession, wanted: DataFrame, path: str, root: str) -> DataFrame:
-    """path, state: missing, empty or ok, from the files' sizes."""
-    have = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias(path), F.col("length").alias("_n"))
-    return wanted.join(have, path, "left").select(path, F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 0, "empty").otherwise("ok").alias("state"))
+    """path, state: missing, empty or ok, from the store's listing and the files' sizes (empty files give no row)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "_p string").select(F.regexp_replace("_p", "^file:/+", "file:/").alias(path), F.lit(True).alias("_there"))
+    sizes = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias(path), F.col("length").alias("_n"))
+    out = wanted.join(listed, path, "left").join(sizes, path, "left")
+    return out.select(path, F.when(F.col("_there").isNull(), "missing").when(F.coalesce("_n", F.lit(0)) == 0, "empty").otherwise("ok").alias("state"))
 
 
 def config_key(*parts: str) -> Column:
