@@ -1,9 +1,12 @@
-"""Burrows-Wheeler transforms of small shards of strings, and their merge by interleave refinement.
-
-A shard is sorted by itself. The merge keeps one sequence of all shards' suffixes in which each shard's stay in their
-own order. A round takes the STEP characters before each suffix, sorts stably by them and so moves every suffix STEP
-places back along its string: suffixes that agreed on their first h characters before agree on h + STEP after. Blocks
-of suffixes that agree so far give the common prefixes. No suffix is compared with another.
+"""Burrows-Wheeler transforms of shards, and their merge by interleave refinement to a bounded depth.
+
+A shard is one string; its transform gives, for each suffix, the symbols before it and the suffix that starts with them
+(the last-to-first map), here kept by position, STEP symbols at a time. The merge keeps all shards' suffixes in one
+sequence, the interleave, cut into blocks of suffixes that agree so far. A round takes the STEP symbols before each
+suffix, orders each block's suffixes stably by them and so moves every suffix STEP places back along its string:
+suffixes that agreed on h symbols now agree on h + STEP. Blocks of one suffix are done and leave the interleave. What
+is left at the wanted depth are intervals of suffixes with a common prefix of that depth. No shard's suffixes are
+sorted beforehand and no suffix is compared with another beyond the STEP symbols of a round.
 """
 
 from __future__ import annotations
@@ -13,85 +16,39 @@ import numpy as np
 STEP = 8
 
 
-def shard(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order, transform and last-to-first map of strings of bytes, each with an end mark of its own.
+def transform(text: np.ndarray) -> np.ndarray:
+    """For rows of bytes, the STEP symbols before each place, as numbers: [row, p] holds text[row, p - STEP : p].
 
-    Symbols are bytes + 1; 0 is an end mark. Ends sort by their string's number, before everything else.
-    """
-    size = np.array([len(s) + 1 for s in strings], np.int64)
-    last = np.cumsum(size) - 1
-    n = int(size.sum())
-    text = np.zeros(n, np.int64)
-    keep = np.ones(n, bool)
-    keep[last] = False
-    if n > len(strings):
-        text[keep] = np.concatenate([s for s in strings if len(s)]).astype(np.int64) + 1
-    m = len(strings)
-    rank = np.where(keep, text + m, 0)
-    rank[last] = np.arange(m)
-    h = 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - h)] = rank[h:]  # what follows an end mark never decides, as end marks differ
-        key = rank * np.int64(n + m + 257) + after
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all():
-            break
-        h *= 2
-    first = last - size + 1
-    before = np.arange(n) - 1
-    before[first] = last
-    symbol = text[before].astype(np.int64)
-    return order, symbol[order], rank[before[order]]
+    Before its start a string has zeros."""
+    m, n = text.shape
+    padded = np.zeros((m, n + STEP), np.uint64)
+    padded[:, STEP:] = text
+    out = np.zeros((m, n + 1), np.uint64)
+    for k in range(STEP):
+        out = (out << np.uint64(8)) | padded[:, k : k + n + 1]
+    return out
 
 
-def merged_blocks(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All shards' suffixes in one order, as places (shard's offset + rank), and the blocks that share `depth` symbols.
+def interleave(before: np.ndarray, row: np.ndarray, end: np.ndarray, block: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes, as numbers into row and end, that agree with another of their block on the depth symbols up to end.
 
-    Runs until suffixes of one block share at least depth symbols (a multiple of STEP) or every block is one suffix.
+    before: a transform; block: where suffixes must agree from the start. Gives the suffixes and their last blocks.
     """
-    offset = np.cumsum([0, *[len(s[0]) for s in shards]])
-    symbol = np.concatenate([s[1] for s in shards])
-    back = np.concatenate([s[2] + o for s, o in zip(shards, offset[:-1].tolist(), strict=True)])
-    n = int(offset[-1])
-    # the STEP symbols before each suffix as one, and the suffix that starts with them
-    word, at, ended = np.zeros(n, np.uint64), np.arange(n), np.zeros(n, bool)
-    for k in range(STEP):
-        c = symbol[at]
-        ended |= c == 0
-        word |= np.maximum(c - 1, 0).astype(np.uint64) << np.uint64(8 * k)
-        at = back[at]
-    code = np.unique(word, return_inverse=True)[1]
-    code = code.astype(np.uint16 if n and code.max() < 65536 else np.int64)
-    place, block = np.arange(n), np.zeros(n, np.int64)
-    for _ in range(0, depth, STEP):
-        c = code[place]
-        order = np.argsort(c, kind="stable")
-        c, b, alone = c[order], block[order], ended[place][order]
-        new = np.ones(n, bool)
-        new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1]) | alone[1:] | alone[:-1]
-        place = at[place][order]
+    at = np.arange(len(row))
+    for done in range(0, depth, STEP):
+        symbols = before[row[at], end[at] - done]
+        if depth - done < STEP:  # the last round takes what is left
+            symbols = symbols & np.uint64((1 << (8 * (depth - done))) - 1)
+        order = np.lexsort((symbols, block))
+        at, symbols, block = at[order], symbols[order], block[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(new) - 1
-        if new.all():
+        several = np.bincount(block, minlength=1)[block] > 1
+        at, block = at[several], block[several]
+        if not len(at):
             break
-    return place, block
-
-
-def shared_starts(strings: list[np.ndarray], depth: int, per_shard: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String numbers, positions and blocks (equal: the same substring) of substrings of length depth that occur twice."""
-    parts = [strings[i : i + per_shard] for i in range(0, len(strings), per_shard)]
-    shards = [shard(p) for p in parts]
-    place, block = merged_blocks(shards, depth)
-    twice = np.bincount(block, minlength=1)[block] > 1
-    hit, of_block = place[twice], block[twice]
-    size = np.array([len(s) + 1 for s in strings], np.int64)
-    begin = np.cumsum(size) - size
-    base = np.cumsum([0, *[sum(len(s) + 1 for s in p) for p in parts]])
-    text = np.concatenate([s[0] + o for s, o in zip(shards, base[:-1].tolist(), strict=True)])[hit]  # places to positions
-    of = np.searchsorted(begin, text, "right") - 1
-    return of, text - begin[of], of_block
+    if not depth:
+        several = np.bincount(block, minlength=1)[block] > 1
+        at, block = at[several], block[several]
+    return at, block

@@ -4,9 +4,8 @@ Anchors cut the problem into parts that any number of tasks can take: in every w
 string with the smallest hash is an anchor, so equal windows have equal anchors at equal places. An anchor's windows
 fall into two classes, by where they start; all windows of a class contain its core of 232 bytes. A core with what is
 around it (168 bytes on either side, or up to the text's end) is a stretch. Windows of different cores differ, so cores
-that occur once are done. Equal stretches are counted, not kept. For a core of several different stretches, shards of
-them are suffix-sorted and their transforms merged (bwt.py); blocks of suffixes that share LENGTH bytes are the
-repeated windows. A core with more than MOST stretches is first split into two longer cores with less around them,
+that occur once are done. Equal stretches are counted, not kept. A core's different stretches are shards whose
+transforms are merged (bwt.py), as far as a window reaches; the intervals that are left are the repeated windows. A core with more than MOST stretches is first split into two longer cores with less around them,
 until few enough differ; with nothing around, all are equal. So no task holds more than MOST stretches of a core.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; every row of an id that occurs twice
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bwt, common, textkernel as tk
 
 ANCHOR = 64
-MOST, BLOCK = 192, 1 << 19
+MOST, PART, BLOCK = 1024, 2048, 1 << 19
 #: Rows of spans that may be broadcast, after counting them; more are joined by shuffle.
 MOST_BROADCAST = 300_000
 
@@ -176,25 +175,54 @@ FOUND = "root_key long, root_same long, low int, high int"
 
 
 def _by_transform(t: pa.Table, length: int) -> pa.Table:
-    """Of a core's stretches: the first and last window, counted back from the first core's start, that repeat."""
-    raw = [np.frombuffer(x, np.uint8) for x in t.column("bytes").to_pylist()]
-    order = sorted(range(len(raw)), key=lambda i: raw[i].tobytes())
-    of, at, block = bwt.shared_starts([raw[i] for i in order], length)
-    before, shift, doc, start, count = (t.column(c).to_numpy() for c in ("before", "shift", "doc", "start", "count"))
-    row = np.array(order, np.int64)[of]
-    # stretches of one text may overlap and hold the same window, which then is there once
-    place = np.unique(np.column_stack([block, doc[row], start[row] - before[row] + at]), axis=0)[:, 0]
-    real = (np.bincount(place, minlength=1 + block.max(initial=0)) > 1) | (np.bincount(block, count[row] > 1, minlength=1 + block.max(initial=0)) > 0)
-    row, at = row[real[block]], at[real[block]]
-    j = before[row] + shift[row] - at
+    """Of the stretches of some cores: the first and last window, counted back from the first core's start, that repeat.
+
+    A window is what stands before the core, from it on, the core, and what stands after it. Stretches of a core differ
+    only before and after it, so the core counts as one symbol, in which a block's windows agree from the start.
+    """
+    key, doc, start, before, around, shift, count = (t.column(c).to_numpy() for c in ("key", "doc", "start", "before", "around", "shift", "count"))
+    raw = t.column("bytes").to_pylist()
     low, high = np.full(len(raw), 1 << 30), np.full(len(raw), -1)
-    np.minimum.at(low, row, j)
-    np.maximum.at(high, row, j)
+    for e in np.unique(around).tolist():  # cores that were split have less around them
+        mine = np.flatnonzero(around == e)
+        mine = mine[np.argsort(key[mine], kind="stable")]
+        ends = np.append(np.flatnonzero(key[mine][1:] != key[mine][:-1]) + 1, len(mine))
+        first = 0
+        while first < len(mine):  # whole cores, up to MOST stretches at once
+            last = max(int(ends[np.searchsorted(ends, first, "right")]), int(ends[max(0, np.searchsorted(ends, first + MOST, "right") - 1)]))
+            _repeats(mine[first:last], [raw[i] for i in mine[first:last]], key, doc, start, before, shift, count, e, length, low, high)
+            first = last
     got = np.flatnonzero(high >= 0)
     some = t.take(pa.array(got))
     return pa.table({"root_key": some.column("root_key"), "root_same": some.column("root_same"), "low": pa.array(low[got].astype(np.int32)), "high": pa.array(high[got].astype(np.int32))})
 
 
+def _repeats(at, raw, key, doc, start, before, shift, count, e, length, low, high) -> None:
+    """Narrows low and high, in place, for the stretches numbered at."""
+    core, a = length - e, before[at]
+    b = np.array([len(x) for x in raw]) - core - a
+    text = np.zeros((len(at), 2 * e), np.uint8)
+    for i, x in enumerate(raw):
+        k = int(a[i])
+        text[i, e - k : e] = np.frombuffer(x[:k], np.uint8)
+        text[i, e : e + int(b[i])] = np.frombuffer(x[k + core :], np.uint8)
+    n = np.maximum(0, a - (e - b) + 1)  # windows with j bytes before the core, e - b <= j <= a
+    row = np.repeat(np.arange(len(at)), n)
+    j = tk.flat_ranges(e - b, n)
+    block = np.unique(key[at], return_inverse=True)[1][row] * (e + 1) + j
+    hit, block = bwt.interleave(bwt.transform(text), row, 2 * e - j, block, e)
+    if not len(hit):
+        return
+    row, j = row[hit], j[hit]
+    # stretches of one text may overlap and hold the same window, which then is there once
+    place = np.unique(np.column_stack([block, doc[at][row], start[at][row] - j]), axis=0)[:, 0]
+    size = int(block.max()) + 1
+    real = ((np.bincount(place, minlength=size) > 1) | (np.bincount(block, count[at][row] > 1, minlength=size) > 0))[block]
+    row, j = at[row[real]], j[real]
+    np.minimum.at(low, row, j + shift[row])
+    np.maximum.at(high, row, j + shift[row])
+
+
 def _split(rows: DataFrame, length: int) -> DataFrame:
     """Each stretch as two with longer cores: for the windows that start in the nearer half, and in the farther."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +252,12 @@ def _different(rows: DataFrame, length: int) -> DataFrame:
     """FOUND for cores of several stretches, by merged transforms, after splitting the cores of too many."""
     found = None
     while True:
+        rows = common.stored(rows, "stretches")
         size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         sized = common.stored(rows.join(size, "key"), "sized")
         few = sized.where(F.col("n") <= MOST).drop("n")
-        part = few.groupBy("key").applyInArrow(lambda t: _by_transform(t, length), FOUND)
+        parts = max(1, few.count() // PART)
+        part = few.groupBy(F.pmod("key", F.lit(parts)).alias("_part")).applyInArrow(lambda t: _by_transform(t, length), FOUND)
         part = common.stored(part, "repeats")
         found = part if found is None else found.union(part)
         many = sized.where(F.col("n") > MOST).drop("n")
@@ -269,46 +299,69 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
-REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+MEASURES = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (if asked for; where a cut falls inside a character,
-    what is left of it is dropped from kept_text, not from the hash).
+def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
+    """docs with a column _spans: of each text, what repeats (null: nothing).
 
-    Other rows of the same id are texts of their own.
+    Texts are told apart by doc_id; where an id is null or occurs twice, rows are numbered first.
     """
-    common.small_batches(docs.sparkSession)
-    src = common.plain(docs, doc=doc_id, text=text).withColumn("doc", F.col("doc").cast("long"))
-    # rows are told apart by id and text; equal rows of one id are counted and written back as often
-    src = src.withColumn("text", F.coalesce("text", F.lit("")))
-    spread = common.stored(src.select("doc").groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc is null"), "ids")
-    if not spread.isEmpty():
-        return _with_own_ids(src, length, keep_text)
-    return _removed(src, src.select("doc", F.col("doc").alias("doc_id"), "text"), length, keep_text)
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc"))
+    twice = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc is null")
+    if twice.isEmpty():
+        full = docs.withColumn("_doc", F.col(doc_id).cast("long"))
+    else:
+        full = common.stored(docs.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
+    spans = common.stored(repeated_spans(full.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), length), "spans")
+    small = spans.count() <= MOST_BROADCAST
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
+    return full.join(F.broadcast(spans) if small else spans, "_doc", "left").drop("_doc")
 
 
-def _with_own_ids(src: DataFrame, length: int, keep_text: bool) -> DataFrame:
-    numbered = common.stored(src.select(F.col("doc").alias("doc_id"), "text").withColumn("doc", F.monotonically_increasing_id()), "numbered")
-    return _removed(numbered.select("doc", "text"), numbered.select("doc", "doc_id", "text"), length, keep_text)
+def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+    """What is left of a text, and the number of runs removed."""
+    if not spans:
+        return raw, 0
+    first, last = _joined(np.array([s["first"] for s in spans], np.int64), np.array([s["last"] for s in spans], np.int64))
+    ends = [0, *np.column_stack([first, last]).ravel().tolist(), len(raw)]
+    return b"".join(raw[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True)), len(first)
 
 
-def _removed(src: DataFrame, full: DataFrame, length: int, keep_text: bool) -> DataFrame:
-    spans = common.stored(repeated_spans(src, length), "spans")
-    small = spans.count() <= MOST_BROADCAST
-    joined = full.join(F.broadcast(spans) if small else spans, "doc", "left").select("doc_id", "text", "spans")
+def measure_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left)."""
+    src = common.plain(docs, doc_id=doc_id, text=text)
+    kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = text.encode()
-                first, last = _joined(np.array([s["first"] for s in spans or ()], np.int64), np.array([s["last"] for s in spans or ()], np.int64))
-                ends = [0, *np.column_stack([first, last]).ravel().tolist(), len(raw)]
-                kept = b"".join(raw[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True))
-                for c, v in zip(out, (len(raw), len(raw) - len(kept), len(first), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None), strict=True):
-                    out[c].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], names=["doc_id", *out])
-
-    return joined.mapInArrow(run, "doc_id long, " + REMOVED)
+            raws = [(t or "").encode() for t in b.column(1).to_pylist()]
+            kept = [_kept(raw, s) for raw, s in zip(raws, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array([len(r) - len(k) for r, (k, _) in zip(raws, kept, strict=True)], pa.int64()),
+                pa.array([n for _, n in kept], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept], pa.string()),
+            ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _with_spans(src, length, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
+
+
+def cut_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the repeats in their texts; other columns are passed on, null texts stay null.
+
+    Where a cut falls inside a character, what is left of the character goes too.
+    """
+    joined = _with_spans(docs, length, doc_id, text)
+    names = docs.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, spans = b.column(at).to_pylist(), b.column(len(names)).to_pylist()
+            left = [t if not s or t is None else _kept(t.encode(), s)[0].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)]
+            columns = list(b.columns[: len(names)])
+            columns[at] = pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
