@@ -30,6 +30,8 @@ from . import common, graph, textkernel as tk
 SKETCH_BITS, SLICES, BLOCK = 20, 16, 1 << 19
 #: Sets of fewer than 2**LEAST_CELLS shingles index every shingle alone. A set of 2**g has 2**g / PER_CELL cells.
 LEAST_CELLS, PER_CELL, SALTS = 6, 8, 64
+#: Cells of the counts that bound what two sets share.
+CELLS = 192
 #: Ids (8 bytes each) that may be broadcast, after counting them; more are joined by shuffle.
 MOST_BROADCAST = 500_000
 
@@ -160,37 +162,55 @@ def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
     return (na * num <= nb * den) & (nb * num <= na * den) & ((pa_ < 0) | (F.least(na - pa_, nb - pb) >= least))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link."""
-    pairs = common.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def _of_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, make, what: str, column: str) -> DataFrame:
+    """sid, column: make(hashes) for the set of each sid in pairs, from one document that has it."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("sid", "doc_id")
     wanted = common.stored(wanted, "wanted")
-    small = wanted.count() <= MOST_BROADCAST
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "doc_id").select("sid", "text")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = common.utf8(b.column(1))
             for i, j in common.cuts(offsets, BLOCK):
                 h, row, _, sid = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 same = sid == b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)  # another text may have the id
-                yield pa.RecordBatch.from_arrays([pa.array(sid[same]), pa.array([h[x:y].tobytes() for x, y, s in zip(ends[:-1], ends[1:], same, strict=True) if s], pa.binary())], names=["sid", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[same]), pa.array([make(h[x:y]) for x, y, s in zip(ends[:-1], ends[1:], same, strict=True) if s], pa.binary())], names=["sid", column])
+
+    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary"), what)
 
-    # one row for each set: repeated rows of a document have equal sets
-    sets = common.stored(texts.mapInArrow(make, "sid long, members binary").dropDuplicates(["sid"]), "sets")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(h: np.ndarray) -> bytes:
+    """How many hashes fall into each of CELLS cells; two sets share at most the sum of the smaller counts."""
+    return np.minimum(np.bincount((h >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype(np.uint16).tobytes()
+
+
+def _held(pairs: DataFrame, values: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) that pass a test of both values; sids that several rows have may repeat pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
+            keep = [test(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b")
-    return common.stored(joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "linked")
+    joined = pairs.join(values.select(F.col("sid").alias("a"), F.col(column).alias("x")), "a").join(values.select(F.col("sid").alias("b"), F.col(column).alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of set ids that link: first by a bound from counts in cells, then by the sets themselves."""
+    pairs = common.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    def may(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+        return p.max() == 65535 or q.max() == 65535 or den * int(np.minimum(p, q).sum()) >= num * int(np.maximum(p, q).sum())
+
+    def link(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return den * both >= num * (len(p) + len(q) - both)
+
+    near = common.stored(_held(pairs, _of_sets(docs, pairs, reps, k, _cells, "cells", "cells"), "cells", may).distinct(), "near")
+    return common.stored(_held(near, _of_sets(docs, near, reps, k, np.ndarray.tobytes, "sets", "members"), "members", link), "linked")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
