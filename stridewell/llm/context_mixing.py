@@ -1,13 +1,13 @@
 """Language-model scoring: online logistic mixing of hashed-context bit predictors.
 
-A text is its words in lower case (A-Z) and one end. Words that make up 2**-16 or more of the training tokens, the end
-and an escape have Huffman codes; any other word is an escape and then, with the share of training tokens that Good and
-Turing's rule gives to new words, its bytes, each with a Huffman code, and a stop, or else its share of the counts of
-rare words. Every bit of a code is predicted from several hashed contexts (for words: the code so far, with no, one and two words before;
-for bytes: with one to four bytes before). A predictor's counts give a log odds; a gate, by how often the contexts were
-seen, picks the weights that mix them; an adaptive table refines the mix. All is learned online: each chunk of training
-text is predicted, then moves the weights, then joins the counts. Tasks learn side by side; counts add up, weights are
-averaged by the bits they saw.
+A text is its words in lower case (A-Z) and one end. Words that make up 2**-COMMON or more of the training tokens, the
+end and an escape have Huffman codes; any other word is an escape and then, with the share of training tokens that Good
+and Turing's rule gives to new words, its bytes, each with a Huffman code, and a stop, or else its share of the counts
+of rare words. Every bit of a code is predicted from several hashed contexts (for words: the code so far, with no, one
+and two words before; for bytes: with one to four bytes before). A predictor's counts give a log odds; a gate, by how
+often the contexts were seen, picks the weights that mix them; an adaptive table refines the mix. All is learned online:
+each chunk is predicted, then moves the weights, then joins the counts. Words learn from all training texts, spellings
+from all different training words. Tasks learn side by side; counts add up, weights are averaged by the bits they saw.
 
 Words are known by 64-bit hashes. Tables have fixed sizes, so what is broadcast does not grow; word counts, which do,
 travel as a part for each block of texts and shard of hashes, and come back as counts of just the block's words.
@@ -23,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, learning, textkernel as tk
 
-BLOCK_CHARS, SHARD_CHARS = 4_000_000, 12_000_000
-COMMON, BITS, GATES, BINS, SLICES = 16, 18, 16, 33, 8
+BLOCK_BYTES, SHARD_CHARS = 4_000_000, 12_000_000
+COMMON, BITS, GATES, BINS, SLICES = 14, 18, 16, 33, 8
 ORDERS, BYTE_ORDERS = 3, 4
-CHUNK = 400_000
+#: Tokens, and words to spell, that are learned from or scored at once.
+CHUNK, SPELL = 64_000, 12_000
 #: What a context starts with for either bit, and how far the adaptive table is trusted.
 START, TRUST = 0.4, 0.5
 END, ESCAPE = 0, 1
@@ -67,82 +69,79 @@ class Mixer:
 
     def __init__(self, orders: int, state: dict[str, np.ndarray] | None = None):
         self.k = orders
-        self.counts = np.zeros((orders, 2, 1 << BITS), np.int32)
-        self.weights = np.full((GATES, orders), 1.0 / orders + 0.15)
+        self.counts = state["counts"] if state else np.zeros((orders, 2 << BITS), np.int32)  # of a 0 and a 1 in turn
+        self.weights = state["weights"] if state else np.full((GATES, orders), 1.0 / orders + 0.15)
+        self.refine = state["refine"] if state else np.zeros((GATES * BINS, 2))
         self.seen = np.zeros(GATES)
-        self.refine = np.zeros((GATES, BINS, 2))
         self.hess = np.tile(np.eye(orders) * 50.0, (GATES, 1, 1))
-        if state:
-            self.counts, self.weights, self.refine = state["counts"], state["weights"], state["refine"]
-            n0, n1 = (self.counts[:, i].astype(np.float32) for i in (0, 1))
-            self.odds = np.log((n1 + START) / (n0 + START)).astype(np.float32)
-            self.level = self._level(n0 + n1)
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Makes what is looked up from what is counted."""
+        pair = self.counts.reshape(self.k, -1, 2).astype(np.float32)
+        self.odds = np.log((pair[..., 1] + np.float32(START)) / (pair[..., 0] + np.float32(START)))
+        n = pair.sum(2)
+        self.level = (n >= 2).astype(np.uint8) + (n >= 12) + (n >= 100)
+        self.w = self.weights.astype(np.float32)
+        total = self.refine.sum(1)
+        adapted = (self.refine[:, 1] + 0.5) / (total + 1)
+        trust = TRUST * total / (total + 200)
+        self.keep, self.lift = (1 - trust).astype(np.float32), (trust * adapted).astype(np.float32)
+
+    def _mix(self, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Log odds of each context, the gate, and their mix."""
+        odds = [self.odds[i][s] for i, s in enumerate(slots)]
+        gate = self.level[-1][slots[-1]] * np.uint8(4) + self.level[-2][slots[-2]]
+        dot = odds[0] * self.w[:, 0][gate]
+        for i in range(1, self.k):
+            dot += odds[i] * self.w[:, i][gate]
+        return odds, gate, np.clip(dot, -12, 12, out=dot)
 
     @staticmethod
-    def _level(n: np.ndarray) -> np.ndarray:
-        return ((n >= 2).view(np.uint8) + (n >= 12) + (n >= 100)).astype(np.uint8)
-
-    def _mix(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if hasattr(self, "odds"):
-            odds = np.stack([self.odds[i][s] for i, s in enumerate(slots)])
-            level = [self.level[i][slots[i]] for i in (-1, -2)]
-        else:
-            n0, n1 = (np.stack([self.counts[i, j][s] for i, s in enumerate(slots)]).astype(np.float32) for j in (0, 1))
-            odds = np.log((n1 + np.float32(START)) / (n0 + np.float32(START)))
-            level = [self._level(n0[i] + n1[i]) for i in (-1, -2)]
-        gate = level[0] * 4 + level[1]
-        w = self.weights.astype(np.float32)[gate]
-        return odds, gate, np.clip(np.einsum("kn,nk->n", odds, w), -12, 12)
-
-    def _refined(self, gate: np.ndarray, dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability that the bit is 1, and the place in the adaptive table."""
-        p = 1 / (1 + np.exp(-dot))
-        cell = gate.astype(np.int64) * BINS + np.rint((dot + 12) * ((BINS - 1) / 24)).astype(np.int64)
-        flat = self.refine.reshape(-1, 2)
-        total = flat.sum(1)
-        adapted = (flat[:, 1] + 0.5) / (total + 1)
-        trust = TRUST * total / (total + 200)
-        return np.clip(p + trust[cell] * (adapted[cell] - p), 1e-6, 1 - 1e-6), cell
+    def _cell(gate: np.ndarray, dot: np.ndarray) -> np.ndarray:
+        return gate.astype(np.int32) * BINS + np.rint((dot + np.float32(12)) * np.float32((BINS - 1) / 24)).astype(np.int32)
 
     def logs(self, slots: list[np.ndarray], bit: np.ndarray) -> np.ndarray:
         """log10 of each bit's probability."""
         _, gate, dot = self._mix(slots)
-        p, _ = self._refined(gate, dot)
-        return np.log10(np.where(bit, p, 1 - p))
+        cell = self._cell(gate, dot)
+        p = self.keep[cell] / (1 + np.exp(-dot)) + self.lift[cell]
+        p = np.where(bit, p, 1 - p)
+        return np.log10(np.clip(p, 1e-6, 1 - 1e-6, out=p))
 
     def learn(self, slots: list[np.ndarray], bit: np.ndarray) -> None:
         if not len(bit):
             return
         odds, gate, dot = self._mix(slots)
-        _, cell = self._refined(gate, dot)
+        cell = self._cell(gate, dot)
         p = 1 / (1 + np.exp(-dot))
-        err, var = bit - p, p * (1 - p)
-        n = np.bincount(gate, minlength=GATES)
-        for g in np.flatnonzero(n):  # a damped Newton step for each gate
-            at = gate == g
-            s = odds[:, at].astype(np.float64)
-            self.hess[g] += (s * var[at]) @ s.T
-            self.weights[g] += np.linalg.solve(self.hess[g], s @ err[at])
-        self.seen += n
-        flat = self.refine.reshape(-1, 2)
-        for b in (0, 1):
-            on = bit == b
-            flat[:, b] += np.bincount(cell[on], minlength=len(flat))
-            for i, s in enumerate(slots):
-                self.counts[i, b] += np.bincount(s[on], minlength=1 << BITS).astype(np.int32)
-
-
-def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return ((context ^ (node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(tk.BASE) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-class Model:
-    """Codes and mixers for words and bytes."""
-
-    def __init__(self, vocab: np.ndarray, word_code: dict, byte_code: dict, state: list | None = None):
-        self.vocab, self.word_code, self.byte_code = vocab, word_code, byte_code
-        self.words = Mixer(ORDERS, state and state[0])
-        self.bytes = Mixer(BYTE_ORDERS, state and state[1])
+        order = np.argsort(gate, kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        s, err, var = np.stack(odds)[:, order], (bit - p)[order], (p * (1 - p))[order]
+        for g, (a, z) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):  # a damped Newton step for each gate
+            if z > a:
+                self.hess[g] += (s[:, a:z] * var[a:z]) @ s[:, a:z].T
+                self.weights[g] += np.linalg.solve(self.hess[g], s[:, a:z] @ err[a:z])
+        self.seen += np.diff(ends, prepend=0)
+        self.refine += np.bincount(cell * 2 + bit, minlength=2 * GATES * BINS).reshape(-1, 2)
+        for i, x in enumerate(slots):
+            self.counts[i] += np.bincount(x * 2 + bit, minlength=2 << BITS).astype(np.int32)
+
+
+def _slot(context: np.ndarray | None, node: np.ndarray) -> np.ndarray:
+    if context is None:  # inner nodes have places of their own
+        return node & ((1 << BITS) - 1)
+    mixed = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= context
+    mixed *= np.uint64(tk.BASE)
+    return (mixed >> np.uint64(64 - BITS)).view(np.int64)
+
+
+class Words:
+    """Codes and mixer for words."""
+
+    def __init__(self, vocab: np.ndarray, code: dict[str, np.ndarray], state: dict | None = None):
+        self.vocab, self.code, self.mixer = vocab, code, Mixer(ORDERS, state)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """2 and more for the common words, else ESCAPE."""
@@ -151,35 +150,55 @@ class Model:
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[at] == h, at + 2, ESCAPE)
 
-    def word_bits(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def bits(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Slots, bits and tokens of the codes of symbols, after the words one and two."""
-        c = self.word_code
-        size = c["size"][symbol]
-        at = tk.flat_ranges(c["first"][symbol], size)
+        size = self.code["size"][symbol]
+        at = tk.flat_ranges(self.code["first"][symbol], size)
         of = np.repeat(np.arange(len(symbol)), size)
-        node = c["node"][at]
+        node = self.code["node"][at]
         far = one * np.uint64(3) + two * np.uint64(0x9E3779B97F4A7C15)
-        return [_slot(np.zeros(1, np.uint64), node), _slot(one[of], node), _slot(far[of], node)], c["bit"][at], of
+        return [_slot(None, node), _slot(one[of], node), _slot(far[of], node)], self.code["bit"][at], of
+
+
+class Spelling:
+    """Codes and mixer for the bytes of words."""
 
-    def byte_bits(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def __init__(self, code: dict[str, np.ndarray], state: dict | None = None):
+        self.code, self.mixer = code, Mixer(BYTE_ORDERS, state)
+
+    def bits(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Slots, bits and words of the spellings data[start:end], each with a stop (symbol 256)."""
-        c = self.byte_code
         size = end - start + 1
         pos = tk.flat_ranges(np.zeros(len(size), np.int64), size)
         word = np.repeat(np.arange(len(size)), size)
         at = start[word] + pos
-        last = pos == size[word] - 1
-        symbol = np.where(last, 256, data[np.minimum(at, len(data) - 1)].astype(np.int64))
+        symbol = np.where(pos == size[word] - 1, 256, data[np.minimum(at, len(data) - 1)].astype(np.int64))
         context, contexts = np.zeros(len(at), np.uint64), []
         for k in range(1, BYTE_ORDERS + 1):
             before = np.where(pos >= k, data[np.maximum(at - k, 0)].astype(np.int64) + 1, 0).astype(np.uint64)
             context = context * np.uint64(263) + before
             contexts.append(tk.mix(context + np.uint64(k << 40)))
-        n = c["size"][symbol]
-        code = tk.flat_ranges(c["first"][symbol], n)
+        n = self.code["size"][symbol]
+        code = tk.flat_ranges(self.code["first"][symbol], n)
         of = np.repeat(np.arange(len(at)), n)
-        node = c["node"][code]
-        return [_slot(x[of], node) for x in contexts], c["bit"][code], word[of]
+        node = self.code["node"][code]
+        return [_slot(x[of], node) for x in contexts], self.code["bit"][code], word[of]
+
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        k, step = 0, 2000
+        while k < len(start):
+            self.mixer.refresh()
+            slots, bit, _ = self.bits(data, start[k : k + step], end[k : k + step])
+            self.mixer.learn(slots, bit)
+            k, step = k + step, min(2 * step, SPELL)
+
+    def logs(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start))
+        for k in range(0, len(start), SPELL):
+            z = slice(k, k + SPELL)
+            slots, bit, of = self.bits(data, start[z], end[z])
+            out[z] = np.bincount(of, self.mixer.logs(slots, bit), minlength=len(out[z]))
+        return out
 
 
 class Tokens:
@@ -198,114 +217,174 @@ class Tokens:
         self.one, self.two = np.zeros_like(self.hash), np.zeros_like(self.hash)
         self.one[1:] = np.where(pos[1:] >= 1, self.hash[:-1], 0)
         self.two[2:] = np.where(pos[2:] >= 2, self.hash[:-2], 0)
-        self.uniq, self.which = np.unique(w.hash, return_inverse=True)
-        self.example = np.zeros(len(self.uniq), np.int64)
-        self.example[self.which[::-1]] = np.arange(len(w.hash))[::-1]
 
+    def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different words' hashes in order, each word's number among them, and a place of each."""
+        uniq, which = np.unique(self.w.hash, return_inverse=True)
+        example = np.zeros(len(uniq), np.int64)
+        example[which[::-1]] = np.arange(len(which))[::-1]
+        return uniq, which, example
+
+
+def _zip(x: np.ndarray) -> bytes:
+    return pa.compress(pa.py_buffer(np.ascontiguousarray(x)), "zstd", asbytes=True) if x.size else b""
+
+
+def _unzip(raw: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
-PACKED = "block int, shard int, ids binary, held binary, texts binary, size long, hashes binary, counts binary, tokens long, spelling binary"
 
+#: A block's texts (shard null), or its words of a shard: their bytes, sizes and training counts, in order of hash.
+PACKED = "block long, shard int, ids binary, texts binary, size long, tokens long, ends long, bytes binary, sizes binary, counts binary, words long"
 
-def _packed(t: pa.Table, shards: int) -> pa.Table:
-    """A block's texts as one row, and its words and their training counts as a row for each shard of hashes."""
-    t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+def _packed(t: pa.Table, block: int, shards: int) -> pa.RecordBatch:
     data, offsets = common.utf8(common.one(t.column("text")))
     held = np.array([bool(x) for x in t.column("held").to_pylist()])
+    ids = t.column("doc_id").to_pylist()
     tok = Tokens(data, offsets)
-    learned = ~held[tok.w.row]
-    count = np.bincount(tok.which[learned], minlength=len(tok.uniq)).astype(np.uint32)
-    mine = np.flatnonzero(count)
-    first = tok.example[mine]
-    spell = np.bincount(tok.w.lower[tk.flat_ranges(tok.w.start[first], tok.w.end[first] - tok.w.start[first])], minlength=257).astype(np.int64)
-    spell[256] = len(mine)
-    block = t.column("block")[0].as_py()
-    raw = learning.pack({"offsets": offsets})
-    rows = [{"block": block, "shard": None, "ids": learning.pack({"v": np.array([x or 0 for x in t.column("doc_id").to_pylist()], np.int64), "null": np.array([x is None for x in t.column("doc_id").to_pylist()])}), "held": held.tobytes(), "texts": pa.compress(pa.py_buffer(np.ascontiguousarray(data)), "zstd", asbytes=True) if len(data) else b"", "size": len(data), "hashes": raw, "counts": None, "tokens": int(tok.n[~held].sum()), "spelling": spell.tobytes()}]
-    part = (tok.uniq >> np.uint64(40)).astype(np.int64) * shards >> 24
-    ends = np.searchsorted(part, np.arange(shards + 1))
-    rows += [{"block": block, "shard": s, "hashes": tok.uniq[a:b].tobytes(), "counts": count[a:b].tobytes()} for s, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a]
-    kinds = {"block": pa.int32(), "shard": pa.int32(), "size": pa.int64(), "tokens": pa.int64()}
-    names = [c.split()[0] for c in PACKED.split(", ")]
-    return pa.Table.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in names]))
-
-
-COUNTED = "block int, shard int, counts binary, distinct long, once long, hashes binary"
-
-
-def _counted(t: pa.Table, least: float) -> pa.Table:
-    """A shard's total counts, for each block's words in their order; the row of block -1 has the common words."""
-    words = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-    every = np.concatenate(words)
-    uniq, which = np.unique(every, return_inverse=True)
-    total = np.bincount(which, np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("counts").to_pylist()]), minlength=len(uniq)).astype(np.int64)
-    ends = np.cumsum([0, *map(len, words)])
-    often = total >= max(least, 1)
+    uniq, which, example = tok.different()
+    count = np.bincount(which[~held[tok.w.row]], minlength=len(uniq)).astype(np.uint32)
+    start, size = tok.w.start[example], (tok.w.end - tok.w.start)[example]
+    pack = learning.pack({"v": np.array([x or 0 for x in ids], np.int64), "null": np.array([x is None for x in ids], bool), "offsets": offsets, "held": held})
+    rows = [{"block": block, "ids": pack, "texts": _zip(data), "size": len(data), "tokens": int(tok.n[~held].sum()), "ends": int((~held).sum())}]
+    part = (uniq >> np.uint64(40)).astype(np.int64) * shards >> 24
+    cut = np.searchsorted(part, np.arange(shards + 1))
+    for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if b > a:
+            text = tok.w.lower[tk.flat_ranges(start[a:b], size[a:b])]
+            rows.append({"block": block, "shard": s, "size": len(text), "bytes": _zip(text), "sizes": _zip(size[a:b].astype(np.uint32)), "counts": _zip(count[a:b]), "words": b - a})
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")])
+    return pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema).combine_chunks().to_batches()[0]
+
+
+class ShardWords:
+    """A shard's words of all blocks: bytes, spans, and which of the different words each is."""
+
+    def __init__(self, t: pa.Table):
+        texts, sizes, counts = [], [], []
+        for r in t.select(["bytes", "sizes", "counts", "words", "size"]).to_pylist():
+            texts.append(_unzip(r["bytes"], np.uint8, r["size"]))
+            sizes.append(_unzip(r["sizes"], np.uint32, r["words"]))
+            counts.append(_unzip(r["counts"], np.uint32, r["words"]))
+        self.data = np.concatenate(texts)
+        self.end = np.cumsum(np.concatenate(sizes).astype(np.int64))
+        self.start = self.end - np.concatenate(sizes)
+        self.uniq, first, self.which = np.unique(tk.span_hashes(self.data, self.start, self.end), return_index=True, return_inverse=True)
+        self.first = first
+        self.total = np.bincount(self.which, np.concatenate(counts), minlength=len(self.uniq)).astype(np.int64)
+        self.cut = np.cumsum([0, *map(len, sizes)])
+
+
+PARTS = "part int, counts binary, other binary"
+
+
+def _parts(mixer: Mixer) -> list[tuple]:
+    """What a mixer has learned, in SLICES rows."""
+    if not mixer.seen.any():
+        return []
+    other = learning.pack({"w": mixer.weights * mixer.seen[:, None], "seen": mixer.seen, "refine": mixer.refine})
+    return [(s, _zip(x), None if s else other) for s, x in enumerate(np.split(mixer.counts, SLICES, axis=1))]
+
+
+def _parts_table(parts: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)], names=["part", "counts", "other"])
+
+
+def _merged(parts: DataFrame, orders: int) -> dict[str, np.ndarray]:
+    """The state of all tasks' mixers together; of a fixed size."""
+    n = orders * (2 << BITS) // SLICES
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(_unzip(x, np.int32, n).astype(np.int64) for x in t.column("counts").to_pylist())
+        got = [learning.unpack(x) for x in t.column("other").to_pylist() if x]
+        other = learning.pack({k: sum(g[k] for g in got) for k in got[0]}) if got else None
+        return _parts_table([(t.column("part")[0].as_py(), _zip(np.minimum(total, 2**31 - 1).astype(np.int32)), other)])
+
+    rows = {r["part"]: r for r in parts.groupBy("part").applyInArrow(add, PARTS).collect()}
+    blank = Mixer(orders)
+    if not rows:
+        return {"counts": blank.counts, "weights": blank.weights, "refine": blank.refine}
+    other = learning.unpack(bytes(rows[0]["other"]))
+    seen = other["seen"][:, None]
+    counts = np.concatenate([_unzip(bytes(rows[s]["counts"]), np.int32, n).reshape(orders, -1) for s in range(SLICES)], 1)
+    return {"counts": counts, "weights": np.where(seen > 0, other["w"] / np.maximum(seen, 1), blank.weights), "refine": other["refine"]}
+
+
+COUNTED = "block long, shard int, counts binary, spelled binary, words long, distinct long, once long, hashes binary"
+
+
+def _counted(t: pa.Table, least: float, spelling: Spelling) -> pa.Table:
+    """Total counts and spelling scores of each block's words; the row of block -1 has the common words."""
+    w = ShardWords(t)
     shard = t.column("shard")[0].as_py()
-    back = total[which]
-    rows = [(b, shard, back[x:y].tobytes(), None, None, None) for b, x, y in zip(t.column("block").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    rows.append((-1, shard, total[often].tobytes(), int((total > 0).sum()), int((total == 1).sum()), uniq[often].tobytes()))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in COUNTED.split(", ")])
-
-
-def _texts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(pa.decompress(row["texts"], row["size"], "zstd", asbytes=True), np.uint8) if row["size"] else np.zeros(0, np.uint8)
-    return data, learning.unpack(row["hashes"])["offsets"], np.frombuffer(row["held"], bool)
-
-
-def _learn_block(model: Model, row: dict) -> None:
-    data, offsets, held = _texts(row)
-    for i, j in common.cuts(offsets, CHUNK):
-        if held[i:j].all():
-            continue
-        keep = np.flatnonzero(~held[i:j]) + i
-        size = offsets[keep + 1] - offsets[keep]
-        tok = Tokens(data[tk.flat_ranges(offsets[keep], size)], np.concatenate([[0], np.cumsum(size)]))
-        symbol = np.full(len(tok.hash), END)
-        symbol[~tok.is_end] = model.symbols(tok.w.hash)
-        slots, bit, _ = model.word_bits(symbol, tok.one, tok.two)
-        model.words.learn(slots, bit)
-        rare = tok.example[model.symbols(tok.uniq) == ESCAPE]
-        if len(rare):
-            slots, bit, _ = model.byte_bits(tok.w.lower, tok.w.start[rare], tok.w.end[rare])
-            model.bytes.learn(slots, bit)
-
-
-def _score_block(model: Model, row: dict, counts: np.ndarray, n: int, v: int) -> pa.RecordBatch:
-    data, offsets, held = _texts(row)
-    ids = learning.unpack(row["ids"])
-    scores, bases, sizes, knowns = [], [], [], []
+    spelled = spelling.logs(w.data, w.start[w.first], w.end[w.first]).astype(np.float32)
+    rows = []
+    for b, x, y in zip(t.column("block").to_pylist(), w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True):
+        at = w.which[x:y]
+        rows.append((b, shard, _zip(w.total[at]), _zip(spelled[at]), y - x, None, None, None))
+    often = w.total >= max(least, 1)
+    rows.append((-1, shard, w.total[often].tobytes(), None, int(often.sum()), int((w.total > 0).sum()), int((w.total == 1).sum()), w.uniq[often].tobytes()))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in COUNTED.split(", ")])
+
+
+def _learn_block(model: Words, row: dict, step: int) -> int:
+    """Learns from a block's training texts; step is the size of the next chunk."""
+    data, ids = _unzip(row["texts"], np.uint8, row["size"]), learning.unpack(row["ids"])
+    keep = np.flatnonzero(~ids["held"])
+    offsets = ids["offsets"]
+    size = offsets[keep + 1] - offsets[keep]
+    tok = Tokens(data[tk.flat_ranges(offsets[keep], size)], np.concatenate([[0], np.cumsum(size)]))
+    symbol = np.full(len(tok.hash), END)
+    symbol[~tok.is_end] = model.symbols(tok.w.hash)
+    k = 0
+    while k < len(symbol):
+        z = slice(k, k + step)
+        model.mixer.refresh()
+        slots, bit, _ = model.bits(symbol[z], tok.one[z], tok.two[z])
+        model.mixer.learn(slots, bit)
+        k, step = k + step, min(2 * step, CHUNK)
+    return step
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+
+
+def _score_block(model: Words, row: dict, counts: np.ndarray, spelled: np.ndarray, n: int, v: int, ends: int, rare: int, new: float) -> pa.RecordBatch:
+    data, ids = _unzip(row["texts"], np.uint8, row["size"]), learning.unpack(row["ids"])
+    offsets = ids["offsets"]
     tok = Tokens(data, offsets)
-    symbols = model.symbols(tok.uniq)
-    # spellings are scored once a block
-    spelled = np.zeros(len(tok.uniq))
-    rare = np.flatnonzero(symbols == ESCAPE)
-    for k in range(0, len(rare), 40_000):
-        part = rare[k : k + 40_000]
-        e = tok.example[part]
-        slots, bit, of = model.byte_bits(tok.w.lower, tok.w.start[e], tok.w.end[e])
-        spelled[part] = np.bincount(of, model.bytes.logs(slots, bit), minlength=len(part))
+    uniq, which, _ = tok.different()
+    symbols = model.symbols(uniq)
     # a rare word is one of the known ones, by its count, or a new one, by its spelling
-    known_share = (1 - model.new) * counts[rare] / max(1, model.rare)
-    spelled[rare] = np.log10(known_share + model.new * 10 ** np.maximum(spelled[rare], -290))
+    escaped = np.log10((1 - new) * counts / max(1, rare) + new * 10.0 ** np.maximum(spelled.astype(np.float64), -290))
     symbol = np.full(len(tok.hash), END)
-    symbol[~tok.is_end] = symbols[tok.which]
+    symbol[~tok.is_end] = symbols[which]
     score = np.zeros(len(symbol))
-    score[~tok.is_end] = spelled[tok.which]
-    for k in range(0, len(symbol), 100_000):
-        z = slice(k, k + 100_000)
-        slots, bit, of = model.word_bits(symbol[z], tok.one[z], tok.two[z])
-        score[z] += np.bincount(of, model.words.logs(slots, bit), minlength=len(symbol[z]))
-    c = np.full(len(symbol), float(model.ends))
-    c[~tok.is_end] = counts[tok.which]
+    score[~tok.is_end] = np.where(symbols == ESCAPE, escaped, 0)[which]
+    for k in range(0, len(symbol), CHUNK):
+        z = slice(k, k + CHUNK)
+        slots, bit, of = model.bits(symbol[z], tok.one[z], tok.two[z])
+        score[z] += np.bincount(of, model.mixer.logs(slots, bit), minlength=len(symbol[z]))
+    c = np.full(len(symbol), float(ends))
+    c[~tok.is_end] = counts[which]
     m = len(offsets) - 1
     base = np.bincount(tok.row, np.log10((c + 0.1) / (n + 0.1 * (v + 1))), minlength=m)
     known = np.bincount(tok.row, c > 0, minlength=m).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids["v"], pa.int64(), mask=ids["null"]), pa.array(held), pa.array(tok.n), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(np.bincount(tok.row, score, minlength=m)), pa.array(np.diff(offsets))], names=[c.split()[0] for c in SCORED.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(ids["v"], pa.int64(), mask=ids["null"]), pa.array(ids["held"]), pa.array(tok.n), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(np.bincount(tok.row, score, minlength=m)), pa.array(np.diff(offsets))], names=[c.split()[0] for c in SCORED.split(", ")])
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-PARTS = "part int, counts binary, other binary"
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte occurs in words, each word once a block; 256: words."""
+    total = np.zeros(257, np.int64)
+    for b in batches:
+        for raw, size, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total[:256] += np.bincount(_unzip(raw, np.uint8, size), minlength=256)
+            total[256] += n
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], names=["byte", "n"])
 
 
 def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -317,90 +396,69 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     common.small_batches(spark)
     src = common.plain(docs, doc_id=doc_id, text=text, held=held).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held", F.lit(False)).alias("held"))
     _, chars = common.input_chars(src)
-    blocks, shards = 1 + chars // BLOCK_CHARS, 1 + chars // SHARD_CHARS
-    blocked = src.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    packed = common.stored(blocked.groupBy("block").applyInArrow(lambda t: _packed(t, shards), PACKED), "blocks")
-
-    texts = packed.where("shard is null")
-    sums = texts.agg(F.sum("tokens").alias("n")).first()
-    n = int(sums["n"] or 0)
+    shards = int(1 + chars // SHARD_CHARS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for t in common.gathered(batches, BLOCK_BYTES):
+            yield _packed(t, block, shards)
+            block += 1
+
+    packed = common.stored(src.mapInArrow(pack, PACKED), "blocks")
+    texts = packed.where("shard is null").select("block", "ids", "texts", "size", "tokens", "ends")
+    words = packed.where("shard is not null").select("block", "shard", "bytes", "sizes", "counts", "words", "size")
+    sums = texts.agg(F.sum("tokens").alias("n"), F.sum("ends").alias("e")).first()
+    n, ends = int(sums["n"] or 0), int(sums["e"] or 0)
+    histogram = np.zeros(257, np.int64)
+    for r in words.select("bytes", "size", "words").mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        histogram[r["byte"]] = r["n"]
+    byte_code = huffman(histogram)
+
+    def spell(t: pa.Table) -> pa.Table:
+        w, model = ShardWords(t), Spelling(byte_code)
+        at = w.first[w.total > 0]
+        model.learn(w.data, w.start[at], w.end[at])
+        return _parts_table(_parts(model.mixer))
+
+    spelling = spark.sparkContext.broadcast(_merged(words.groupBy("shard").applyInArrow(spell, PARTS), BYTE_ORDERS))
+    kept: dict[str, object] = {}
     least = n / (1 << COMMON)
-    words = packed.where("shard is not null").select("block", "shard", "hashes", "counts")
-    counted = common.stored(words.groupBy("shard").applyInArrow(lambda t: _counted(t, least), COUNTED), "counts")
+
+    def count(t: pa.Table) -> pa.Table:
+        if "spelling" not in kept:
+            kept["spelling"] = Spelling(byte_code, spelling.value)
+        return _counted(t, least, kept["spelling"])
+
+    counted = common.stored(words.groupBy("shard").applyInArrow(count, COUNTED), "counts")
     # at most 2**COMMON words are that common, which bounds what the driver gets
     tops = counted.where("block = -1").select("distinct", "once", "hashes", "counts").collect()
     hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in tops] or [np.zeros(0, np.uint64)])
     often = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in tops] or [np.zeros(0, np.int64)])
     order = np.argsort(hashes)
     hashes, often = hashes[order], often[order]
-    spelling = _spelling(texts)
-    ends = src.where(~F.col("held")).count()
     v = sum(r["distinct"] for r in tops) + (ends > 0)
     rare = max(0, n - ends - int(often.sum()))
-    new = min(1.0, (sum(r["once"] for r in tops) + 1) / (rare + 1)) if least >= 1 or rare else 1.0  # Good and Turing's share of new words
+    new = min(1.0, (sum(r["once"] for r in tops) + 1) / (rare + 1))  # Good and Turing's share of new words
     word_code = huffman(np.concatenate([[ends, rare], often]))
-    byte_code = huffman(spelling)
-    given = spark.sparkContext.broadcast((hashes, word_code, byte_code))
+    given = spark.sparkContext.broadcast((hashes, word_code))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*given.value)
+        model, step = Words(*given.value), CHUNK // 16
         for b in batches:
             for k in range(b.num_rows):
-                _learn_block(model, b.slice(k, 1).to_pylist()[0])
-        out = []
-        for kind, m in enumerate((model.words, model.bytes)):
-            if m.seen.any():
-                for s, part in enumerate(np.split(m.counts, SLICES, axis=2)):
-                    first = s == 0
-                    out.append((kind * SLICES + s, pa.compress(np.ascontiguousarray(part), "zstd", asbytes=True), learning.pack({"w": m.weights * m.seen[:, None], "seen": m.seen, "refine": m.refine}) if first else None))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "counts", "other"])
+                step = _learn_block(model, b.slice(k, 1).to_pylist()[0], step)
+        yield from _parts_table(_parts(model.mixer)).to_batches()
 
-    def add(t: pa.Table) -> pa.Table:
-        kind = t.column("part")[0].as_py() // SLICES
-        shape = ((ORDERS, BYTE_ORDERS)[kind], 2, (1 << BITS) // SLICES)
-        total = sum(np.frombuffer(pa.decompress(x, int(np.prod(shape)) * 4, "zstd", asbytes=True), np.int32).astype(np.int64) for x in t.column("counts").to_pylist())
-        got = [learning.unpack(x) for x in t.column("other").to_pylist() if x]
-        other = learning.pack({k: sum(g[k] for g in got) for k in got[0]}) if got else None
-        return pa.Table.from_arrays([t.column("part")[:1], pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary()), pa.array([other], pa.binary())], names=["part", "counts", "other"])
-
-    parts = texts.select("texts", "size", "hashes", "held").mapInArrow(learn, PARTS).groupBy("part").applyInArrow(add, PARTS).collect()
-    state = []
-    for kind, k in enumerate((ORDERS, BYTE_ORDERS)):
-        blank = Mixer(k)
-        got = {r["part"] - kind * SLICES: r for r in parts if r["part"] // SLICES == kind}
-        if got:
-            counts = np.concatenate([np.frombuffer(got[s]["counts"], np.int32).reshape(k, 2, -1) for s in range(SLICES)], 2)
-            other = learning.unpack(bytes(got[0]["other"]))
-            seen = other["seen"][:, None]
-            state.append({"counts": counts, "weights": np.where(seen > 0, other["w"] / np.maximum(seen, 1), blank.weights), "refine": other["refine"]})
-        else:
-            state.append({"counts": blank.counts, "weights": blank.weights, "refine": blank.refine})
-    learned = spark.sparkContext.broadcast(state)  # tables of a fixed size
-    kept: list[Model] = []
+    learned = spark.sparkContext.broadcast(_merged(texts.select("ids", "texts", "size").mapInArrow(learn, PARTS), ORDERS))
+    known: dict[str, Words] = {}
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not kept:
-            kept.append(Model(*given.value, learned.value))
-            kept[0].ends, kept[0].rare, kept[0].new = ends, rare, new
-        right = right.sort_by("shard")
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
-        return pa.Table.from_batches([_score_block(kept[0], r, counts, n, v) for r in left.to_pylist()])
-
-    whole = texts.select("block", "ids", "held", "texts", "size", "hashes")
-    back = counted.where("block >= 0").select("block", "shard", "counts")
-    return whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORED)
-
-
-def _spelling(texts: DataFrame) -> np.ndarray:
-    """How often each byte occurs in words, each word once a block."""
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.frombuffer(x, np.int64) for b in batches for x in b.column(0).to_pylist()]
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(sum(got))], names=["byte", "n"])
-
-    rows = texts.select("spelling").mapInArrow(total, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(257, np.int64)
-    for r in rows:
-        out[r["byte"]] = r["n"]
-    return out
+        if "words" not in known:
+            known["words"] = Words(*given.value, learned.value)
+        rows = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        counts = np.concatenate([_unzip(r["counts"], np.int64, r["words"]) for r in rows] or [np.zeros(0, np.int64)])
+        spelled = np.concatenate([_unzip(r["spelled"], np.float32, r["words"]) for r in rows] or [np.zeros(0, np.float32)])
+        return pa.Table.from_batches([_score_block(known["words"], r, counts, spelled, n, v, ends, rare, new) for r in left.to_pylist()])
+
+    back = counted.where("block >= 0").select("block", "shard", "counts", "spelled", "words")
+    return texts.select("block", "ids", "texts", "size").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORED)
