@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, context_mixing, fingerprint, langid, learning, packing, quality, shingle_join, suffix_dedup, toxicity
+from . import common, context_mixing, decontam, fingerprint, html_extract, langid, learning, packing, quality, shingle_join, suffix_dedup, toxicity
 
 LOG2_10 = math.log2(10)
 
@@ -41,6 +41,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(common.table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.plain(common.table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     model = langid.language_model(docs.where(~learning.held(F.col("doc_id"), 4, 2)))
@@ -49,7 +53,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), length=400, keep_text=False).drop("kept_text")
+    return suffix_dedup.measure_repeats(common.table(spark, sf_dir, "documents"), length=400)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(common.table(spark, sf_dir, "pages"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +81,10 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
 }
