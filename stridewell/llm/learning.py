@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.withColumn("_h", F.xxhash64(F.col("doc_id"))).orderBy("_h", "doc_id").limit(rows)
     # the sample has at most `rows` ids of 8 bytes, which bounds the broadcast
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "_h", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_h", "text", "label")
 
 
 def train_once(sample: DataFrame, features: Callable, train: Callable[[list, np.ndarray], dict[str, np.ndarray]], kind: pa.DataType = pa.int64()) -> dict[str, np.ndarray] | None:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import common, learning, textkernel as tk
 
 BITS, SAMPLE, ROUNDS = 18, 8192, 3
+#: A small sample is gone through more often, up to MOST_ROUNDS times, for about UPDATES steps in all.
+UPDATES, MOST_ROUNDS = 12_000, 30
 #: FTRL's learning rate, its smoothing, and the L1 and L2 terms.
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 0.5
 BLOCK = 1 << 19
@@ -89,7 +91,7 @@ def train(examples: list[dict[str, np.ndarray]], labels: np.ndarray) -> dict[str
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2 * 0.01))
 
-    for _ in range(ROUNDS):
+    for _ in range(max(ROUNDS, min(MOST_ROUNDS, UPDATES // max(1, len(rows))))):
         for (i, x), y in zip(rows, labels.tolist(), strict=True):
             w = weights(i)
             g = (learning.sigmoid(w @ x) - y) * x
