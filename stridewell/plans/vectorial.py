@@ -25,7 +25,11 @@ def _with_stats(spark, sf, start=0, end=14):
     return long.join(F.broadcast(stats), "dim")  # a row for each dimension
 
 
-SC = {k: F.col(k) for k in ("mean", "std", "min", "max", "q01", "q99")}
+def _sc():
+    """The columns of statistics."""
+    return {k: F.col(k) for k in ("mean", "std", "min", "max", "q01", "q99")}
+
+
 S14 = f"{VEC}, j AS (SELECT vec.*, mean, std, mn, mx, q01, q99 FROM vec JOIN st USING (dim) WHERE dim < 14)"
 CLIP = "greatest(-1.0, least(1.0, {}))"
 
@@ -65,7 +69,7 @@ for _id, _kind in (("p5", "min_max"), ("p6", "q99"), ("p7", "mean_std"), ("p8",
 
     @query(f"{_id}_normalise_{_kind}", f"WITH {S14} SELECT vec_id, dim, round({NORMS[_kind]}, 6) AS y FROM j")
     def _(spark, sf, kind=_kind):
-        return _with_stats(spark, sf).select("vec_id", "dim", r6(vec.normalise(kind, F.col("x"), SC), "y"))
+        return _with_stats(spark, sf).select("vec_id", "dim", r6(vec.normalise(kind, F.col("x"), _sc()), "y"))
 
 
 TWO = f"{VEC}, t AS (SELECT vec_id, dim // 7 AS t, dim % 7 AS d, x FROM vec WHERE dim < 14), ts AS (SELECT t, d, min(x) AS mn, max(x) AS mx FROM t GROUP BY 1, 2)"
@@ -75,13 +79,13 @@ TWO = f"{VEC}, t AS (SELECT vec_id, dim // 7 AS t, dim % 7 AS d, x FROM vec WHER
 def _(spark, sf):
     long = _long(spark, sf, 0, 14).withColumn("t", F.floor(F.col("dim") / 7).cast("long")).withColumn("d", F.col("dim") % 7)
     stats = vec.statistics(long, ["t", "d"])
-    return long.join(F.broadcast(stats), ["t", "d"]).select("vec_id", "t", "d", r6(vec.normalise("min_max", F.col("x"), SC), "y"))
+    return long.join(F.broadcast(stats), ["t", "d"]).select("vec_id", "t", "d", r6(vec.normalise("min_max", F.col("x"), _sc()), "y"))
 
 
 @query("p11_round_trip", f"WITH {S14} SELECT vec_id, dim, round(x, 6) AS min_max, round(x, 6) AS mean_std, round(greatest(q01, least(q99, x)), 6) AS q99 FROM j")
 def _(spark, sf):
     j = _with_stats(spark, sf)
-    back = [r6(vec.unnormalise(k, vec.normalise(k, F.col("x"), SC), SC), k) for k in ("min_max", "mean_std", "q99")]
+    back = [r6(vec.unnormalise(k, vec.normalise(k, F.col("x"), _sc()), _sc()), k) for k in ("min_max", "mean_std", "q99")]
     return j.select("vec_id", "dim", *back)
 
 
@@ -280,7 +284,7 @@ def _(spark, sf):
 @query("r8_transform_chain", f"WITH {S14} SELECT vec_id, round(sum(x), 5) AS total FROM j GROUP BY 1")
 def _(spark, sf):
     """Slice, normalise, join and back again, in reverse order."""
-    j = _with_stats(spark, sf).withColumn("y", vec.normalise("min_max", F.col("x"), SC)).withColumn("z", vec.unnormalise("min_max", F.col("y"), SC))
+    j = _with_stats(spark, sf).withColumn("y", vec.normalise("min_max", F.col("x"), _sc())).withColumn("z", vec.unnormalise("min_max", F.col("y"), _sc()))
     return j.groupBy("vec_id").agg(F.round(F.sum("z"), 5).alias("total"))
 
 
