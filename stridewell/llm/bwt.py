@@ -3,7 +3,7 @@
 A shard is one string; its transform gives, for each suffix, the symbols before it and the suffix that starts with them
 (the last-to-first map), here kept by position, STEP symbols at a time. The merge keeps all shards' suffixes in one
 sequence, the interleave, cut into blocks of suffixes that agree so far. A round takes the STEP symbols before each
-suffix, orders each block's suffixes stably by them and so moves every suffix STEP places back along its string:
+suffix, orders each block's suffixes by them (by a hash of them) and so moves every suffix STEP places back along its string:
 suffixes that agreed on h symbols now agree on h + STEP. Blocks of one suffix are done and leave the interleave. What
 is left at the wanted depth are intervals of suffixes with a common prefix of that depth. No shard's suffixes are
 sorted beforehand and no suffix is compared with another beyond the STEP symbols of a round.
@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .textkernel import mix
+
 STEP = 8
 
 
@@ -39,7 +41,8 @@ def interleave(before: np.ndarray, row: np.ndarray, end: np.ndarray, block: np.n
         symbols = before[row[at], end[at] - done]
         if depth - done < STEP:  # the last round takes what is left
             symbols = symbols & np.uint64((1 << (8 * (depth - done))) - 1)
-        order = np.lexsort((symbols, block))
+        # any order of the symbols will do that brings equal ones of a block together
+        order = np.argsort(mix(symbols + mix(block.astype(np.uint64))))
         at, symbols, block = at[order], symbols[order], block[order]
         new = np.ones(len(at), bool)
         new[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bwt, common, textkernel as tk
 
 ANCHOR = 64
-MOST, PART, BLOCK = 1024, 2048, 1 << 19
+MOST, TOGETHER, PART, BLOCK = 4096, 768, 4096, 1 << 19
 #: Rows of spans that may be broadcast, after counting them; more are joined by shuffle.
 MOST_BROADCAST = 300_000
 
@@ -60,16 +60,26 @@ def anchors(sums: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     top = np.uint32(0xFFFFFFFF)
     h = np.full(n, top, np.uint32)
-    at = np.arange(max(0, n - ANCHOR + 1))
-    h[: len(at)] = (_hashes(sums, at, at + ANCHOR) >> np.uint64(32)).astype(np.uint32)
-    stop = np.repeat(offsets[1:], size)
-    where = np.arange(n)
-    h[where + ANCHOR > stop] = top
+    m = max(0, n - ANCHOR + 1)
+    full = sums[ANCHOR:] - sums[:m]
+    full *= tk.powers(tk.UNBASE, m)[:m]
+    full *= np.uint64(0x9FB21C651E98DF25)
+    full >>= np.uint64(32)
+    h[:m] = full
+    short, none = np.zeros(n, bool), np.zeros(n, bool)  # where no 64 bytes, and no window, start
+    some = offsets[1:][size > 0]
+    for k in range(1, ANCHOR):
+        short[np.maximum(some - k, offsets[:-1][size > 0])] = True
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - length + 1), 1)
+    np.add.at(edge, offsets[1:], -1)
+    none = np.cumsum(edge[:-1]) > 0
+    h[short] = top
     low = _sliding(h, w, np.minimum, 0xFFFFFFFF)
-    low[where + length > stop] = 0  # no window starts here
+    low[none] = 0
     # the largest of the minima of the windows around p: p is an anchor if that is its own hash
     high = _sliding(low[::-1], w, np.maximum, 0)[::-1]
-    found = np.flatnonzero((h == high) & (where + ANCHOR <= stop) & (high > 0))
+    found = np.flatnonzero((h == high) & ~short & (high > 0))
     return found, np.searchsorted(offsets, found, "right") - 1
 
 
@@ -188,8 +198,8 @@ def _by_transform(t: pa.Table, length: int) -> pa.Table:
         mine = mine[np.argsort(key[mine], kind="stable")]
         ends = np.append(np.flatnonzero(key[mine][1:] != key[mine][:-1]) + 1, len(mine))
         first = 0
-        while first < len(mine):  # whole cores, up to MOST stretches at once
-            last = max(int(ends[np.searchsorted(ends, first, "right")]), int(ends[max(0, np.searchsorted(ends, first + MOST, "right") - 1)]))
+        while first < len(mine):  # whole cores, up to TOGETHER stretches at once
+            last = max(int(ends[np.searchsorted(ends, first, "right")]), int(ends[max(0, np.searchsorted(ends, first + TOGETHER, "right") - 1)]))
             _repeats(mine[first:last], [raw[i] for i in mine[first:last]], key, doc, start, before, shift, count, e, length, low, high)
             first = last
     got = np.flatnonzero(high >= 0)
@@ -215,12 +225,18 @@ def _repeats(at, raw, key, doc, start, before, shift, count, e, length, low, hig
         return
     row, j = row[hit], j[hit]
     # stretches of one text may overlap and hold the same window, which then is there once
-    place = np.unique(np.column_stack([block, doc[at][row], start[at][row] - j]), axis=0)[:, 0]
+    same = tk.mix(tk.mix(doc[at][row].view(np.uint64)) + (start[at][row] - j).astype(np.uint64))
+    place = block[np.unique(tk.mix(same + tk.mix(block.astype(np.uint64))), return_index=True)[1]]
     size = int(block.max()) + 1
     real = ((np.bincount(place, minlength=size) > 1) | (np.bincount(block, count[at][row] > 1, minlength=size) > 0))[block]
-    row, j = at[row[real]], j[real]
-    np.minimum.at(low, row, j + shift[row])
-    np.maximum.at(high, row, j + shift[row])
+    row, j = row[real], j[real]
+    order = np.argsort(row, kind="stable")
+    row, j = row[order], j[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+    if len(first):
+        to = at[row[first]]
+        low[to] = np.minimum(low[to], np.minimum.reduceat(j, first) + shift[to])
+        high[to] = np.maximum(high[to], np.maximum.reduceat(j, first) + shift[to])
 
 
 def _split(rows: DataFrame, length: int) -> DataFrame:
@@ -296,29 +312,48 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     hits = keyed.join(reach, (F.col("key") == F.col("root_key")) & (F.col("same") == F.col("root_same")))
     spans = hits.select("doc", (F.col("start") - F.col("high")).alias("first"), (F.col("start") - F.col("low") + length).alias("last"))
     spans = spans.union(occurs.where("key is null").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("before")).alias("last")))
-    return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    return _unions(spans)
+
+
+def _unions(spans: DataFrame) -> DataFrame:
+    """doc, spans: the spans of each doc, joined where they overlap or touch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            inner = lists.flatten()
+            first, last = (inner.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            out = []
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                a, z = _joined(first[x:y], last[x:y])
+                out.append([{"first": p, "last": q} for p, q in zip(a.tolist(), z.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["doc", "spans"])
+
+    lists = spans.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return lists.mapInArrow(run, "doc long, spans array<struct<first:bigint,last:bigint>>")
 
 
 MEASURES = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _with_spans(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
-    """docs with a column _spans: of each text, what repeats (null: nothing).
+    """docs with a last column more: of each text, what repeats (null: nothing).
 
     Texts are told apart by doc_id; where an id is null or occurs twice, rows are numbered first.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
+    key, added = common.fresh(docs, "_doc"), common.fresh(docs, "_spans")
     ids = docs.select(F.col(doc_id).cast("long").alias("doc"))
     twice = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc is null")
     if twice.isEmpty():
-        full = docs.withColumn("_doc", F.col(doc_id).cast("long"))
+        full = docs.withColumn(key, F.col(doc_id).cast("long"))
     else:
-        full = common.stored(docs.withColumn("_doc", F.monotonically_increasing_id()), "numbered")
-    spans = common.stored(repeated_spans(full.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), length), "spans")
+        full = common.stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    spans = common.stored(repeated_spans(full.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), length), "spans")
     small = spans.count() <= MOST_BROADCAST
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    return full.join(F.broadcast(spans) if small else spans, "_doc", "left").drop("_doc")
+    spans = spans.select(F.col("doc").alias(key), F.col("spans").alias(added))
+    return full.join(F.broadcast(spans) if small else spans, key, "left").select(*docs.columns, added)
 
 
 def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -344,7 +379,7 @@ def measure_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id",
                 pa.array([n for _, n in kept], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in kept], pa.string()),
             ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(src, length, "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
+    return _with_spans(src, length, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MEASURES}")
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -364,4 +399,4 @@ def cut_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text
             columns[at] = pa.array(left, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
