@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,36 +32,113 @@ from . import common, textkernel as tk
 LENGTH, END_ID = 4096, 2
 #: Fixed values, in tokens: cost of a window, of a cut inside a text, of a cut inside a sentence.
 EACH, IN_TEXT, IN_SENTENCE = 8, 4, 256
-LEAST_POWER = 6
-BUCKET_CHARS, BLOCK, MOST_KEPT = 6_000_000, 1 << 21, 150_000
+LEAST_POWER = 9
+BUCKET_CHARS, BLOCK, MOST_KEPT = 6_000_000, 10 << 20, 500_000
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
 
+def _known_sizes() -> np.ndarray:
+    """Bytes that a word may have to be encoded with others: their number must not change when a word is normalised.
+
+    These are visible ASCII and, with the lead byte 0xC3, the letters from U+00C0 to U+00FF."""
+    ok = np.zeros(256, bool)
+    ok[0x21:0x7F] = True
+    ok[0x80:0xC0] = True  # what follows a lead byte
+    ok[0xC3] = True
+    return ok
+
+
+PLAIN = _known_sizes()
+
+
 class WordIds:
-    """A tokenizer's ids for words, kept from batch to batch while there are at most MOST_KEPT words."""
+    """A tokenizer's ids for words.
+
+    Plain words are encoded many at once, as a text with spaces between; as the tokenizer drops spaces and keeps all
+    other bytes, the bytes of the ids tell where each word ends. Where they do not, and for other words, each is
+    encoded by itself. Ids are kept from batch to batch for at most MOST_KEPT words.
+    """
 
     def __init__(self, spec: str):
-        self.encode = Tokenizer.from_str(spec).encode_batch_fast
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word, and all the ids."""
-        if len(self.at) > MOST_KEPT:
-            self.clear()
-        new = [w for w in words if w not in self.at]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.encode(part, add_special_tokens=False), strict=True):
-                self.at[w] = len(self.ids)
-                self.ids.append(e.ids)
-        got = [self.ids[self.at[w]] for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return sizes, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+        t = Tokenizer.from_str(spec)
+        self.encode = t.encode_batch_fast
+        vocab = t.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token.removesuffix("</w>"))
+        self.words = pa.array([], pa.large_string())
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for k in range(0, len(words), 4096) for e in self.encode(words[k : k + 4096], add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return size, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
+
+    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = common.utf8(words)
+        text = words.to_pylist()
+        ids = np.array(self.encode([" ".join(text)], add_special_tokens=False)[0].ids, np.uint32)
+        bare = np.concatenate([[0], np.cumsum(~tk.IS_SPACE[data])])
+        ends = np.cumsum(bare[offsets[1:]] - bare[offsets[:-1]])
+        sums = np.cumsum(self.width[ids])
+        last = np.searchsorted(sums, ends)
+        if not len(sums) or last[-1] >= len(sums) or (sums[last] != ends).any() or sums[-1] != ends[-1]:
+            return self._each(text)
+        return np.diff(last, prepend=-1), ids
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of words with the white space after them."""
+        data, offsets = common.utf8(words)
+        odd = np.concatenate([[0], np.cumsum(~(PLAIN[data] | tk.IS_SPACE[data]))])
+        mark = np.zeros(len(data) + 1, np.int64)
+        mark[1:-1] = np.cumsum((data[:-1] == 60) & (data[1:] == 124))  # <| may begin a special token
+        odd = (odd[offsets[1:]] > odd[offsets[:-1]]) | (mark[np.maximum(offsets[1:] - 1, 0)] > mark[offsets[:-1]])
+        size = np.zeros(len(words), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        for k in range(0, len(plain), 16_384):
+            at = plain[k : k + 16_384]
+            size[at], ids = self._together(words.take(pa.array(at)))
+            parts.append((at, ids))
+        if len(rest):
+            size[rest], ids = self._each(words.take(pa.array(rest)).to_pylist())
+            parts.append((rest, ids))
+        first = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint32)
+        for at, ids in parts:
+            out[tk.flat_ranges(first[at], size[at])] = ids
+        return size, out
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and number of each word's ids, and the ids in which they are."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        if len(self.words) + len(new) > MOST_KEPT:  # only what came again stays
+            again = np.unique(at.drop_null().to_numpy())
+            self.ids = self.ids[tk.flat_ranges(self.first[again], self.size[again])]
+            self.words, self.size = self.words.take(pa.array(again)), self.size[again]
+            self.first = np.cumsum(self.size) - self.size
+            at = pc.index_in(words, value_set=self.words)
+        if len(new):
+            size, ids = self._encoded(new)
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+            self.words = pa.concat_arrays([self.words, new])
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        place = np.where(missing, len(self.words) - len(new) + np.cumsum(missing) - 1, at.fill_null(0).to_numpy(zero_copy_only=False))
+        return self.first[place], self.size[place], self.ids
+
+
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(spec: str) -> WordIds:
+    """One for each tokenizer and worker, so that tasks share what is kept."""
+    if spec not in _kept:
+        _kept.clear()
+        _kept[spec] = WordIds(spec)
+    return _kept[spec]
 
 
 def token_rows(data: np.ndarray, offsets: np.ndarray, words: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,19 +151,23 @@ def token_rows(data: np.ndarray, offsets: np.ndarray, words: WordIds, end_id: in
     bounds = np.append(start, len(data)) - start[0]
     text = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[start[0] :])))
     coded = text.dictionary_encode()
-    sizes, flat = words.of(coded.dictionary.to_pylist())
+    first, size, ids = words.of(coded.dictionary)
     code = coded.indices.to_numpy()
-    begin = np.cumsum(sizes) - sizes
-    each = sizes[code]
-    ids = flat[tk.flat_ranges(begin[code], each)]
+    each = size[code]
     per_row = np.bincount(row, each, minlength=n).astype(np.int64) + 1
     offs = np.concatenate([[0], np.cumsum(per_row)])
-    out = np.empty(offs[-1], np.uint32)
-    ends = np.zeros(len(out), bool)
-    ends[offs[1:] - 1] = True
-    out[ends] = end_id
-    out[~ends] = ids
     after = np.cumsum(each) + row  # position after each word among all ids; one end id for each row before
+    out = np.full(offs[-1], end_id, np.uint32)
+    step = np.ones(int(each.sum()), np.int32)  # from one word's ids to the next one's
+    some = np.flatnonzero(each)
+    head = first[code[some]]
+    at = np.cumsum(each[some]) - each[some]
+    step[at[1:]] = head[1:] - (head[:-1] + each[some][:-1] - 1)
+    if len(step):
+        step[0] = head[0]
+    inside = np.ones(len(out), bool)
+    inside[offs[1:] - 1] = False
+    out[inside] = ids[np.cumsum(step)]
     return out, offs, after[STOPS[data[end - 1]]]
 
 
@@ -93,19 +175,22 @@ def windows(total: int, text_ends: np.ndarray, sentence_ends: np.ndarray, length
     """Ends of the windows that cost least; text_ends are increasing, and the last is total."""
     if not total:
         return []
-    at = np.union1d(text_ends, sentence_ends[(sentence_ends > 0) & (sentence_ends < total)])
-    at = np.union1d(at, [0, total])
-    far = np.flatnonzero(np.diff(at) > length)
-    hard = np.concatenate([np.arange(at[i] + length, at[i + 1], length) for i in far]) if len(far) else np.zeros(0, np.int64)
-    at = np.union1d(at, hard)
-    cost = np.full(len(at), float(IN_TEXT + EACH))
-    cost[np.isin(at, hard)] = IN_SENTENCE + EACH
-    cost[np.isin(at, text_ends)] = EACH
+    kind = np.zeros(total + 1, np.uint8)
+    kind[sentence_ends[(sentence_ends > 0) & (sentence_ends < total)]] = 1
+    kind[text_ends] = 3
+    kind[[0, total]] = 3
+    at = np.flatnonzero(kind)
+    for i in np.flatnonzero(np.diff(at) > length).tolist():
+        kind[np.arange(at[i] + length, at[i + 1], length)] = 2
+    at = np.flatnonzero(kind)
+    cost = np.array([0, IN_TEXT + EACH, IN_SENTENCE + EACH, EACH], float)[kind[at]]
     exact: dict[int, list[int]] = {}
+    number = np.cumsum(kind > 0, dtype=np.int32) - 1
     for k in range(LEAST_POWER, length.bit_length()):
-        i = np.searchsorted(at, at - (1 << k))
-        for j in np.flatnonzero((at >= 1 << k) & (at[np.minimum(i, len(at) - 1)] == at - (1 << k))).tolist():
-            exact.setdefault(j, []).append(int(i[j]))
+        j = np.flatnonzero(at >= 1 << k)
+        j = j[kind[at[j] - (1 << k)] > 0]
+        for x, y in zip(j.tolist(), number[at[j] - (1 << k)].tolist(), strict=True):
+            exact.setdefault(x, []).append(y)
     pos, costs = at.tolist(), cost.tolist()
     best, came = [0.0] * len(pos), [0] * len(pos)
     key = [0.0] * len(pos)  # best cost up to a cut, plus its position: the padding's part that the start decides
@@ -116,9 +201,10 @@ def windows(total: int, text_ends: np.ndarray, sentence_ends: np.ndarray, length
             queue.popleft()
         i = queue[0]
         c = key[i] + length - p
-        for e in exact.get(j, ()):
-            if best[e] < c:
-                c, i = best[e], e
+        if j in exact:
+            for e in exact[j]:
+                if best[e] < c:
+                    c, i = best[e], e
         best[j], came[j] = c + costs[j], i
         k = key[j] = best[j] + p
         while queue and key[queue[-1]] >= k:
@@ -172,9 +258,9 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
     kind = np.uint16 if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
-        for b in batches:
-            words = words or WordIds(shared.value)
+        words = word_ids(shared.value)
+        for t in common.gathered(batches, BLOCK):
+            b = t.to_batches()[0]
             data, offsets = common.utf8(b.column(1))
             for i, j in common.cuts(offsets, BLOCK):
                 ids, offs, breaks = token_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, end_id)
