@@ -28,6 +28,8 @@ ANCHOR = 64
 MOST, TOGETHER, PART, BLOCK = 4096, 768, 4096, 1 << 19
 #: Rows of spans that may be broadcast, after counting them; more are joined by shuffle.
 MOST_BROADCAST = 300_000
+#: The same for places of stretches.
+MOST_LISTED = 20_000
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -162,7 +164,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (doc, start, before, after, key, same, count) with the bytes of the stretch."""
     around = (length - ANCHOR) // 2
     core = length - around
-    small = wanted.count() <= MOST_BROADCAST
+    small = wanted.count() <= MOST_LISTED
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "before", "after", "key", "same", "count")).alias("w"))
     joined = docs.join(F.broadcast(lists) if small else lists, "doc").select("text", "w", "doc")
 
