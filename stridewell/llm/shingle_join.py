@@ -7,9 +7,9 @@ Two texts link when ``den * |A & B| >= num * |A | B|``. Shingles are ordered, ra
 Frequent shingles are dealt to cells by hash; the second and later ones of a cell are guarantees, since two of them are
 then shared, and all pairs of a cell are indexed. Prefixes grow until they hold enough.
 
-Candidates are the sets that share an index key, of compatible sizes and, for rare keys, positions. First each key's
-sets are held against its smallest, then those pairs of a key that are still in different components, so copies of
-copies are not all paired. All verified pairs are exact. Frequency comes from a count sketch over all shingles, of
+Candidates are the sets that share an index key, of compatible sizes and places. First each key's sets are held against
+the one with the fewest shingles of its own before the key, then those pairs of a key that are still in different
+components, so copies of copies are not all paired. All verified pairs are exact. Frequency comes from a count sketch over all shingles, of
 2**SKETCH_BITS places; it only decides order and class, never what links.
 
 Defined results: texts without words (or null) have no shingles, link with nothing and are their own component; equal
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, graph, textkernel as tk
 
-SKETCH_BITS, SLICES, BLOCK = 20, 16, 1 << 19
+SKETCH_BITS, SLICES, BLOCK = 21, 16, 1 << 19
 #: Sets of fewer than 2**LEAST_CELLS shingles index every shingle alone. A set of 2**g has 2**g / PER_CELL cells.
 LEAST_CELLS, PER_CELL, SALTS = 6, 8, 64
 #: Cells of the counts that bound what two sets share.
@@ -53,17 +53,18 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
 def _measure(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document, and each task's part of the sketch in SLICES rows (doc_id null, slice set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         names = ["doc_id", "n", "sid", "slice", "counts"]
         for b in batches:
             data, offsets = common.utf8(b.column(1))
             for i, j in common.cuts(offsets, BLOCK):
                 h, _, size, sid = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                place, count = np.unique((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                sketch[place] += count.astype(np.uint32)
                 m = j - i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, m), pa.array(size), pa.array(sid), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if sketch.any():
-            parts = sketch.astype(np.uint32).reshape(SLICES, -1)
+            parts = sketch.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return docs.mapInArrow(run, SETS)
@@ -72,22 +73,26 @@ def _measure(docs: DataFrame, k: int) -> DataFrame:
 def _sketch(measured: DataFrame) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in t.column("counts").to_pylist())
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     parts = measured.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint64)
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
     for p in parts:
-        out[p["slice"]] = np.frombuffer(p["counts"], np.uint64)
+        out[p["slice"]] = np.frombuffer(p["counts"], np.uint32)
     return out.reshape(-1)
 
 
 def index_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, their rows, positions (-1 for pairs) and whether hot, of a block's sets (h distinct, rows in order)."""
-    load = sketch.sum() / len(sketch)
-    bar = load + 8 * np.sqrt(load) + 16
+    """Keys, their rows, places and whether hot, of a block's sets (h distinct, rows in order).
+
+    A place counts shingles of the row that a partner cannot have, unless it shares an earlier rare one and so a key of
+    that: all before a rare shingle, and the rare ones before a pair.
+    """
+    load = sketch.sum(dtype=np.uint64) / len(sketch)
+    bar = load + 6 * np.sqrt(load) + 12
     count = sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     often = count > bar
-    order = np.lexsort((h, np.where(often, count, 0), row))
+    order = np.lexsort((h, count, row))
     h, row, often, count = h[order], row[order], often[order], count[order]
     keys, rows, places, hots = [], [], [], []
     exponent = np.zeros(len(size), np.int64)
@@ -118,6 +123,8 @@ def index_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndar
         held -= (held - sure)[first[r]]  # guarantees up to here
         need = size - -(-num * size // den) + 1
         within = held - sure < need[r]
+        alone = np.cumsum(single) - single
+        alone -= alone[first[r]]  # rare shingles before this one
         salt = tk.mix(g.astype(np.uint64) * np.uint64(2) + np.uint64(1))[r]
         s = np.flatnonzero(within & single)
         keys.append(tk.mix(t[s] ^ salt[s]))
@@ -131,7 +138,7 @@ def index_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndar
             x, y = by[b - back], by[b]
             keys.append(tk.mix(tk.mix(t[x] ^ salt[x]) * np.uint64(tk.BASE) + t[y]))
             rows.append(r[y])
-            places.append(np.full(len(y), -1))
+            places.append(alone[x])
             hots.append(np.minimum(cnt[x], cnt[y]) > 64 * bar)
     if not keys:
         z = np.zeros(0, np.int64)
@@ -144,10 +151,13 @@ def _index(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> D
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task indexes equal sets once
         for b in batches:
             data, offsets = common.utf8(b.column(1))
             for i, j in common.cuts(offsets, BLOCK):
                 h, row, size, sid = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                new = np.array([x not in seen and not seen.add(x) for x in sid.tolist()], bool)
+                h, row, size = h[new[row]], row[new[row]], np.where(new, size, 0)
                 key, r, pos, hot = index_keys(h, row, size, shared.value, num, den)
                 salt = np.where(hot, 1 + (sid[r].view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[r]), pa.array(size[r].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(salt.astype(np.int32))], names=["key", "sid", "n", "pos", "salt"])
@@ -156,10 +166,10 @@ def _index(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> D
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
-    """Sizes fit and, for a rare shingle that both have at some position, enough shingles can follow in both."""
+    """Sizes fit, and what both can share besides the shingles before their places is enough."""
     na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
     least = F.ceil((na + nb) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
-    return (na * num <= nb * den) & (nb * num <= na * den) & ((pa_ < 0) | (F.least(na - pa_, nb - pb) >= least))
+    return (na * num <= nb * den) & (nb * num <= na * den) & (F.least(na - pa_, nb - pb) >= least)
 
 
 def _of_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, make, what: str, column: str) -> DataFrame:
@@ -227,11 +237,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     entries = _index(src, k, num, den, _sketch(measured)).groupBy("key", "sid", "n", "salt").agg(F.max("pos").alias("pos"))
     group = Window.partitionBy("key", "salt")
-    entries = entries.withColumn("head", F.min(F.struct("sid", "n", "pos")).over(group)).withColumn("m", F.count(F.lit(1)).over(group))
+    entries = entries.withColumn("head", F.min(F.struct("pos", "sid", "n")).over(group)).withColumn("m", F.count(F.lit(1)).over(group))
     shared = common.stored(entries.where("m > 1 or salt > 0"), "shared")  # keys of one set lead nowhere
     star = shared.select(F.col("head.sid").alias("a"), F.col("sid").alias("b"), F.struct("n", "pos").alias("x"), "head")
     star = star.where("a <> b").where(_may_link("x", "head", num, den))
-    heads = shared.where("salt > 0").groupBy("key", "salt").agg(F.min(F.struct("sid", "n", "pos")).alias("x"))
+    heads = shared.where("salt > 0").groupBy("key", "salt").agg(F.min(F.struct("pos", "sid", "n")).alias("x"))
     heads = heads.withColumn("head", F.min("x").over(Window.partitionBy("key")))  # at most SALTS rows a key
     across = heads.where("x.sid <> head.sid").where(_may_link("x", "head", num, den)).select(F.col("head.sid").alias("a"), F.col("x.sid").alias("b"))
     links = _verified(star.select("a", "b").union(across), src, reps, k, num, den)
@@ -241,9 +251,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     marked = shared.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("all > 2 and lo <> hi").select("key")
     some = common.stored(marked.join(mixed, "key").select("key", "sid", "n", "pos", "root", "salt", F.col("head.sid").alias("top")), "mixed")
+    order = some.groupBy("sid").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
+    some = common.stored(some.join(order, "sid"), "mixed")
+    # a pair is held to what its first common key says, and comes up there alone
+    first = F.try_element_at(F.array_intersect(F.col("p.keys"), F.col("q.keys")), F.lit(1)) == F.col("p.key")
     pair = (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root"))
     fresh = ((F.col("p.sid") != F.col("q.top")) & (F.col("q.sid") != F.col("p.top"))) | (F.col("p.salt") != F.col("q.salt"))
-    rest = some.alias("p").join(some.alias("q"), pair & fresh & _may_link("p", "q", num, den))
+    rest = some.alias("p").join(some.alias("q"), pair & fresh & _may_link("p", "q", num, den) & first)
     rest = common.stored(rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
         more = _verified(rest, src, reps, k, num, den)
