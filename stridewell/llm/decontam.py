@@ -1,15 +1,19 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased runs of letters and digits. Every SEED-word run of a test item is counted over all texts; the
-rarest runs of each item that do not overlap become its seeds, so frequent phrases lead nowhere. A text is aligned with
-an item wherever it holds one of its seeds, in a window around the seed that is half an item longer on either side than
-the item. Smith-Waterman (match 2, mismatch -1, gap -1) scores the best local alignment; its score divided by that of
+Words are lower-cased runs of letters and digits. Every SEED-word run of a test item is counted over all texts; all
+runs that occur, overlapping and frequent ones too, are its seeds. A text is compared with an item wherever it holds
+one of its seeds, in a window around the seed that is half an item longer on either side than the item. The item's
+words that the window holds bound the score, so windows of frequent phrases that cannot reach the threshold are spared
+the alignment, and none that can. Smith-Waterman (match 2, mismatch -1, gap -1) scores the best local alignment; its score divided by that of
 the whole item is the likeness, so edited, cut and paraphrased copies count by what is left of them. A text is
 contaminated by an item from `threshold` on.
 
 Items (usually few) are indexed by hash. Where there are more than MOST_INDEXED runs, they are dealt to parts by item,
 and each part passes over the texts; no part of the work is left out.
 
+A copy that keeps no SEED words of its item in a row is not seen, whatever its likeness (say a word put in after every
+two).
+
 Defined results: null or empty items and texts match nothing; an item of fewer than SEED words is one seed, and matches
 only whole; repeated ids are texts of their own and may give repeated rows.
 """
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common, textkernel as tk
 
-SEED, SEEDS, THRESHOLD = 3, 24, 0.5
+SEED, THRESHOLD = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK, MOST_INDEXED = 1 << 19, 2_000_000
 
@@ -101,17 +105,8 @@ class Items:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
     def choose(self, count: np.ndarray) -> None:
-        """Keeps as seeds the rarest runs of each item that do not overlap, at most SEEDS."""
-        rarity = count[np.searchsorted(self.uniq, self.run)]
-        keep = np.zeros(len(self.run), bool)
-        order = np.lexsort((self.place, rarity, self.item))
-        taken: dict[int, list[int]] = {}
-        for f in order.tolist():
-            mine = taken.setdefault(int(self.item[f]), [])
-            p = int(self.place[f])
-            if len(mine) < SEEDS and all(abs(p - q) >= self.size[f] for q in mine):
-                mine.append(p)
-                keep[f] = True
+        """Keeps as seeds the runs that occur."""
+        keep = count[np.searchsorted(self.uniq, self.run)] > 0
         self.run, self.item, self.place, self.size = (x[keep] for x in (self.run, self.item, self.place, self.size))
         self.uniq = np.unique(self.run)
         if hasattr(self, "filter"):
@@ -175,11 +170,13 @@ def _matches(h: np.ndarray, row: np.ndarray, items: Items, threshold: float) ->
             j += 1
         a = max(first[r[x]], begin[x] - size // 2)
         z = min(first[r[x] + 1], last + size + size // 2 + 1)
+        i = j
+        if np.isin(items.words[item[x]], h[a:z]).sum() < threshold * size:  # no score is above that of these words
+            continue
         score, s, e = align(h[a:z], items.words[item[x]])
         like = score / (MATCH * size)
         if like >= threshold:
             out.append((int(r[x]), int(item[x]), like, int(a + s - first[r[x]]), int(a + e - first[r[x]])))
-        i = j
     best: dict[tuple[int, int], tuple] = {}
     for m in out:
         if m[:2] not in best or m[2] > best[m[:2]][2]:

@@ -321,6 +321,26 @@ def test_exact_benchmark_copies_are_found(spark, sf, docs):
         assert {(i, j) for i, t in flat.items() if f" {item} " in f" {t} "} <= got
 
 
+def test_changed_copies_with_an_intact_run_are_found(spark):
+    """Every copy of likeness 0.5 and more that keeps three words of its item in a row, wherever they are."""
+    rng = np.random.default_rng(14)
+    changed = [(14, (3, 7, 11)), (15, (2, 6, 10, 13))] + [(15, tuple(rng.choice(15, 4, replace=False).tolist())) for _ in range(60)]
+    changed += [(90, tuple(rng.choice(90, 30, replace=False).tolist())) for _ in range(10)]
+    items, rows, want = [], [], set()
+    for i, (size, places) in enumerate(changed):
+        item = [f"i{i}w{k}" for k in range(size)]
+        copy = [f"c{i}w{k}" if k in places else w for k, w in enumerate(item)]
+        text = [f"t{i}w{k}" for k in range(40)] + copy + [f"u{i}w{k}" for k in range(40)]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(text)))
+        number = {w: k for k, w in enumerate(dict.fromkeys(item + text))}
+        score, _, _ = decontam.align(*(np.array([number[w] for w in x], np.uint64) for x in (text, item)))
+        if score / (2 * size) >= 0.5 and any(copy[k : k + 3] == item[k : k + 3] for k in range(size - 2)):
+            want.add((i, i))
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(0, 0), (1, 1)} < want and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 def _cover(rows, n):
     at = collections.Counter(t[i : i + n] for _, t in rows for i in range(len(t) - n + 1))
