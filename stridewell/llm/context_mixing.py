@@ -19,6 +19,7 @@ texts. Without training texts all counts are 0.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -360,7 +361,8 @@ def _score_block(model: Words, row: dict, counts: np.ndarray, spelled: np.ndarra
     uniq, which, _ = tok.different()
     symbols = model.symbols(uniq)
     # a rare word is one of the known ones, by its count, or a new one, by its spelling
-    escaped = np.log10((1 - new) * counts / max(1, rare) + new * 10.0 ** np.maximum(spelled.astype(np.float64), -290))
+    with np.errstate(divide="ignore"):  # in logs, as no float holds the probability of a long spelling
+        escaped = np.logaddexp(np.log((1 - new) * counts / max(1, rare)), np.log(new) + spelled * math.log(10)) / math.log(10)
     symbol = np.full(len(tok.hash), END)
     symbol[~tok.is_end] = symbols[which]
     score = np.zeros(len(symbol))

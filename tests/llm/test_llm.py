@@ -472,6 +472,15 @@ def test_spellings_sum_to_less_than_one():
     assert 0.3 < total <= 1
 
 
+def test_every_byte_of_a_long_new_word_costs(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(60)), False) for i in range(20)]
+    rows += [(100 + n, "".join(chr(97 + c) for c in rng.integers(0, 26, n)), True) for n in (300, 3_000, 30_000)]
+    got = {r.doc_id: r.score for r in context_mixing.mixing_scores(spark.createDataFrame(rows, "doc_id long, text string, held boolean")).collect()}
+    for n in (300, 3_000, 30_000):  # 26 letters at random: 1.41 digits each at best
+        assert -2.2 * n < got[100 + n] < -1.3 * n
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def test_windows_cost_least():
     """Against all ways to cut, on small inputs."""
