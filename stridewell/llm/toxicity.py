@@ -7,8 +7,8 @@ of terms a weight of its own, so that words harmless alone count together. A tex
 long text hides nothing.
 
 Training takes at most `sample` labelled texts (a documented bound, 8192), by AdaGrad on each text's worst window,
-starting from the terms' log odds; terms of fewer than LEAST sample texts, or not likelier in toxic ones, weigh
-nothing. Scoring takes every whole text. Defined results: a text without words (or null) scores the bias; without any
+starting from the terms' log odds; terms of fewer than LEAST sample texts weigh nothing. Terms not likelier in toxic
+texts start near nothing and learn slowly, as they are many; pairs of them and they as context still count. Scoring takes every whole text. Defined results: a text without words (or null) scores the bias; without any
 labels every score is about 0.
 """
 
@@ -23,6 +23,8 @@ BITS, RANK, WINDOW, SAMPLE, ROUNDS = 19, 4, 160, 8192, 12
 PREFIXES = (4, 5, 6, 7)
 #: AdaGrad's step, the decay of weights and factors, and the sample texts that a term needs.
 STEP, DECAY, DECAY_V, LEAST = 0.25, 2e-4, 2e-3, 8
+#: Fixed values for terms not likelier in toxic texts: the scale of their first factors, and AdaGrad's first sum.
+REST, SLOW = 0.3, 1e5
 BLOCK = 1 << 19
 
 PLAIN = np.zeros(256, bool)  # characters that words keep
@@ -98,11 +100,13 @@ def train(examples: list[dict[str, np.ndarray]], labels: np.ndarray) -> dict[str
         df[int(y > 0), np.unique(e["t"])] += 1
     clean, toxic = df
     odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((labels == 0).sum() + 1))
-    active = (toxic + clean >= LEAST) & (odds > 0.5)  # rarer terms say nothing that holds for other texts
+    active = toxic + clean >= LEAST  # rarer terms say nothing that holds for other texts
     active[0] = False
     b, w = -3.0, np.where(active & (odds > 1), 0.5 * odds, 0)
-    v = np.where(active[:, None], np.abs(rng.normal(0, 0.1, (size, RANK))), 0)
-    gb, gw, gv = 1.0, np.ones(size, np.float32), np.ones((size, RANK), np.float32)
+    v = rng.normal(0, 0.1, (size, RANK))
+    v = np.where((odds > 0.5)[:, None], np.abs(v), REST * v) * active[:, None]  # toxic terms start out together
+    gb, gw = 1.0, np.where(odds > 0.5, 1, SLOW).astype(np.float32)
+    gv = np.repeat(gw[:, None], RANK, 1)
     part = 256
     for _ in range(ROUNDS):
         order = rng.permutation(len(examples))

@@ -227,6 +227,24 @@ def test_factorization_machine_learns_pairs():
     assert ((score >= 0.5) == np.array(labels)).mean() > 0.97
 
 
+def test_factorization_machine_learns_terms_equally_frequent_in_both_classes():
+    """No term alone tells the classes apart: an insult is toxic with a mention, a greeting without one."""
+    rng = np.random.default_rng(2)
+    texts, labels = [], []
+    for i in range(900):
+        mention, insult = i & 1, i >> 1 & 1
+        w = [*rng.choice([f"n{k}" for k in range(60)], 30), *["groupy"] * mention, "insultx" if insult else "greeting"]
+        rng.shuffle(w)
+        texts.append(" ".join(w).encode())
+        labels.append(int(mention == insult))
+
+    def block(some):
+        return np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+
+    model = toxicity.train(toxicity.features(*block(texts[:600])), np.array(labels[:600]))
+    assert ((toxicity.score_texts(*block(texts[600:]), model) >= 0.5) == np.array(labels[600:])).mean() > 0.9
+
+
 def test_models_without_labels(spark, awkward):
     none = spark.createDataFrame([], "doc_id long, label int")
     w = quality.quality_model(awkward.select("doc_id", "text"), none)
