@@ -8,7 +8,9 @@ their cells padded to the width of their columns.
 
 Defined results: a null or empty page gives the empty text; unclosed tags, attributes and comments run to the end of
 the page; text in tables nested in cells is rendered inside the cell; any depth of nesting is followed without recursion
-by the builder, and beyond MOST_DEPTH levels elements are flattened into their parent.
+by the builder, and beyond MOST_DEPTH levels elements are flattened into their parent, but hidden ones stay hidden.
+Form controls, formulas, the text of pictures, open dialogs and what only readers of screens skip (aria-hidden) are
+visible; all options of a list are written, a line each.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,13 +28,16 @@ from pyspark.sql import functions as F
 from . import common
 
 MOST_DEPTH = 120
-MOST_WIDTH = 60
+#: The largest spans of the HTML standard.
+MOST_ACROSS, MOST_DOWN = 1000, 65534
 
 #: Elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("head script style template title meta link base noscript iframe noembed noframes object svg math canvas audio video map datalist select textarea button input dialog param source track area".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
+HIDDEN = frozenset("head script style template title meta link base noscript iframe noembed noframes object canvas audio video map datalist input param source track area".split())
+#: What pictures and formulas hold but do not show.
+UNDRAWN = frozenset("defs desc metadata symbol annotation annotation-xml".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -81,33 +87,50 @@ def tree(page: str) -> Node:
     """The page as a tree of elements and strings."""
     root = Node("html")
     stack = [root]
+    sinks = [root]  # where the content of each open element goes
+    opened: Counter[str] = Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(n.name for n in stack[k:])
+        del stack[k:], sinks[k:]
+
+    def push(node: Node) -> None:
+        into = sinks[-1]
+        stack.append(node)
+        opened[node.name] += 1
+        own = len(stack) <= MOST_DEPTH or hidden(node) and not hidden(into)
+        sinks.append(node if own else into)
 
     def close(names, scope) -> None:
         """Closes the nearest open element of these names and all inside it, if no scope element stands between."""
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].name in scope:
                 return
 
     def close_all(names, scope) -> None:
+        if not any(opened[n] for n in names):
+            return
         low = len(stack)
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in scope:
                 break
             if stack[k].name in names:
                 low = k
-        del stack[low:]
+        cut(low)
 
     def open_(name: str, attrs: dict[str, str]) -> Node:
         node = Node(name, attrs)
-        stack[-1].children.append(node)
+        sinks[-1].children.append(node)
         return node
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(s)
+            sinks[-1].children.append(s)
 
     pos = 0
     while True:
@@ -127,15 +150,15 @@ def tree(page: str) -> Node:
             if name in ENDS_P:
                 close({"p"}, P_SCOPE)
                 if stack[-1].name == "head":
-                    stack.pop()
+                    cut(len(stack) - 1)
             if name in HEADINGS and stack[-1].name in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
             if name in IMPLIED:
                 close_all(*IMPLIED[name])
             if name in ("td", "th") and stack[-1].name != "tr":
-                if any(n.name == "table" for n in stack):
+                if opened["table"]:
                     close({"p"}, P_SCOPE)
-                    stack.append(open_("tr", {}))
+                    push(open_("tr", {}))
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
                 node = open_(name, attrs)
@@ -144,14 +167,17 @@ def tree(page: str) -> Node:
                     node.children.append(html.unescape(body) if name in ("textarea", "title") else body)
                 pos = end.end() if end else len(page)
                 continue
+            foreign = name in ("svg", "math") or opened["svg"] or opened["math"]
+            if foreign and name in UNDRAWN:
+                attrs["hidden"] = ""
             node = open_(name, attrs)
-            if name not in VOID and not (m["attrs"].rstrip().endswith("/") and name in ("path", "use")) and len(stack) < MOST_DEPTH:
-                stack.append(node)
+            if name not in VOID and not (foreign and m["attrs"].rstrip().endswith("/")):
+                push(node)
         elif m["end"]:
             name = m["end"].lower()
             if name == "br":
                 open_("br", {})
-            elif name == "p" and not any(n.name == "p" for n in stack):
+            elif name == "p" and not opened["p"]:
                 open_("p", {})
             elif name not in ("html", "body"):
                 close({name}, () if name in END_SCOPE else END_SCOPE - {name})
@@ -159,7 +185,7 @@ def tree(page: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    if node.name in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or a.get("aria-hidden", "").lower() == "true":
+    if node.name in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.name == "dialog" and "open" not in a:
         return True
     return bool(a.get("style")) and bool(HIDES.search(a["style"]))
 
@@ -260,6 +286,19 @@ def _element(node: Node, out: Renderer, depth: int) -> None:
         for s in body.removeprefix("\n").rstrip("\n").split("\n"):
             out.line(s.rstrip())
         out.gap = 1
+    elif name == "textarea":
+        out.block(False)
+        body = _plain(node).replace("\r\n", "\n").removeprefix("\n").rstrip("\n")
+        for s in body.split("\n") if body else ():
+            out.line(s.rstrip())
+    elif name in ("option", "optgroup"):
+        out.block(False)
+        if node.attrs.get("label", "").strip():
+            out.inline(node.attrs["label"])
+            out.flush()
+        if name == "optgroup" or not node.attrs.get("label", "").strip():
+            _children(node, out, depth)
+        out.block(False)
     elif name == "q":
         out.inline('"')
         _children(node, out, depth)
@@ -268,7 +307,7 @@ def _element(node: Node, out: Renderer, depth: int) -> None:
         out.block(name in SPACED)
         _children(node, out, depth)
         out.block(name in SPACED)
-    elif name in ("td", "th"):
+    elif name in ("td", "th", "button", "text"):  # text: of a picture
         out.inline(" ")
         _children(node, out, depth)
         out.inline(" ")
@@ -349,7 +388,7 @@ def _table(node: Node, out: Renderer, depth: int) -> None:
                 line.append([""])
             inner = Renderer()
             _children(cell, inner, 0)
-            across, down = (min(int(v), 50) if (v := cell.attrs.get(k, "").strip()).isdigit() and v.isascii() else 1 for k in ("colspan", "rowspan"))
+            across, down = (min(int(v.lstrip("0")[:9] or 0), most) if (v := cell.attrs.get(k, "").strip()).isdigit() and v.isascii() else 1 for k, most in (("colspan", MOST_ACROSS), ("rowspan", min(MOST_DOWN, len(rows) - y))))
             for dy in range(1, max(1, down)):
                 for dx in range(max(1, across)):
                     held[y + dy, len(line) + dx] = True
@@ -357,7 +396,7 @@ def _table(node: Node, out: Renderer, depth: int) -> None:
             line += [[""]] * (max(1, across) - 1)
         grid.append(line)
     columns = max(map(len, grid), default=0)
-    widths = [min(MOST_WIDTH, max((width(s) for row in grid if x < len(row) for s in row[x]), default=0)) for x in range(columns)]
+    widths = [max((width(s) for row in grid if x < len(row) for s in row[x]), default=0) for x in range(columns)]
     for row in grid:
         if not any(s for cell in row for s in cell):
             continue

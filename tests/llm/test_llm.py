@@ -430,6 +430,22 @@ def test_rendering(page, text):
     assert html_extract.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<button>Save</button>b", "a Save b"), ("<select><option>x<option>y</select>z", "x\ny\nz"), ("<textarea>\np &amp;\n q</textarea>", "p &\n q"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>", "x=2"), ("<svg><title>t</title><rect/><text>A</text><text>B</text></svg>c", "A B c"),
+        ("<dialog open>yes</dialog><dialog>no</dialog>", "yes"), ("<span aria-hidden=true>seen</span>", "seen"),
+        (f"<table><tr><td>{'w' * 80}<td>b<tr><td>a<td>c</table>", f"{'w' * 80} | b\na{' ' * 79} | c"),
+        ("<table>" + "<tr><td rowspan=60>a<td>b" + "<tr><td>c" * 59 + "<tr><td>d<td>e</table>", "a | b\n" + "  | c\n" * 59 + "d | e"),
+        ("<div>" * 200 + "a<span hidden>no<b>no</b></span>b</div>c" + "</div>" * 199 + "d", "abc\nd"),
+        ("<ul><li>" + "<b>" * 300 + "<i>x</i></b>" + "</b>" * 299 + "<li>y</ul>z", "* x\n* y\n\nz"),
+    ],
+)
+def test_rendering_of_all_that_is_visible(page, text):
+    assert html_extract.render(page) == text
+
+
 def test_rendering_never_fails(spark, sf):
     rng = np.random.default_rng(11)
     bits = ["<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<p>", "</p>", "<div", ">", "'", '"', "&#0;", "&nosuch;", "x ", "<b>", "</div>", "<!--", "-->", "<pre>", "<script>", "</script>", "<dd>", "</", "<a b=c d>"]
