@@ -32,7 +32,7 @@ from . import common, textkernel as tk
 LENGTH, END_ID = 4096, 2
 #: Fixed values, in tokens: cost of a window, of a cut inside a text, of a cut inside a sentence.
 EACH, IN_TEXT, IN_SENTENCE = 8, 4, 256
-LEAST_POWER = 9
+LEAST_POWER = 0
 BUCKET_CHARS, BLOCK, MOST_KEPT = 6_000_000, 8 << 20, 300_000
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
@@ -184,13 +184,16 @@ def windows(total: int, text_ends: np.ndarray, sentence_ends: np.ndarray, length
         kind[np.arange(at[i] + length, at[i + 1], length)] = 2
     at = np.flatnonzero(kind)
     cost = np.array([0, IN_TEXT + EACH, IN_SENTENCE + EACH, EACH], float)[kind[at]]
-    exact: dict[int, list[int]] = {}
+    ends_at, starts_at = [], []
     number = np.cumsum(kind > 0, dtype=np.int32) - 1
     for k in range(LEAST_POWER, length.bit_length()):
         j = np.flatnonzero(at >= 1 << k)
         j = j[kind[at[j] - (1 << k)] > 0]
-        for x, y in zip(j.tolist(), number[at[j] - (1 << k)].tolist(), strict=True):
-            exact.setdefault(x, []).append(y)
+        ends_at.append(j)
+        starts_at.append(number[at[j] - (1 << k)])
+    ends_of = np.concatenate(ends_at)
+    exact = np.concatenate(starts_at)[np.argsort(ends_of, kind="stable")].tolist()  # starts of unpadded windows
+    upto = np.cumsum(np.bincount(ends_of, minlength=len(at))).tolist()  # how many of them up to each cut
     pos, costs = at.tolist(), cost.tolist()
     best, came = [0.0] * len(pos), [0] * len(pos)
     key = [0.0] * len(pos)  # best cost up to a cut, plus its position: the padding's part that the start decides
@@ -201,10 +204,9 @@ def windows(total: int, text_ends: np.ndarray, sentence_ends: np.ndarray, length
             queue.popleft()
         i = queue[0]
         c = key[i] + length - p
-        if j in exact:
-            for e in exact[j]:
-                if best[e] < c:
-                    c, i = best[e], e
+        for e in exact[upto[j - 1] : upto[j]]:
+            if best[e] < c:
+                c, i = best[e], e
         best[j], came[j] = c + costs[j], i
         k = key[j] = best[j] + p
         while queue and key[queue[-1]] >= k:

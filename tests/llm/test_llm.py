@@ -541,6 +541,29 @@ def test_windows_cost_least():
         assert sum(price(a, b) for a, b in zip(got[:-1], got[1:], strict=True)) == pytest.approx(best[total])
 
 
+def test_every_power_of_two_is_a_window_without_padding():
+    """Against all ways to cut; the price is the contract's and takes nothing from the code but the fixed amounts."""
+    rng = np.random.default_rng(16)
+    for _ in range(60):
+        length, total = 4096, int(rng.integers(1, 6000))
+        ends = np.unique(np.append(np.cumsum(2 ** rng.integers(0, 12, 6)), total))
+        ends = ends[ends <= total]
+        cuts = np.union1d(ends, rng.integers(0, total + 1, 9)).tolist()
+        far = [c for a, b in zip([0, *cuts], cuts, strict=False) for c in range(a + length, b, length)]
+        cuts = sorted({0, *cuts, *far})
+
+        def price(a, b, ends=ends, far=far):
+            n = b - a
+            pad = 0 if n & (n - 1) == 0 else length - n
+            return pad + packing.EACH + (0 if b in ends else packing.IN_SENTENCE if b in far else packing.IN_TEXT)
+
+        best = {0: 0.0}
+        for b in cuts[1:]:
+            best[b] = min(best[a] + price(a, b) for a in cuts if a < b and b - a <= length)
+        got = [0, *packing.windows(total, ends, np.array([c for c in cuts if c not in far], np.int64), length)]
+        assert sum(price(a, b) for a, b in zip(got[:-1], got[1:], strict=True)) == pytest.approx(best[total])
+
+
 def _check_pieces(pieces, ids):
     for i, g in pieces.sort_values("start").groupby("doc_id"):
         at = 0
