@@ -44,14 +44,38 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def stored(df: DataFrame, what: str, held: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    held: gets the table's path, for discard().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more: what was made of them must be stored itself."""
+    while held:
+        path = spark._jvm.org.apache.hadoop.fs.Path(held.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a column more, and its name: a long that tells rows apart.
+
+    It is doc_id itself, unless an id is null or occurs twice; then rows are numbered and stored.
+    """
+    key = fresh(docs, "_row")
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc"))
+    if ids.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc is null").isEmpty():
+        return docs.withColumn(key, F.col(doc_id).cast("long")), key
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
 def crc_rest(column: Column, by: int) -> Column:
     """crc32 of an id as text, modulo by; null ids give null."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(by)

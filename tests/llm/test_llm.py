@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -374,20 +375,50 @@ def _cover(rows, n):
     return out
 
 
-@pytest.mark.parametrize("depth", [0, 3, 8, 13, 16])
-def test_merged_transforms_find_repeats(depth):
+def _aligned(rng, kind, m, e):
+    """Rows around cores, many of them alike: cores, what stands before and after them, and how much of it there is."""
+    core, base = rng.integers(0, 4, m), rng.integers(0, 3, (3, 2 * e)).astype(kind)
+    rows = base[rng.integers(0, 3, m)].copy()
+    other = rng.random(rows.shape) < 0.05
+    rows[other] = rng.integers(0, 3, int(other.sum()))
+    a, b = (np.where(rng.random(m) < 0.3, rng.integers(0, e + 1, m), e) for _ in range(2))
+    left, right = rows[:, :e].copy(), rows[:, e:].copy()
+    left[np.arange(e)[None] < (e - a)[:, None]] = 0
+    right[np.arange(e)[None] >= b[:, None]] = 0
+    return core, left, a, right, b
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_merge_of_transforms(kind):
+    """The merge of the shards' transforms is the transform of all, which is that of sorted suffixes."""
     rng = np.random.default_rng(8)
-    text = rng.integers(97, 99, (30, 40)).astype(np.uint8)
-    row = np.repeat(np.arange(30), 41 - depth)
-    end = np.tile(np.arange(depth, 41), 30)
-    at, block = bwt.interleave(bwt.transform(text), row, end, np.zeros(len(row), np.int64), depth)
-    sub = [text[r, e - depth : e].tobytes() for r, e in zip(row, end, strict=True)]
-    count = collections.Counter(sub)
-    assert set(at.tolist()) == {i for i, x in enumerate(sub) if count[x] > 1}
-    by = collections.defaultdict(set)
-    for i, b in zip(at.tolist(), block.tolist(), strict=True):
-        by[b].add(sub[i])
-    assert all(len(x) == 1 for x in by.values()) and len(by) == len({sub[i] for i in at.tolist()})
+    for _ in range(60):
+        m, e = int(rng.integers(1, 60)), int(rng.integers(0, 20))
+        core, _, _, right, b = _aligned(rng, kind, m, e)
+        symbols, per = bwt.packed(right)
+        cut = sorted({0, m, *rng.integers(0, m + 1, 3).tolist()})
+        shards = [bwt.transform(np.arange(x, y), core, symbols, b, per) for x, y in zip(cut, cut[1:], strict=False)]
+        order, shared = bwt.merge(shards, core, symbols, b, per)
+        whole = bwt.transform(np.arange(m), core, symbols, b, per)
+        suffix = [(int(core[i]), right[i][: b[i]].tolist()) for i in range(m)]
+        assert [suffix[i] for i in order] == sorted(suffix) == [suffix[i] for i in whole[0]]
+        want = [-1] + [-1 if x[0] != y[0] else next((k for k, (p, q) in enumerate(zip(x[1], y[1], strict=False)) if p != q), min(len(x[1]), len(y[1]))) for x, y in itertools.pairwise(sorted(suffix))]
+        assert shared.tolist() == want == whole[1].tolist()
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_merged_transforms_find_repeats(kind, monkeypatch):
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        m, e = int(rng.integers(1, 60)), int(rng.integers(0, 20))
+        monkeypatch.setattr(bwt, "SHARD", int(rng.integers(1, 30)))
+        core, left, a, right, b = _aligned(rng, kind, m, e)
+        low, high = bwt.repeated(core, left, a, right, b)
+        at = [{j: (core[i], j, left[i][e - j :].tobytes(), right[i][: e - j].tobytes()) for j in range(e + 1) if a[i] >= j and b[i] >= e - j} for i in range(m)]
+        count = collections.Counter(x for w in at for x in w.values())
+        for i, w in enumerate(at):
+            hits = [j for j, x in w.items() if count[x] > 1]
+            assert (low[i], high[i]) == ((min(hits), max(hits)) if hits else (1 << 30, -1))
 
 
 def test_op7(spark, sf, docs):
@@ -414,6 +445,29 @@ def test_passage_of_many_texts(spark, monkeypatch):
         assert got[i] == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
 
 
+def test_passages_of_words(spark, monkeypatch):
+    """Runs of words that occur again, whatever stands between the words, against brute force; and with split cores."""
+    rng = np.random.default_rng(11)
+
+    def prose(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(n))
+
+    passage = prose(51)
+    texts = [f"{prose(int(rng.integers(0, 60)))} {passage} {prose(int(rng.integers(0, 60)))}".strip() for _ in range(30)]
+    texts += [passage.replace(" ", "\n"), " ".join(passage.split()[1:]), prose(300), "ab " * 200, "", prose(3), prose(70) + " " + " ".join(passage.split()[:50]) + " é"]
+    grams = collections.Counter(tuple(w[i : i + 51]) for w in (t.split() for t in texts) for i in range(len(w) - 50))
+    want = {}
+    for i, t in enumerate(texts):
+        w = [(m.start(), m.end()) for m in WORD.finditer(t)]
+        gone = {k for j in range(len(w) - 50) if grams[tuple(t.split()[j : j + 51])] > 1 for k in range(j, j + 51)}
+        byte = [t[:k].encode() for k in range(len(t) + 1)]
+        want[i] = sum(len(byte[w[k + 1][0] if k + 1 < len(w) else len(t)]) - len(byte[w[k][0]]) for k in gone)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (suffix_dedup.MOST, 4):
+        monkeypatch.setattr(suffix_dedup, "MOST", most)
+        assert {r.doc_id: r.passage_bytes for r in suffix_dedup.measure_repeats(docs, passage=51).collect()} == want
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("page", "text"),
