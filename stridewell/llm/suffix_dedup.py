@@ -294,23 +294,26 @@ def _split(rows: DataFrame, wide: int) -> DataFrame:
 
 
 def _merged(rows: DataFrame, total: int, kind: type) -> DataFrame:
-    """FOUND for pieces of cores that have MOST at most; total: rows."""
+    """FOUND for pieces of cores that have MOST at most; total: rows, or more."""
     return rows.groupBy(F.pmod("key", F.lit(max(1, total // PART))).alias("_part")).applyInArrow(lambda t: _by_transform(t, kind), FOUND)
 
 
 def _different(docs: DataFrame, wanted: DataFrame, unit: Unit, held: list[str]) -> DataFrame:
     """FOUND for cores of several stretches, by merged transforms, after splitting the cores of too many.
 
-    wanted: as for _cut_out, and kinds: how many rows its core has.
+    wanted: as for _cut_out.
     """
     kind = np.uint8 if unit.name == "bytes" else np.uint64
     wide = np.dtype(kind).itemsize
+    total = wanted.count()
+    large = common.stored(wanted.groupBy("key").count().where(F.col("count") > MOST).select("key"), "large", held)
+    pieces = _cut_out(docs, wanted, total <= MOST_LISTED, unit)
+    if large.isEmpty():
+        return common.stored(_merged(pieces, total, kind), "repeats", held)
+    pieces = common.stored(pieces, "pieces", held)
+    found = common.stored(_merged(pieces.join(large, "key", "left_anti").select(NAMES), total, kind), "repeats", held)
+    rows = pieces.join(large, "key", "left_semi").select(NAMES)
     is_many = F.col("kinds") > MOST
-    size = wanted.agg(F.count(F.when(~is_many, 1)).alias("few"), F.count(F.when(is_many, 1)).alias("many")).first()
-    found = common.stored(_merged(_cut_out(docs, wanted.where(~is_many), size["few"] <= MOST_LISTED, unit), size["few"], kind), "repeats", held)
-    if not size["many"]:
-        return found
-    rows = _cut_out(docs, wanted.where(is_many), size["many"] <= MOST_LISTED, unit)
     while True:
         halves = common.stored(_split(rows, wide), "halves", held)
         apart = halves.groupBy("key", "same", "doc", "start").agg(F.max("count").alias("count"), F.min(F.struct("root_key", "root_same")).alias("first"))
@@ -339,15 +342,16 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     around, held = unit.around, []
     occurs = common.stored(_occurrences(docs, unit), "occurs", held)
     keyed = occurs.where("key is not null")
-    alike = keyed.groupBy("key", "same").agg(F.sum("count").alias("all"), F.min(F.struct("doc", "start", "before", "after")).alias("one"))
-    cores = alike.groupBy("key").agg(F.sum("all").alias("every"), F.count(F.lit(1)).alias("kinds")).where("every > 1")
-    alike = common.stored(alike.join(cores, "key"), "alike", held)
+    cores = keyed.groupBy("key").agg(F.sum("count").alias("every"), (F.min("same") != F.max("same")).alias("several")).where("every > 1")
+    again = common.stored(keyed.join(cores.select("key", "several"), "key"), "again", held)  # all that follows is of these
+    alike = again.groupBy("key", "same", "several").agg(F.sum("count").alias("all"), F.min(F.struct("doc", "start", "before", "after")).alias("one"))
+    alike = common.stored(alike, "alike", held)
     # one text for each different stretch of a core that has several
-    wanted = alike.where("kinds > 1").select(F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), F.col("one.before").alias("before"), F.col("one.after").alias("after"), "key", "same", F.col("all").alias("count"), "kinds")
+    wanted = alike.where("several").select(F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), F.col("one.before").alias("before"), F.col("one.after").alias("after"), "key", "same", F.col("all").alias("count"))
     found = _different(docs, wanted, unit, held)
     whole = alike.where("all > 1").select(F.col("key").alias("root_key"), F.col("same").alias("root_same"), (F.lit(around) - F.col("one.after")).alias("low"), F.col("one.before").alias("high"))
     reach = found.union(whole.select("root_key", "root_same", F.col("low").cast("int"), F.col("high").cast("int"))).groupBy("root_key", "root_same").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    hits = keyed.join(reach, (F.col("key") == F.col("root_key")) & (F.col("same") == F.col("root_same")))
+    hits = again.join(reach, (F.col("key") == F.col("root_key")) & (F.col("same") == F.col("root_same")))
     spans = hits.select("doc", (F.col("start") - F.col("high")).alias("first"), (F.col("start") - F.col("low") + unit.length).alias("last"))
     spans = spans.union(occurs.where("key is null").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("before")).alias("last")))
     out = common.stored(_unions(spans), "spans")
