@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bwt, common, textkernel as tk
 
-MOST, PART, BLOCK = 8192, 8192, 1 << 19
+MOST, PART, BLOCK = 8192, 8192, 1 << 18
 #: Bytes of spans that may be broadcast, after adding them up; more are joined by shuffle.
 MOST_BROADCAST = 16 << 20
 #: Rows of places of stretches that may be broadcast (of 40 bytes each), after counting them.
