@@ -53,7 +53,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.measure_repeats(common.table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.measure_repeats(common.table(spark, sf_dir, "documents"), length=400, passage=51)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
