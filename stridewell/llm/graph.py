@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,16 +15,20 @@ def components(links: DataFrame) -> DataFrame:
     nothing changes. A hub's links are only ever counted by partial aggregates or joined where skewed joins are split.
     Nodes without links are absent; an empty link table gives an empty result.
     """
+    spark, held = links.sparkSession, []
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = common.stored(both, "links")
+    both = common.stored(both, "links", held)
     now = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root")
-    now = common.stored(now, "labels")
+    now = common.stored(now, "labels", held)
     while True:
         near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
         took = now.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
         jump = now.select(F.col("node").alias("root"), F.col("root").alias("far"))
         nxt = took.join(jump, "root", "left").select("node", "old", F.least("root", "far").alias("root"))
-        nxt = common.stored(nxt, "labels")
-        now = nxt.select("node", "root")
-        if nxt.where("root <> old").isEmpty():
+        moved = Observation()
+        path = []
+        now = common.stored(nxt.observe(moved, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("n")), "labels", path).select("node", "root")
+        if not moved.get.get("n"):
+            common.discard(spark, held)
             return now
+        held += path

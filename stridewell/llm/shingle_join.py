@@ -8,9 +8,10 @@ Frequent shingles are dealt to cells by hash; the second and later ones of a cel
 then shared, and all pairs of a cell are indexed. Prefixes grow until they hold enough.
 
 Candidates are the sets that share an index key, of compatible sizes and places. First each key's sets are held against
-the one with the fewest shingles of its own before the key, then those pairs of a key that are still in different
-components, so copies of copies are not all paired. All verified pairs are exact. Frequency comes from a count sketch over all shingles, of
-2**SKETCH_BITS places; it only decides order and class, never what links.
+the one with the fewest shingles of its own before the key. Keys whose sets are then in different components are dealt
+to workers, which test the pairs that are left by sizes, places and counts of shingles in CELLS cells; only pairs whose
+counts allow a link leave a worker. All pairs that are linked have been verified exactly. Frequency comes from a count
+sketch over all shingles, of 2**SKETCH_BITS places; it only decides order and class, never what links.
 
 Defined results: texts without words (or null) have no shingles, link with nothing and are their own component; equal
 sets are one set; repeated ids count as one document each row.
@@ -34,6 +35,10 @@ LEAST_CELLS, PER_CELL, SALTS = 6, 8, 64
 CELLS = 192
 #: Ids (8 bytes each) that may be broadcast, after counting them; more are joined by shuffle.
 MOST_BROADCAST = 500_000
+#: Sets of a key that a worker tests as a whole; those of a larger one are dealt to blocks, and pairs of blocks to workers.
+KEY_ROWS = 2048
+#: Rows of a worker's group, about, and pairs that it tests at once.
+GROUP_ROWS, PAIRS = 16384, 1 << 18
 
 SETS = "doc_id long, n long, sid long, slice int, counts binary"
 
@@ -90,6 +95,7 @@ def index_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndar
     """
     load = sketch.sum(dtype=np.uint64) / len(sketch)
     bar = load + 6 * np.sqrt(load) + 12
+    high = load + 16 * (bar - load)  # from here on a key is salted
     count = sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     often = count > bar
     order = np.lexsort((h, count, row))
@@ -130,7 +136,7 @@ def index_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndar
         keys.append(tk.mix(t[s] ^ salt[s]))
         rows.append(r[s])
         places.append(pos[s])
-        hots.append(cnt[s] > 64 * bar)
+        hots.append(cnt[s] > high)
         deep = int(rank[within & ~single].max(initial=0))
         ok = within[by] & ~single[by]
         for back in range(1, deep + 1):  # pairs of a cell
@@ -139,7 +145,7 @@ def index_keys(h: np.ndarray, row: np.ndarray, size: np.ndarray, sketch: np.ndar
             keys.append(tk.mix(tk.mix(t[x] ^ salt[x]) * np.uint64(tk.BASE) + t[y]))
             rows.append(r[y])
             places.append(alone[x])
-            hots.append(np.minimum(cnt[x], cnt[y]) > 64 * bar)
+            hots.append(np.minimum(cnt[x], cnt[y]) > high)
     if not keys:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z.astype(bool)
@@ -172,10 +178,9 @@ def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
     return (na * num <= nb * den) & (nb * num <= na * den) & (F.least(na - pa_, nb - pb) >= least)
 
 
-def _of_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, make, what: str, column: str) -> DataFrame:
-    """sid, column: make(hashes) for the set of each sid in pairs, from one document that has it."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps, "sid").select("sid", "doc_id")
-    wanted = common.stored(wanted, "wanted")
+def _of_sets(docs: DataFrame, sids: DataFrame, reps: DataFrame, k: int, make, what: str, column: str, held: list[str]) -> DataFrame:
+    """sid, column: make(hashes) for the set of each sid, from one document that has it."""
+    wanted = common.stored(sids.distinct().join(reps, "sid").select("sid", "doc_id"), "wanted", held)
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "doc_id").select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +192,7 @@ def _of_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, make, w
                 same = sid == b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)  # another text may have the id
                 yield pa.RecordBatch.from_arrays([pa.array(sid[same]), pa.array([make(h[x:y]) for x, y, s in zip(ends[:-1], ends[1:], same, strict=True) if s], pa.binary())], names=["sid", column])
 
-    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary"), what)
+    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary").dropDuplicates(["sid"]), what, held)
 
 
 def _cells(h: np.ndarray) -> bytes:
@@ -195,32 +200,115 @@ def _cells(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 65535).astype(np.uint16).tobytes()
 
 
-def _held(pairs: DataFrame, values: DataFrame, column: str, test) -> DataFrame:
-    """The pairs (a, b) that pass a test of both values; sids that several rows have may repeat pairs."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [test(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of cells."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CELLS)
+
+
+def _may_share(p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the counts of pairs of sets allow them to link; a count of 65535 may be more, and allows all."""
+    least = np.minimum(p, q).sum(1, dtype=np.int64)
+    most = np.maximum(p, q).sum(1, dtype=np.int64)
+    return (den * least >= num * most) | (p.max(1) == 65535) | (q.max(1) == 65535)
+
 
+def _with_values(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """a, b, and the values of both as x and y."""
     joined = pairs.join(values.select(F.col("sid").alias("a"), F.col(column).alias("x")), "a").join(values.select(F.col("sid").alias("b"), F.col(column).alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link: first by a bound from counts in cells, then by the sets themselves."""
-    pairs = common.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+
+
+def _allowed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
+    """The pairs (a, b) whose counts in cells allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0, 1]).filter(pa.array(_may_share(_counts(b.column(2)), _counts(b.column(3)), num, den)))
+
+    cells = _of_sets(docs, _both(pairs), reps, k, _cells, "cells", "cells", held)
+    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(run, "a long, b long"), "near", held)
 
-    def may(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
-        return p.max() == 65535 or q.max() == 65535 or den * int(np.minimum(p, q).sum()) >= num * int(np.maximum(p, q).sum())
 
+def _verified(near: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     def link(x: bytes, y: bytes) -> bool:
         p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(p, q, assume_unique=True))
         return den * both >= num * (len(p) + len(q) - both)
 
-    near = common.stored(_held(pairs, _of_sets(docs, pairs, reps, k, _cells, "cells", "cells"), "cells", may).distinct(), "near")
-    return common.stored(_held(near, _of_sets(docs, near, reps, k, np.ndarray.tobytes, "sets", "members"), "members", link), "linked")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0, 1]).filter(pa.array([link(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_()))
+
+    members = _of_sets(docs, _both(near), reps, k, np.ndarray.tobytes, "sets", "members", held)
+    return common.stored(_with_values(near, members, "members").mapInArrow(run, "a long, b long"), "linked", held)
+
+
+def undecided(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a < b, of the rows (key, sid, n, pos, root, top, salt, block, x, y, cells) of one group.
+
+    They share a key, are in different components, were not held against each other as head and member, and their sizes,
+    places and cells allow a link. In a group of two blocks x and y only pairs across them count.
+    """
+    t = t.sort_by("key")
+    key, sid, n, pos, root, top, salt, block, bx, by = (common.one(t.column(c)).to_numpy() for c in ("key", "sid", "n", "pos", "root", "top", "salt", "block", "x", "y"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    cells = _counts(t.column("cells"))
+    last = np.searchsorted(key, key, "right")
+    partners = last - np.arange(len(key)) - 1  # each row with those after it in its key
+    upto = np.cumsum(partners)
+    found_a, found_b = [], []
+    i = 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, "right")))
+        p = np.repeat(np.arange(i, j), partners[i:j])
+        q = tk.flat_ranges(np.arange(i, j) + 1, partners[i:j])
+        ok = root[p] != root[q]
+        p, q = p[ok], q[ok]
+        ok = ((sid[p] != top[q]) & (sid[q] != top[p]) | (salt[p] != salt[q])) & ((bx[p] == by[p]) | (block[p] != block[q]))
+        least = -(-(n[p] + n[q]) * num // (num + den))
+        ok &= (n[p] * num <= n[q] * den) & (n[q] * num <= n[p] * den) & (np.minimum(n[p] - pos[p], n[q] - pos[q]) >= least)
+        p, q = p[ok], q[ok]
+        if len(p):
+            swap = sid[p] > sid[q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            once = np.unique(tk.mix(sid[p].view(np.uint64)) * np.uint64(tk.BASE) + sid[q].view(np.uint64), return_index=True)[1]
+            p, q = p[once], q[once]
+            some = [_may_share(cells[p[x : x + 8192]], cells[q[x : x + 8192]], num, den) for x in range(0, len(p), 8192)]
+            some = np.concatenate(some)
+            found_a.append(sid[p[some]])
+            found_b.append(sid[q[some]])
+        i = j
+    if not found_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _left_over(shared: DataFrame, found: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
+    """The pairs that heads left undecided and that counts in cells allow; found: node, root."""
+    marked = shared.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("all > 2 and lo <> hi").select("key", "all")
+    some = marked.join(mixed, "key").select("key", "sid", "n", "pos", "root", F.col("head.sid").alias("top"), "salt", F.ceil(F.col("all") / F.lit(KEY_ROWS)).cast("int").alias("blocks"))
+    some = common.stored(some, "mixed", held)
+    cells = _of_sets(docs, some.select("sid"), reps, k, _cells, "cells", "cells", held)
+    # keys with the same head hold much the same sets, so they go to one worker, where a pair counts once
+    parts = F.lit(max(1, some.count() // GROUP_ROWS))
+    dealt = some.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    dealt = dealt.withColumn("part", F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("top"), parts)))
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = undecided(t, num, den)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    rest = dealt.join(cells, "sid").select("key", "sid", "n", "pos", "root", "top", "salt", "block", "x", "y", "cells", "part", "blocks")
+    rest = rest.groupBy("part", "x", "y", F.col("blocks") > 1).applyInArrow(run, "a long, b long").distinct()
+    return common.stored(rest, "rest", held)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,38 +318,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     """
     spark = docs.sparkSession
     common.small_batches(spark)
+    held: list[str] = []
     src = common.plain(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     measured = common.stored(_measure(src, k), "measured")
     rows = measured.where("slice is null").select("doc_id", "n", "sid")
     reps = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    reps = common.stored(reps, "sets")
 
-    entries = _index(src, k, num, den, _sketch(measured)).groupBy("key", "sid", "n", "salt").agg(F.max("pos").alias("pos"))
+    # the index is dealt once, by key, which serves all that is asked of a key
     group = Window.partitionBy("key", "salt")
+    entries = _index(src, k, num, den, _sketch(measured)).repartition("key", "salt").groupBy("key", "salt", "sid", "n").agg(F.max("pos").alias("pos"))
     entries = entries.withColumn("head", F.min(F.struct("pos", "sid", "n")).over(group)).withColumn("m", F.count(F.lit(1)).over(group))
-    shared = common.stored(entries.where("m > 1 or salt > 0"), "shared")  # keys of one set lead nowhere
+    shared = common.stored(entries.where("m > 1 or salt > 0").drop("m"), "shared", held)  # keys of one set lead nowhere
     star = shared.select(F.col("head.sid").alias("a"), F.col("sid").alias("b"), F.struct("n", "pos").alias("x"), "head")
-    star = star.where("a <> b").where(_may_link("x", "head", num, den))
+    star = star.where("a <> b").where(_may_link("x", "head", num, den)).select("a", "b")
     heads = shared.where("salt > 0").groupBy("key", "salt").agg(F.min(F.struct("pos", "sid", "n")).alias("x"))
     heads = heads.withColumn("head", F.min("x").over(Window.partitionBy("key")))  # at most SALTS rows a key
     across = heads.where("x.sid <> head.sid").where(_may_link("x", "head", num, den)).select(F.col("head.sid").alias("a"), F.col("x.sid").alias("b"))
-    links = _verified(star.select("a", "b").union(across), src, reps, k, num, den)
+    pairs = star.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(_allowed(common.stored(pairs, "pairs", held), src, reps, k, num, den, held), src, reps, k, num, den, held)
     found = graph.components(links)
 
-    # pairs of a key that the stars left undecided: in different components, and neither is the head of the other
-    marked = shared.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("all > 2 and lo <> hi").select("key")
-    some = common.stored(marked.join(mixed, "key").select("key", "sid", "n", "pos", "root", "salt", F.col("head.sid").alias("top")), "mixed")
-    order = some.groupBy("sid").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
-    some = common.stored(some.join(order, "sid"), "mixed")
-    # a pair is held to what its first common key says, and comes up there alone
-    first = F.try_element_at(F.array_intersect(F.col("p.keys"), F.col("q.keys")), F.lit(1)) == F.col("p.key")
-    pair = (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root"))
-    fresh = ((F.col("p.sid") != F.col("q.top")) & (F.col("q.sid") != F.col("p.top"))) | (F.col("p.salt") != F.col("q.salt"))
-    rest = some.alias("p").join(some.alias("q"), pair & fresh & _may_link("p", "q", num, den) & first)
-    rest = common.stored(rest.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct(), "rest")
+    rest = _left_over(shared, found, src, reps, k, num, den, held)
     if not rest.isEmpty():
-        more = _verified(rest, src, reps, k, num, den)
-        found = graph.components(links.union(more)) if not more.isEmpty() else found
+        more = _verified(rest, src, reps, k, num, den, held)
+        of = found.withColumnRenamed("root", "r")
+        more = more.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
+        more = more.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b")).distinct()
+        more = graph.components(common.stored(more, "between"))
+        of = found.join(more.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+        found = common.stored(of.union(more).distinct(), "components")
+    common.discard(spark, held)
 
     # sets that are linked, or that several documents have; all others are their document's own
     of = reps.join(found.withColumnRenamed("node", "sid"), "sid", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "sid"))

@@ -147,9 +147,12 @@ def test_op2(spark, sf, docs):
     assert got == _components(zip(docs.doc_id, docs.text, strict=True), 3, 90, 100)
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(5, 4, 5), (2, 7, 10)])
-def test_join_of_near_copies(spark, k, num, den):
-    """A large group of near copies, chains, shared frequent passages, sets of every size."""
+@pytest.mark.parametrize(("k", "num", "den", "small"), [(5, 4, 5, False), (2, 7, 10, False), (5, 4, 5, True)])
+def test_join_of_near_copies(spark, monkeypatch, k, num, den, small):
+    """A large group of near copies, chains, shared frequent passages, sets of every size; also dealt to small blocks."""
+    if small:
+        for name, value in (("KEY_ROWS", 7), ("GROUP_ROWS", 64), ("PAIRS", 32)):
+            monkeypatch.setattr(shingle_join, name, value)
     rng = np.random.default_rng(k)
     vocab = [f"v{i}" for i in range(400)]
     base = list(rng.choice(vocab, 160))
