@@ -45,14 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame, what: str, held: list[str] | None = None) -> DataFrame:
+#: Rows of a stored table's file, about, where their number is known beforehand; there are FEWEST files at least.
+FILE_ROWS, FEWEST = 100_000, 8
+
+
+def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once.
 
-    held: gets the table's path, for discard().
+    held: gets the table's path, for discard(). rows: that df has at most, or about; few rows are not written as many
+    small files, each of which costs more than its rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few = df if rows is None else df.coalesce(max(FEWEST, -(-rows // FILE_ROWS)))
+    few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the return of write says so
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)

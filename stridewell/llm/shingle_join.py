@@ -178,10 +178,10 @@ def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
     return (na * num <= nb * den) & (nb * num <= na * den) & (F.least(na - pa_, nb - pb) >= least)
 
 
-def _of_sets(docs: DataFrame, sids: DataFrame, reps: DataFrame, k: int, make, what: str, column: str, held: list[str]) -> DataFrame:
-    """sid, column: make(hashes) for the set of each sid, from one document that has it."""
-    wanted = common.stored(sids.distinct().join(reps, "sid").select("sid", "doc_id"), "wanted", held)
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "doc_id").select("sid", "text")
+def _of_sets(docs: DataFrame, sids: DataFrame, most: int, reps: DataFrame, k: int, make, what: str, column: str, held: list[str]) -> DataFrame:
+    """sid, column: make(hashes) for the set of each sid, from one document that has it. most: rows of sids."""
+    wanted = sids.distinct().join(reps, "sid").select("sid", "doc_id")
+    texts = docs.join(F.broadcast(wanted) if most <= MOST_BROADCAST else wanted, "doc_id").select("sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +192,7 @@ def _of_sets(docs: DataFrame, sids: DataFrame, reps: DataFrame, k: int, make, wh
                 same = sid == b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)  # another text may have the id
                 yield pa.RecordBatch.from_arrays([pa.array(sid[same]), pa.array([make(h[x:y]) for x, y, s in zip(ends[:-1], ends[1:], same, strict=True) if s], pa.binary())], names=["sid", column])
 
-    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary").dropDuplicates(["sid"]), what, held)
+    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary").dropDuplicates(["sid"]), what, held, most)
 
 
 def _cells(h: np.ndarray) -> bytes:
@@ -228,8 +228,9 @@ def _allowed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
         for b in batches:
             yield b.select([0, 1]).filter(pa.array(_may_share(_counts(b.column(2)), _counts(b.column(3)), num, den)))
 
-    cells = _of_sets(docs, _both(pairs), reps, k, _cells, "cells", "cells", held)
-    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(run, "a long, b long"), "near", held)
+    n = pairs.count()
+    cells = _of_sets(docs, _both(pairs), 2 * n, reps, k, _cells, "cells", "cells", held)
+    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(run, "a long, b long"), "near", held, n)
 
 
 def _verified(near: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
@@ -243,8 +244,8 @@ def _verified(near: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
         for b in batches:
             yield b.select([0, 1]).filter(pa.array([link(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_()))
 
-    members = _of_sets(docs, _both(near), reps, k, np.ndarray.tobytes, "sets", "members", held)
-    return common.stored(_with_values(near, members, "members").mapInArrow(run, "a long, b long"), "linked", held)
+    members = _of_sets(docs, _both(near), 2 * near.count(), reps, k, np.ndarray.tobytes, "sets", "members", held)
+    return _with_values(near, members, "members").mapInArrow(run, "a long, b long")
 
 
 def undecided(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,15 +289,16 @@ def undecided(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _left_over(shared: DataFrame, found: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
-    """The pairs that heads left undecided and that counts in cells allow; found: node, root."""
+def _left_over(shared: DataFrame, size: int, found: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
+    """The pairs that heads left undecided and that counts in cells allow; found: node, root; size: rows of shared."""
     marked = shared.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("all > 2 and lo <> hi").select("key", "all")
     some = marked.join(mixed, "key").select("key", "sid", "n", "pos", "root", F.col("head.sid").alias("top"), "salt", F.ceil(F.col("all") / F.lit(KEY_ROWS)).cast("int").alias("blocks"))
-    some = common.stored(some, "mixed", held)
-    cells = _of_sets(docs, some.select("sid"), reps, k, _cells, "cells", "cells", held)
+    some = common.stored(some, "mixed", held, size)
+    n = some.count()
+    cells = _of_sets(docs, some.select("sid"), n, reps, k, _cells, "cells", "cells", held)
     # keys with the same head hold much the same sets, so they go to one worker, where a pair counts once
-    parts = F.lit(max(1, some.count() // GROUP_ROWS))
+    parts = F.lit(max(1, n // GROUP_ROWS))
     dealt = some.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
@@ -308,7 +310,7 @@ def _left_over(shared: DataFrame, found: DataFrame, docs: DataFrame, reps: DataF
 
     rest = dealt.join(cells, "sid").select("key", "sid", "n", "pos", "root", "top", "salt", "block", "x", "y", "cells", "part", "blocks")
     rest = rest.groupBy("part", "x", "y", F.col("blocks") > 1).applyInArrow(run, "a long, b long").distinct()
-    return common.stored(rest, "rest", held)
+    return common.stored(rest, "rest", held, n)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,33 +323,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     held: list[str] = []
     src = common.plain(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     measured = common.stored(_measure(src, k), "measured")
+    n = measured.count()
     rows = measured.where("slice is null").select("doc_id", "n", "sid")
     reps = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    reps = common.stored(reps, "sets")
+    reps = common.stored(reps, "sets", rows=n)
 
     # the index is dealt once, by key, which serves all that is asked of a key
     group = Window.partitionBy("key", "salt")
     entries = _index(src, k, num, den, _sketch(measured)).repartition("key", "salt").groupBy("key", "salt", "sid", "n").agg(F.max("pos").alias("pos"))
     entries = entries.withColumn("head", F.min(F.struct("pos", "sid", "n")).over(group)).withColumn("m", F.count(F.lit(1)).over(group))
-    shared = common.stored(entries.where("m > 1 or salt > 0").drop("m"), "shared", held)  # keys of one set lead nowhere
+    shared = common.stored(entries.where("m > 1 or salt > 0").drop("m"), "shared", held, 100 * n)  # keys of one set lead nowhere
+    size = shared.count()
     star = shared.select(F.col("head.sid").alias("a"), F.col("sid").alias("b"), F.struct("n", "pos").alias("x"), "head")
     star = star.where("a <> b").where(_may_link("x", "head", num, den)).select("a", "b")
     heads = shared.where("salt > 0").groupBy("key", "salt").agg(F.min(F.struct("pos", "sid", "n")).alias("x"))
     heads = heads.withColumn("head", F.min("x").over(Window.partitionBy("key")))  # at most SALTS rows a key
     across = heads.where("x.sid <> head.sid").where(_may_link("x", "head", num, den)).select(F.col("head.sid").alias("a"), F.col("x.sid").alias("b"))
     pairs = star.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(_allowed(common.stored(pairs, "pairs", held), src, reps, k, num, den, held), src, reps, k, num, den, held)
-    found = graph.components(links)
+    near = _allowed(common.stored(pairs, "pairs", held, size), src, reps, k, num, den, held)
+    found = graph.components(_verified(near, src, reps, k, num, den, held), near.count())
 
-    rest = _left_over(shared, found, src, reps, k, num, den, held)
+    rest = _left_over(shared, size, found, src, reps, k, num, den, held)
     if not rest.isEmpty():
         more = _verified(rest, src, reps, k, num, den, held)
         of = found.withColumnRenamed("root", "r")
         more = more.join(of.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
         more = more.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("r", "b").alias("b")).distinct()
-        more = graph.components(common.stored(more, "between"))
+        more = graph.components(more, rest.count())
         of = found.join(more.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
-        found = common.stored(of.union(more).distinct(), "components")
+        found = of.union(more).distinct()
     common.discard(spark, held)
 
     # sets that are linked, or that several documents have; all others are their document's own

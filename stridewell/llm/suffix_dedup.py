@@ -306,12 +306,12 @@ def _different(docs: DataFrame, wanted: DataFrame, unit: Unit, held: list[str])
     kind = np.uint8 if unit.name == "bytes" else np.uint64
     wide = np.dtype(kind).itemsize
     total = wanted.count()
-    large = common.stored(wanted.groupBy("key").count().where(F.col("count") > MOST).select("key"), "large", held)
+    large = common.stored(wanted.groupBy("key").count().where(F.col("count") > MOST).select("key"), "large", held, total // MOST)
     pieces = _cut_out(docs, wanted, total <= MOST_LISTED, unit)
     if large.isEmpty():
-        return common.stored(_merged(pieces, total, kind), "repeats", held)
+        return common.stored(_merged(pieces, total, kind), "repeats", held, 20 * total)
     pieces = common.stored(pieces, "pieces", held)
-    found = common.stored(_merged(pieces.join(large, "key", "left_anti").select(NAMES), total, kind), "repeats", held)
+    found = common.stored(_merged(pieces.join(large, "key", "left_anti").select(NAMES), total, kind), "repeats", held, 20 * total)
     rows = pieces.join(large, "key", "left_semi").select(NAMES)
     is_many = F.col("kinds") > MOST
     while True:
@@ -342,10 +342,11 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     around, held = unit.around, []
     occurs = common.stored(_occurrences(docs, unit), "occurs", held)
     keyed = occurs.where("key is not null")
+    n = occurs.count()
     cores = keyed.groupBy("key").agg(F.sum("count").alias("every"), (F.min("same") != F.max("same")).alias("several")).where("every > 1")
-    again = common.stored(keyed.join(cores.select("key", "several"), "key"), "again", held)  # all that follows is of these
+    again = common.stored(keyed.join(cores.select("key", "several"), "key"), "again", held, n)  # all that follows is of these
     alike = again.groupBy("key", "same", "several").agg(F.sum("count").alias("all"), F.min(F.struct("doc", "start", "before", "after")).alias("one"))
-    alike = common.stored(alike, "alike", held)
+    alike = common.stored(alike, "alike", held, n)
     # one text for each different stretch of a core that has several
     wanted = alike.where("several").select(F.col("one.doc").alias("doc"), F.col("one.start").alias("start"), F.col("one.before").alias("before"), F.col("one.after").alias("after"), "key", "same", F.col("all").alias("count"))
     found = _different(docs, wanted, unit, held)
@@ -354,7 +355,7 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     hits = again.join(reach, (F.col("key") == F.col("root_key")) & (F.col("same") == F.col("root_same")))
     spans = hits.select("doc", (F.col("start") - F.col("high")).alias("first"), (F.col("start") - F.col("low") + unit.length).alias("last"))
     spans = spans.union(occurs.where("key is null").select("doc", F.col("start").alias("first"), (F.col("start") + F.col("before")).alias("last")))
-    out = common.stored(_unions(spans), "spans")
+    out = common.stored(_unions(spans), "spans", rows=n)
     common.discard(docs.sparkSession, held)
     return out
 
