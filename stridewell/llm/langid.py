@@ -186,12 +186,19 @@ def label(data: np.ndarray, offsets: np.ndarray, model: dict[str, np.ndarray]) -
 
 
 def language_model(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
-    """docs: doc_id, text, lang. Learns from at most `sample` texts a language, those with the smallest hashed ids."""
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
-    ids = ids.withColumn("_h", F.xxhash64("doc_id"))
+    """docs: doc_id, text, lang. Learns from at most `sample` texts a language, those with the smallest hashed ids.
+
+    Ids are first thinned to those that can be among them, by each language's number of ids, so that a language's task
+    gets about twice the sample. Of an id that a language has several texts of, the last in order counts.
+    """
+    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
+    share = ids.groupBy("lang").agg((F.lit(2.0 * sample + 200) / F.approx_count_distinct("doc_id")).alias("_share"))  # a row a language
+    ids = ids.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(share), "lang")
+    ids = ids.where((F.col("_h") / F.lit(2.0**64) + 0.5) <= F.col("_share")).select("lang", "doc_id", "_h").distinct()
     first = ids.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample)
     # at most `sample` ids a language, which bounds the broadcast
     chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(first.select("doc_id", "lang", "_h")), ["doc_id", "lang"])
+    chosen = chosen.groupBy("doc_id", "lang", "_h").agg(F.max("text").alias("text"))
     return learning.train_once(chosen.select("doc_id", "_h", "text", F.col("lang").alias("label")), features, train, pa.string())
 
 

@@ -16,12 +16,14 @@ from . import common
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """doc_id, text, label: at most `rows` labelled texts, those whose hashed id is smallest, so any run takes the same.
 
-    labels: doc_id, label. Rows with a null id or label are left out; an id labelled twice takes its larger label.
+    labels: doc_id, label. Rows with a null id or label are left out; an id labelled twice takes its larger label, and of
+    an id that several texts have the last in order counts.
     """
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = chosen.withColumn("_h", F.xxhash64(F.col("doc_id"))).orderBy("_h", "doc_id").limit(rows)
     # the sample has at most `rows` ids of 8 bytes, which bounds the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_h", "text", "label")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "_h", "label").agg(F.max("text").alias("text")).select("doc_id", "_h", "text", "label")
 
 
 def train_once(sample: DataFrame, features: Callable, train: Callable[[list, np.ndarray], dict[str, np.ndarray]], kind: pa.DataType = pa.int64()) -> dict[str, np.ndarray] | None:

@@ -24,7 +24,7 @@ BITS, SAMPLE, ROUNDS = 18, 8192, 3
 #: A small sample is gone through more often, up to MOST_ROUNDS times, for about UPDATES steps in all.
 UPDATES, MOST_ROUNDS = 12_000, 30
 #: FTRL's learning rate, its smoothing, and the L1 and L2 terms.
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 0.5
+ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 0.005
 BLOCK = 1 << 19
 
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -89,7 +89,7 @@ def train(examples: list[dict[str, np.ndarray]], labels: np.ndarray) -> dict[str
 
     def weights(i):
         zi = z[i]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2 * 0.01))
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     for _ in range(max(ROUNDS, min(MOST_ROUNDS, UPDATES // max(1, len(rows))))):
         for (i, x), y in zip(rows, labels.tolist(), strict=True):
@@ -116,22 +116,21 @@ def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> n
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with a column quality_score more, 0 to 1; other columns are passed on."""
+    """docs with a column quality_score more, 0 to 1 (quality_score_ where docs has one); all columns are passed on."""
     return scored(docs, weights, score_texts, text, "quality_score")
 
 
 def scored(docs: DataFrame, weights, fn, text: str, name: str) -> DataFrame:
+    """docs with the score of each text; the name takes a `_` more where docs has a column of that name."""
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)  # of a fixed size
-    at = docs.columns.index(text)
-    keep = [c for c in docs.columns if c != name]
+    names, name = docs.columns, common.fresh(docs, name)
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = fn(*common.utf8(b.column(at)), shared.value)
-            yield pa.RecordBatch.from_arrays([*[b.column(docs_at[c]) for c in keep], pa.array(got, pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*names, name])
 
-    docs_at = {c: i for i, c in enumerate(docs.columns)}
-    schema = docs.select(*keep).schema.add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select("*").schema.add(name, "double"))

@@ -163,6 +163,6 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return model or {"b": np.array([-60.0]), "w": np.zeros(1 << BITS, np.float32), "v": np.zeros((1 << BITS, RANK), np.float32), "active": np.zeros(1 << BITS, bool)}
 
 
-def toxicity_scores(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """docs with a column toxicity_score more, 0 to 1; other columns are passed on."""
-    return quality.scored(docs, model, score_texts, text, "toxicity_score")
+def toxicity_scores(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", out: str = "toxicity_score") -> DataFrame:
+    """docs with a column `out` more, 0 to 1 (with a `_` more where docs has it); all columns are passed on."""
+    return quality.scored(docs, model, score_texts, text, out)
