@@ -12,40 +12,55 @@ from pyspark.sql import functions as F
 from stridewell.llm import common, decontam, packing, shingle_join, suffix_dedup, toxicity
 from stridewell.llm.queries import tokenizer_spec
 
-#: Ids that may be broadcast, after counting them; more are joined by shuffle.
+#: Rows that may be broadcast by their number (8 bytes each), after counting them; more are joined by shuffle.
 MOST_BROADCAST = 500_000
+#: Words of the shortest passage that goes: "over 50".
+PASSAGE = 51
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids; rows with a null id stay."""
-    ids = common.stored(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(docs.columns)
+def _without(rows: DataFrame, key: str, gone: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of the rows whose number `key` is not among those in gone's column of that name."""
+    gone = common.stored(gone.select(key).distinct(), "dropped")
+    return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, key, "left_anti").select(names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores under 0.7; it learns from all labelled ones."""
+    """Documents that the factorization machine scores under 0.7; it learns from all labelled ones.
+
+    A null or empty text is scored as one without terms; every row of a repeated id has its own score. An empty table
+    gives an empty one. Columns pass on whatever their names.
+    """
     labels = common.plain(common.table(spark, sf_dir, "labels"), doc_id="doc_id", label="toxic")
     model = toxicity.toxicity_model(common.plain(docs, doc_id="doc_id", text="text"), labels)
-    return toxicity.toxicity_scores(docs, model).where("toxicity_score < 0.7").drop("toxicity_score")
+    score = common.fresh(docs, "toxicity_score")
+    return toxicity.toxicity_scores(docs, model, out=score).where(F.col(score) < 0.7).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles: the one with the smallest id."""
-    groups = shingle_join.jaccard_components(docs, k=5, num=4, den=5)
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    once = docs if twice.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
-    return _without(once, groups.where("component_id <> doc_id"))
+    """One document of each group that shares 0.8 of its five-word shingles: the one with the smallest id.
+
+    Rows of a repeated or null id are rows of their own: of equal ones the first stays, others stay. Texts without words
+    (null, empty) are in no group.
+    """
+    rows, key = common.keyed(docs)
+    groups = shingle_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), k=5, num=4, den=5)
+    return _without(rows, key, groups.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of any 400-byte string that occurs twice among them."""
-    out = suffix_dedup.cut_repeats(docs, length=400)
+    """Texts without any run of over 50 words that occurs twice among them; n_chars follows the text.
+
+    No row goes, also where nothing of its text is left. A null text stays null and keeps its n_chars.
+    """
+    out = suffix_dedup.cut_repeats(docs, suffix_dedup.of_words(PASSAGE))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, exact or edited."""
-    return _without(docs, decontam.contaminated(docs, common.table(spark, sf_dir, "benchmark")))
+    """Documents that hold no benchmark item, exact or edited; of a repeated id only the rows that hold one go."""
+    rows, key = common.keyed(docs)
+    found = decontam.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return _without(rows, key, found.select(F.col("doc_id").alias(key)), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
