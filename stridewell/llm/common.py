@@ -46,7 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows of a stored table's file, about, where their number is known beforehand; there are FEWEST files at least.
-FILE_ROWS, FEWEST = 100_000, 8
+FILE_ROWS, FEWEST = 200_000, 3
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows at most, or about, in partitions that are not small."""
+    return df.coalesce(max(FEWEST, -(-rows // FILE_ROWS)))
 
 
 def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int | None = None) -> DataFrame:
@@ -57,7 +62,7 @@ def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int |
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    few = df if rows is None else df.coalesce(max(FEWEST, -(-rows // FILE_ROWS)))
+    few = df if rows is None else compact(df, rows)
     few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the return of write says so
     if held is not None:
         held.append(path)

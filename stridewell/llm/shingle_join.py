@@ -179,7 +179,10 @@ def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
 
 
 def _of_sets(docs: DataFrame, sids: DataFrame, most: int, reps: DataFrame, k: int, make, what: str, column: str, held: list[str]) -> DataFrame:
-    """sid, column: make(hashes) for the set of each sid, from one document that has it. most: rows of sids."""
+    """sid, column: make(hashes) for the set of each sid, from one document that has it. most: rows of sids.
+
+    Where an id occurs twice a sid may have several rows.
+    """
     wanted = sids.distinct().join(reps, "sid").select("sid", "doc_id")
     texts = docs.join(F.broadcast(wanted) if most <= MOST_BROADCAST else wanted, "doc_id").select("sid", "text")
 
@@ -192,7 +195,7 @@ def _of_sets(docs: DataFrame, sids: DataFrame, most: int, reps: DataFrame, k: in
                 same = sid == b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)  # another text may have the id
                 yield pa.RecordBatch.from_arrays([pa.array(sid[same]), pa.array([make(h[x:y]) for x, y, s in zip(ends[:-1], ends[1:], same, strict=True) if s], pa.binary())], names=["sid", column])
 
-    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary").dropDuplicates(["sid"]), what, held, most)
+    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary"), what, held, 4 * most)
 
 
 def _cells(h: np.ndarray) -> bytes:
@@ -230,7 +233,7 @@ def _allowed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
 
     n = pairs.count()
     cells = _of_sets(docs, _both(pairs), 2 * n, reps, k, _cells, "cells", "cells", held)
-    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(run, "a long, b long"), "near", held, n)
+    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(run, "a long, b long").distinct(), "near", held, n)
 
 
 def _verified(near: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
@@ -359,4 +362,5 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = of.join(least, "root").select("sid", "component_id")
     out = rows.withColumn("sid", F.when(F.col("n") > 0, F.col("sid")))
-    return out.join(known, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.join(known, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return common.compact(out, n)
