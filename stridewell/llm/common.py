@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,18 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
     return stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker gives its free memory back: workers live on beside later stages."""
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return out
+
+
 def crc_rest(column: Column, by: int) -> Column:
     """crc32 of an id as text, modulo by; null ids give null."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(by)

@@ -406,13 +406,13 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
             yield _packed(t, block, shards)
             block += 1
 
-    packed = common.stored(src.mapInArrow(pack, PACKED), "blocks")
+    packed = common.stored(src.mapInArrow(common.trimmed(pack), PACKED), "blocks")
     texts = packed.where("shard is null").select("block", "ids", "texts", "size", "tokens", "ends")
     words = packed.where("shard is not null").select("block", "shard", "bytes", "sizes", "counts", "words", "size")
     sums = texts.agg(F.sum("tokens").alias("n"), F.sum("ends").alias("e")).first()
     n, ends = int(sums["n"] or 0), int(sums["e"] or 0)
     histogram = np.zeros(257, np.int64)
-    for r in words.select("bytes", "size", "words").mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("bytes", "size", "words").mapInArrow(common.trimmed(_histogram), "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         histogram[r["byte"]] = r["n"]
     byte_code = huffman(histogram)
 
@@ -451,7 +451,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
                 step = _learn_block(model, b.slice(k, 1).to_pylist()[0], step)
         yield from _parts_table(_parts(model.mixer)).to_batches()
 
-    learned = spark.sparkContext.broadcast(_merged(texts.select("ids", "texts", "size").mapInArrow(learn, PARTS), ORDERS))
+    learned = spark.sparkContext.broadcast(_merged(texts.select("ids", "texts", "size").mapInArrow(common.trimmed(learn), PARTS), ORDERS))
     known: dict[str, Words] = {}
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -215,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["run", "n"])
 
         counts = np.zeros(len(items.uniq), np.int64)
-        for r in src.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).collect():
+        for r in src.select("text").mapInArrow(common.trimmed(count), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).collect():
             counts[r["run"]] = r["n"]
         items.choose(counts)
         seeds = spark.sparkContext.broadcast(items)
@@ -230,6 +230,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                         at, item, like, a, z = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + x for x in at])), pa.array([seeds.value.ids[x] for x in item], pa.int64()), pa.array(like), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["doc_id", "item_id", "likeness", "first_word", "last_word"])
 
-        these = src.mapInArrow(find, f"doc_id {kind}, {FOUND}")
+        these = src.mapInArrow(common.trimmed(find), f"doc_id {kind}, {FOUND}")
         found = these if found is None else found.union(these)
     return found if found is not None else spark.createDataFrame([], f"doc_id {kind}, {FOUND}")

@@ -160,7 +160,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(*common.utf8(b.column(1))), pa.string())], names=["doc_id", "text", "fingerprint"])
 
     common.small_batches(docs.sparkSession)
-    return common.plain(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, text string, fingerprint string")
+    return common.plain(docs, doc_id=doc_id, text=text).mapInArrow(common.trimmed(run), "doc_id long, text string, fingerprint string")
 
 
 def _edited(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
@@ -211,5 +211,5 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def close(t: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(_edited(t, bounds)), schema=SCHEMA)
 
-    dealt = fingerprint_documents(src).mapInArrow(deal, "doc_id long, text string, fingerprint string, bucket int, ahead boolean")
+    dealt = fingerprint_documents(src).mapInArrow(common.trimmed(deal), "doc_id long, text string, fingerprint string, bucket int, ahead boolean")
     return dealt.groupBy("bucket").applyInArrow(close, SQL)

@@ -425,5 +425,5 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", markup: str = "html
             texts = [render(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["page_id", "text"])
 
-    out = src.mapInArrow(run, f"page_id {kind}, text string")
+    out = src.mapInArrow(common.trimmed(run), f"page_id {kind}, text string")
     return out.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).alias("n_lines"))

@@ -214,4 +214,4 @@ def languages(docs: DataFrame, model: dict[str, np.ndarray] | None, doc_id: str
             yield pa.RecordBatch.from_arrays([common.one(t.column("doc_id")), lang, pa.array(score, pa.float64()), spans], names=["doc_id", "lang_pred", "score", "spans"])
 
     src = common.plain(docs, doc_id=doc_id, text=text)
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans {SPAN_SQL}")
+    return src.mapInArrow(common.trimmed(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, spans {SPAN_SQL}")

@@ -44,8 +44,8 @@ def train_once(sample: DataFrame, features: Callable, train: Callable[[list, np.
             yield pa.RecordBatch.from_arrays([pa.array([pack(model)], pa.binary())], names=["model"])
 
     common.small_batches(sample.sparkSession)
-    made = sample.mapInArrow(make, f"h long, x binary, label {'string' if pa.types.is_string(kind) else 'long'}")
-    got = made.repartition(1).mapInArrow(learn, "model binary").collect()  # the sample alone moves
+    made = sample.mapInArrow(common.trimmed(make), f"h long, x binary, label {'string' if pa.types.is_string(kind) else 'long'}")
+    got = made.repartition(1).mapInArrow(common.trimmed(learn), "model binary").collect()  # the sample alone moves
     return unpack(bytes(got[0]["model"])) if got else None
 
 

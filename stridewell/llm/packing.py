@@ -277,5 +277,5 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
                     pa.array([(breaks[x:y] - o).astype(np.uint32).tobytes() for x, y, o in zip(first[:-1], first[1:], offs[:-1], strict=True)], pa.binary()),
                 ], names=["doc_id", "bucket", "ids", "breaks"])
 
-    made = src.mapInArrow(tokens, "doc_id long, bucket int, ids binary, breaks binary")
+    made = src.mapInArrow(common.trimmed(tokens), "doc_id long, bucket int, ids binary, breaks binary")
     return made.groupBy("bucket").applyInArrow(lambda t: pack(t, length, kind, keep_ids), SQL)

@@ -133,4 +133,4 @@ def scored(docs: DataFrame, weights, fn, text: str, name: str) -> DataFrame:
             got = fn(*common.utf8(b.column(at)), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, docs.select("*").schema.add(name, "double"))
+    return docs.mapInArrow(common.trimmed(run), docs.select("*").schema.add(name, "double"))

@@ -72,7 +72,7 @@ def _measure(docs: DataFrame, k: int) -> DataFrame:
             parts = sketch.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(common.trimmed(run), SETS)
 
 
 def _sketch(measured: DataFrame) -> np.ndarray:
@@ -168,7 +168,7 @@ def _index(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> D
                 salt = np.where(hot, 1 + (sid[r].view(np.uint64) % np.uint64(SALTS)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[r]), pa.array(size[r].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(salt.astype(np.int32))], names=["key", "sid", "n", "pos", "salt"])
 
-    return docs.mapInArrow(run, "key long, sid long, n int, pos int, salt int")
+    return docs.mapInArrow(common.trimmed(run), "key long, sid long, n int, pos int, salt int")
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> F.Column:
@@ -195,7 +195,7 @@ def _of_sets(docs: DataFrame, sids: DataFrame, most: int, reps: DataFrame, k: in
                 same = sid == b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)  # another text may have the id
                 yield pa.RecordBatch.from_arrays([pa.array(sid[same]), pa.array([make(h[x:y]) for x, y, s in zip(ends[:-1], ends[1:], same, strict=True) if s], pa.binary())], names=["sid", column])
 
-    return common.stored(texts.mapInArrow(run, f"sid long, {column} binary"), what, held, 4 * most)
+    return common.stored(texts.mapInArrow(common.trimmed(run), f"sid long, {column} binary"), what, held, 4 * most)
 
 
 def _cells(h: np.ndarray) -> bytes:
@@ -233,7 +233,7 @@ def _allowed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
 
     n = pairs.count()
     cells = _of_sets(docs, _both(pairs), 2 * n, reps, k, _cells, "cells", "cells", held)
-    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(run, "a long, b long").distinct(), "near", held, n)
+    return common.stored(_with_values(pairs, cells, "cells").mapInArrow(common.trimmed(run), "a long, b long").distinct(), "near", held, n)
 
 
 def _verified(near: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, held: list[str]) -> DataFrame:
@@ -248,7 +248,7 @@ def _verified(near: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
             yield b.select([0, 1]).filter(pa.array([link(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_()))
 
     members = _of_sets(docs, _both(near), 2 * near.count(), reps, k, np.ndarray.tobytes, "sets", "members", held)
-    return _with_values(near, members, "members").mapInArrow(run, "a long, b long")
+    return _with_values(near, members, "members").mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def undecided(t: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:

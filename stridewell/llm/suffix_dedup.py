@@ -192,7 +192,7 @@ def _occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
                     z0 = pa.nulls(t, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i + of2]), z0, z0, pa.nulls(t, pa.int32()), pa.array(s2 - offs[of2]), pa.array((z2 - s2).astype(np.int32)), pa.nulls(t, pa.int32())], names=names)
 
-    return docs.mapInArrow(run, OCCURS)
+    return docs.mapInArrow(common.trimmed(run), OCCURS)
 
 
 PIECES = "key long, same long, left binary, right binary, around int, shift int, count long, doc long, start long, root_key long, root_same long"
@@ -230,7 +230,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, few: bool, unit: Unit) -> DataF
                     count, doc.slice(i, j - i).take(pa.array(row)), start, key, same,
                 ], names=NAMES)
 
-    return joined.mapInArrow(run, PIECES)
+    return joined.mapInArrow(common.trimmed(run), PIECES)
 
 
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -290,7 +290,7 @@ def _split(rows: DataFrame, wide: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=b.schema)
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(common.trimmed(run), PIECES)
 
 
 def _merged(rows: DataFrame, total: int, kind: type) -> DataFrame:
@@ -375,7 +375,7 @@ def _unions(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=["doc", "spans"])
 
     lists = spans.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return lists.mapInArrow(run, "doc long, spans array<struct<first:bigint,last:bigint>>")
+    return lists.mapInArrow(common.trimmed(run), "doc long, spans array<struct<first:bigint,last:bigint>>")
 
 
 MEASURES = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -439,7 +439,7 @@ def measure_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id",
             columns += [pa.array([sum(y - x for x, y in g) for g in more], pa.int64()) for more in gone[1:]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_bytes"][: len(columns)])
 
-    return _with_spans(src, units, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MEASURES}{', passage_bytes long' if passage else ''}")
+    return _with_spans(src, units, "doc_id", "text").mapInArrow(common.trimmed(run), f"doc_id {kind}, {MEASURES}{', passage_bytes long' if passage else ''}")
 
 
 def cut_repeats(docs: DataFrame, unit: Unit, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -459,4 +459,4 @@ def cut_repeats(docs: DataFrame, unit: Unit, doc_id: str = "doc_id", text: str =
             columns[at] = pa.array(left, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(common.trimmed(run), docs.schema)
