@@ -65,14 +65,13 @@ def instances(place: np.ndarray, row: np.ndarray, n: int, active: np.ndarray) ->
     begin = np.cumsum(last + 1) - (last + 1)
     win = np.concatenate([begin[of] + np.minimum(at, last[of]), begin[of] + np.maximum(at - 1, 0)])
     kk, ww = np.concatenate([k, k]), np.concatenate([word, word])
-    same = np.stack([win, place[0][ww], place[kk, ww], kk])  # a word in a window, and one of its terms
-    order = np.lexsort(same[::-1])
-    same = same[:, order]
-    new = np.ones(same.shape[1], bool)
-    new[1:] = (same[:, 1:] != same[:, :-1]).any(0)
-    same = same[:, new]
-    wins, at = np.unique(same[0], return_inverse=True)
-    return same[2], at, np.searchsorted(begin, wins, "right") - 1
+    # a word in a window, and one of its terms, as one number; windows fit 64 - 2 * BITS - 3 bits, as texts are under 2 GB
+    tie = (win.astype(np.uint64) << np.uint64(2 * BITS + 3)) | (place[0][ww].astype(np.uint64) << np.uint64(BITS + 3)) | (place[kk, ww].astype(np.uint64) << np.uint64(3)) | kk.astype(np.uint64)
+    tie.sort()
+    tie = tie[np.append(True, tie[1:] != tie[:-1])]
+    win = (tie >> np.uint64(2 * BITS + 3)).astype(np.int64)
+    new = np.append(True, win[1:] != win[:-1])
+    return ((tie >> np.uint64(3)) & np.uint64((1 << BITS) - 1)).astype(np.int64), np.cumsum(new) - 1, np.searchsorted(begin, win[new], "right") - 1
 
 
 def raw_scores(place: np.ndarray, win: np.ndarray, n: int, b: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
