@@ -170,7 +170,7 @@ def _edited(t: pa.Table, bounds: list[int]) -> Iterator[pa.RecordBatch]:
     own = [i for i in order if not ahead[i]]
     for k in range(0, len(own), 512):
         part = own[k : k + 512]
-        at = {i: order[k + n + 1] if k + n + 1 < len(order) else i for n, i in enumerate(part)}
+        at = {i: order[(k + n + 1) % len(order)] for n, i in enumerate(part)}  # without ids the last row has the first after it
         edited, n_chars = [], []
         for i in part:
             s, nxt = texts[i] or "", texts[at[i]] or ""

@@ -110,6 +110,14 @@ def test_op1(spark, sf, docs):
     assert got.near_edited.between(0, 1).all() and got.near_edited.mean() > 0.35 and got.near_next.mean() < 0.1
 
 
+def test_rows_without_ids_follow_each_other(spark):
+    texts = ["b" * 900, "a" * 901, None]
+    got = fingerprint.fingerprint_edits(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    order = [None, texts[1], texts[0]]  # nulls, then in order of the texts
+    edited = {hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in ((x or "", y or "") for x, y in zip(order, [*order[1:], order[0]], strict=True))}
+    assert {r.edited_sha256 for r in got} == edited and len(got) == 3
+
+
 def test_fingerprints_of_copies_are_near():
     text = " ".join(f"w{i * 7919 % 1009}" for i in range(800))
     raw = [text.encode(), (text[:2000] + "changed here" + text[2010:]).encode(), " ".join(f"v{i * 31 % 997}" for i in range(800)).encode()]
