@@ -132,11 +132,16 @@ def match_task(queries: DataFrame, keys: DataFrame, query: str, key: str) -> Dat
     q = queries.select(F.col(query).alias("query")).distinct()
     k = keys.select(F.col(key).alias("key")).distinct().withColumn("_tail", base_name(F.col("key")))
     q = q.withColumn("_tail", base_name(F.col("query")))
+    # a key that contains a query contains its first three characters, or all of a shorter one: a join on equal parts
+    low = F.lower("key")
+    each = F.transform(F.sequence(F.lit(0), F.length(low)), lambda i: F.transform(F.array(*map(F.lit, range(4))), lambda n: F.substr(low, i + 1, n)))
+    parts = k.select("key", F.explode(F.array_distinct(F.flatten(each))).alias("_part"))
+    begins = q.select("query", F.substring(F.lower("query"), 1, 3).alias("_part"))
     tries = [
         q.join(k.select("key"), F.col("query") == F.col("key")).select("query", "key", F.lit(0).alias("rank")),
         q.select("query").join(k, F.col("query") == F.col("_tail")).select("query", "key", F.lit(1).alias("rank")),
         q.join(k.withColumnRenamed("_tail", "_kt"), F.col("_tail") == F.col("_kt")).select("query", "key", F.lit(2).alias("rank")),
-        q.select("query").join(F.broadcast(k.select("key")), F.lower("key").contains(F.lower("query"))).select("query", "key", F.lit(3).alias("rank")),  # registered names: a bounded list
+        parts.join(begins, "_part").where(F.lower("key").contains(F.lower("query"))).select("query", "key", F.lit(3).alias("rank")),
     ]
     found = tries[0]
     for t in tries[1:]:

@@ -30,14 +30,15 @@ def asof_backward(probes: DataFrame, frames: DataFrame, by: list[str], time: str
 
 def asof_forward(probes: DataFrame, frames: DataFrame, by: list[str], time: str, id_: str, slack: float = 0.0) -> DataFrame:
     """The first frame at or after each probe less a slack; after the last frame, the last one."""
-    shifted = probes.withColumn("_at", F.col(time)).withColumn(time, F.col(time) - F.lit(slack) if slack else F.col(time))
+    named = F.struct(F.col(id_).alias("id"), F.col(time).alias("at"))  # a probe keeps its own time
+    shifted = probes.withColumn(id_, named).withColumn(time, F.col(time) - F.lit(slack) if slack else F.col(time))
     u = _union(shifted, frames, by, time, id_, False)
     base = Window.partitionBy(*by).orderBy(*_order())
     frame = F.when(F.col("_side") == 1, F.struct("_fid", "_f"))
     nxt = F.first(frame, ignorenulls=True).over(base.rowsBetween(0, Window.unboundedFollowing))
     tail = F.last(frame, ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, 0))
     got = u.withColumn("_g", F.coalesce(nxt, tail)).where("_side = 0")
-    return got.select(*by, "probe", F.col("_t").alias("probe_time"), F.col("_g._fid").alias("frame"), F.col("_g._f").alias("frame_time"))
+    return got.select(*by, F.col("probe.id").alias("probe"), F.col("probe.at").alias("probe_time"), F.col("_g._fid").alias("frame"), F.col("_g._f").alias("frame_time"))
 
 
 def asof_nearest(probes: DataFrame, frames: DataFrame, by: list[str], time: str, id_: str) -> DataFrame:
@@ -53,11 +54,11 @@ def asof_nearest(probes: DataFrame, frames: DataFrame, by: list[str], time: str,
     return u.withColumn("_g", F.coalesce(g, F.col("_a"))).select(*by, "probe", F.col("_t").alias("probe_time"), F.col("_g._fid").alias("frame"), F.col("_g._f").alias("frame_time"))
 
 
-def resample(frames: DataFrame, by: list[str], time: str, id_: str, step) -> DataFrame:
+def resample(frames: DataFrame, by: list[str], time: str, id_: str, step, eps: float = 1e-9) -> DataFrame:
     """by, slot, frame: a grid of equal steps from a group's first frame to its last; in each, its first frame, or, if
-    it has none, the one before."""
+    it has none, the one before. Times in floating point may miss a step's start by eps steps."""
     first = F.min(time).over(Window.partitionBy(*by))
-    slotted = frames.withColumn("slot", F.floor((F.col(time) - first) / F.lit(step)).cast("long"))
+    slotted = frames.withColumn("slot", F.floor((F.col(time) - first) / F.lit(step) + F.lit(eps)).cast("long"))
     heads = slotted.groupBy(*by, "slot").agg(F.min(F.struct(F.col(time).alias("_t"), F.col(id_).alias("_id"))).alias("_h"))
     # each slot up to the next one that has a frame
     nxt = F.coalesce(F.lead("slot").over(Window.partitionBy(*by).orderBy("slot")), F.col("slot") + 1)
@@ -67,8 +68,9 @@ def resample(frames: DataFrame, by: list[str], time: str, id_: str, step) -> Dat
 def intervals(frames: DataFrame, spans: DataFrame, by: list[str], step: str, label: str, before: int) -> DataFrame:
     """by, step, labels: of the spans [start - before, end) that a step lies in, sorted; '' if none.
 
-    Spans are laid out into their steps, so the join is on equal keys.
+    Spans are laid out into their steps, so the join is on equal keys. A span without steps labels none.
     """
+    spans = spans.where(F.col("end") > F.greatest(F.lit(0), F.col("start") - before))
     at = spans.select(*by, label, F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - before), F.col("end") - 1)).alias(step)).distinct()
     got = at.groupBy(*by, step).agg(F.concat_ws(",", F.sort_array(F.collect_set(label))).alias("labels"))
     return frames.select(*by, step).join(got, [*by, step], "left").select(*by, step, F.coalesce("labels", F.lit("")).alias("labels"))

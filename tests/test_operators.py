@@ -267,3 +267,23 @@ def test_empty_tables(spark):
     assert steps.running_sum(df, "v", ["step"], "s").count() == 0
     assert sampling.greedy(df, "v", ["step"], 5).count() == 0
     assert metrics.fit(df.withColumn("p", F.lit(1.0)), "p", "v", ["e"]).count() == 0
+
+
+def test_alignment_edges(spark):
+    """A probe keeps its own time whatever the slack; grid steps in floating point; a span without steps labels none."""
+    probes = spark.createDataFrame([(1, 10, 1.0), (1, 11, 2.0000004)], "g int, id int, t double")
+    seen = spark.createDataFrame([(1, 1, 0.5), (1, 2, 2.0), (1, 3, 3.0)], "g int, id int, t double")
+    got = {r.probe: (r.probe_time, r.frame) for r in alignment.asof_forward(probes, seen, ["g"], "t", "id", 1e-6).collect()}
+    assert got == {10: (1.0, 2), 11: (2.0000004, 2)}
+    grid = alignment.resample(spark.createDataFrame([(1, i, 0.1 * i) for i in range(30)], "g int, id int, t double"), ["g"], "t", "id", 0.1)
+    assert {r.slot: r.frame for r in grid.collect()} == {i: i for i in range(30)}
+    spans = spark.createDataFrame([(1, "a", 2, 1), (1, "b", 1, 3), (1, "c", 0, 0)], "g int, l string, start int, end int")
+    steps = spark.createDataFrame([(1, i) for i in range(5)], "g int, s int")
+    assert {r.s: r.labels for r in alignment.intervals(steps, spans, ["g"], "s", "l", 0).collect()} == {0: "", 1: "b", 2: "b", 3: "", 4: ""}
+
+
+def test_match_task_cascade(spark):
+    queries = spark.createDataFrame([("Pick",), ("x/put cup",), ("zz",), ("",), ("up",), ("put",), ("PUT pan",)], "q string")
+    keys = spark.createDataFrame([("pick apple",), ("a/put cup",), ("PUT pan",)], "k string")
+    got = {r["query"]: (r["key"], r["rank"]) for r in tx.match_task(queries, keys, "q", "k").collect()}
+    assert got == {"Pick": ("pick apple", 3), "x/put cup": ("a/put cup", 2), "zz": (None, None), "": (None, None), "up": ("a/put cup", 3), "put": (None, None), "PUT pan": ("PUT pan", 0)}
