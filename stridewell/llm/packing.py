@@ -33,7 +33,7 @@ LENGTH, END_ID = 4096, 2
 #: Fixed values, in tokens: cost of a window, of a cut inside a text, of a cut inside a sentence.
 EACH, IN_TEXT, IN_SENTENCE = 8, 4, 256
 LEAST_POWER = 0
-BUCKET_CHARS, BLOCK, MOST_KEPT = 6_000_000, 2 << 20, 150_000
+BUCKET_CHARS, BLOCK, MOST_KEPT = 6_000_000, 4 << 20, 300_000
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
