@@ -106,9 +106,9 @@ def crc_rest(column: Column, by: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(by)
 
 
-def input_chars(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """Rows and characters (both at least 0)."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("c")).first()
+def input_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Rows and bytes of text (both at least 0)."""
+    row = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("c")).first()
     return int(row["n"]), int(row["c"])
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common, learning, textkernel as tk
 
-BLOCK_BYTES, SHARD_CHARS = 4_000_000, 12_000_000
+BLOCK_BYTES, SHARD_BYTES = 4_000_000, 12_000_000
 COMMON, BITS, GATES, BINS, SLICES = 14, 18, 16, 33, 8
 ORDERS, BYTE_ORDERS = 3, 4
 #: Tokens, and words to spell, that are learned from or scored at once.
@@ -397,8 +397,8 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     spark = docs.sparkSession
     common.small_batches(spark)
     src = common.plain(docs, doc_id=doc_id, text=text, held=held).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held", F.lit(False)).alias("held"))
-    _, chars = common.input_chars(src)
-    shards = int(1 + chars // SHARD_CHARS)
+    _, size = common.input_bytes(src)
+    shards = int(1 + size // SHARD_BYTES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32

@@ -30,7 +30,7 @@ CODE = np.zeros(256, np.int64)
 CODE[LETTERS] = np.arange(64)
 BLOCK = 1 << 20
 #: Characters of text in a bucket of neighbouring ids.
-BUCKET_CHARS = 4_000_000
+BUCKET_BYTES = 4_000_000
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -187,11 +187,11 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """Fingerprints of every text and of its edited text, and how like they are (columns of SCHEMA).
 
     Texts are dealt once, by ranges of ids whose ends are ids that occur; the row at the end of a range is sent to the
-    next range too, where it follows the last row. A range holds about BUCKET_CHARS characters.
+    next range too, where it follows the last row. A range holds about BUCKET_BYTES bytes of text.
     """
     src = common.plain(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n, chars = common.input_chars(src)
-    buckets = max(1, min(n, 1 + chars // BUCKET_CHARS))
+    n, size = common.input_bytes(src)
+    buckets = max(1, min(n, 1 + size // BUCKET_BYTES))
     bounds = common.id_bounds(src, buckets) or [0]
     ends = np.array(bounds, np.int64)
 

@@ -5,7 +5,7 @@ sentence, or, where these are further apart than a window, inside a sentence. A
 length is a power of two), a fixed amount, and a penalty where it cuts a text or a sentence. The cheapest cuts are
 found in one pass: the best start of a window that ends here is the front of a monotone queue.
 
-Ids are dealt by ranges of doc_id of about BUCKET_CHARS characters; a range is packed by itself, so that the last
+Ids are dealt by ranges of doc_id of about BUCKET_BYTES bytes of text; a range is packed by itself, so that the last
 window of a range may be short. sequence_id is the range's number times 2**32 plus the window's number in it.
 
 Words are tokenized once a batch: the tokenizer splits at white space, so a text's ids are those of its words in turn.
@@ -33,7 +33,7 @@ LENGTH, END_ID = 4096, 2
 #: Fixed values, in tokens: cost of a window, of a cut inside a text, of a cut inside a sentence.
 EACH, IN_TEXT, IN_SENTENCE = 8, 4, 256
 LEAST_POWER = 0
-BUCKET_CHARS, BLOCK, MOST_KEPT = 6_000_000, 4 << 20, 300_000
+BUCKET_BYTES, BLOCK, MOST_KEPT = 6_000_000, 8 << 20, 300_000
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 
@@ -254,8 +254,8 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
     spark = docs.sparkSession
     common.small_batches(spark)
     src = common.plain(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n, chars = common.input_chars(src)
-    bounds = np.array(common.id_bounds(src, max(1, min(n, 1 + chars // BUCKET_CHARS))) or [0], np.int64)
+    n, size = common.input_bytes(src)
+    bounds = np.array(common.id_bounds(src, max(1, min(n, 1 + size // BUCKET_BYTES))) or [0], np.int64)
     shared = spark.sparkContext.broadcast(spec)  # one tokenizer file
     kind = np.uint16 if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
 
