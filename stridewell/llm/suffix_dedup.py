@@ -442,7 +442,7 @@ def measure_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id",
     return _with_spans(src, units, "doc_id", "text").mapInArrow(common.trimmed(run), f"doc_id {kind}, {MEASURES}{', passage_bytes long' if passage else ''}")
 
 
-def cut_repeats(docs: DataFrame, unit: Unit, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, unit: Unit = of_bytes(400), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the repeats in their texts; other columns are passed on, null texts stay null.
 
     Where a cut falls inside a character, what is left of the character goes too.
