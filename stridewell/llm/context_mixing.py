@@ -9,8 +9,15 @@ often the contexts were seen, picks the weights that mix them; an adaptive table
 each chunk is predicted, then moves the weights, then joins the counts. Words learn from all training texts, spellings
 from all different training words. Tasks learn side by side; counts add up, weights are averaged by the bits they saw.
 
-Words are known by 64-bit hashes. Tables have fixed sizes, so what is broadcast does not grow; word counts, which do,
-travel as a part for each block of texts and shard of hashes, and come back as counts of just the block's words.
+The mixers' tables have fixed sizes, so what is broadcast does not grow. What grows with the corpus are the counts of
+all its words and of all its runs of two and three tokens: they travel as a part for each block of texts and shard of
+hashes, and come back as counts of just the block's words and runs. A token's probability is the mixers' one, a run of
+two's and a run of three's shares of their contexts' counts, each let in by a gate: the chance that these counts speak,
+by how often the context was seen and whether the last two tokens' runs of three were known. Gates are fitted to a
+block's training texts. A training text's own occurrence of a run is taken off the run's counts, so that these show
+what the rest of the corpus has: a text that occurs once gains nothing from itself, one that occurs twice does.
+
+Words are known by 64-bit hashes, runs by as many bits as keep a false match under about one in a thousand.
 
 Defined results: a null text is empty and has its end alone; equal rows are scored alike; null ids count as training
 texts. Without training texts all counts are 0.
@@ -33,6 +40,8 @@ from . import common, learning, textkernel as tk
 BLOCK_BYTES, SHARD_BYTES = 4_000_000, 12_000_000
 COMMON, BITS, GATES, BINS, SLICES = 14, 18, 16, 33, 8
 ORDERS, BYTE_ORDERS = 3, 4
+#: Bits of a run's key beyond those that number the corpus's bytes; levels of a context's count; steps that fit gates.
+SPARE_BITS, LEVELS, FITS = 10, 24, 6
 #: Tokens, and words to spell, that are learned from or scored at once.
 CHUNK, SPELL = 64_000, 12_000
 #: What a context starts with for either bit, and how far the adaptive table is trusted.
@@ -219,6 +228,12 @@ class Tokens:
         self.one[1:] = np.where(pos[1:] >= 1, self.hash[:-1], 0)
         self.two[2:] = np.where(pos[2:] >= 2, self.hash[:-2], 0)
 
+    def runs(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the run of two and of three that each token ends; a text begins after two tokens 0."""
+        two = tk.mix(self.hash + self.one * np.uint64(tk.BASE))
+        three = tk.mix(two + self.two * np.uint64(tk.BASE) + np.uint64(1))
+        return two >> np.uint64(64 - bits), three >> np.uint64(64 - bits)
+
     def different(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The different words' hashes in order, each word's number among them, and a place of each."""
         uniq, which = np.unique(self.w.hash, return_inverse=True)
@@ -235,29 +250,78 @@ def _unzip(raw: bytes, kind: type, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
-#: A block's texts (shard null), or its words of a shard: their bytes, sizes and training counts, in order of hash.
-PACKED = "block long, shard int, ids binary, texts binary, size long, tokens long, ends long, bytes binary, sizes binary, counts binary, words long"
+def _zip_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers from 0, as planes of their bytes, of which high ones that are all zero are left out."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + _zip(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def _unzip_numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : raw[0]] = _unzip(raw[1:], np.uint8, n * raw[0]).reshape(raw[0], n).T
+    return out.view("<u8").ravel()
+
+
+def _zip_keys(keys: np.ndarray) -> bytes:
+    """Increasing keys: the first, and the steps between them."""
+    return keys[:1].tobytes() + _zip_numbers(np.diff(keys, prepend=keys[:1]))
+
+
+def _unzip_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unzip_numbers(raw[8:], n), dtype=np.uint64) + np.frombuffer(raw[:8], np.uint64) if n else np.zeros(0, np.uint64)
 
 
-def _packed(t: pa.Table, block: int, shards: int) -> pa.RecordBatch:
+def _typed(names: str, rows: list[dict]) -> pa.Table:
+    """Rows as a table of the columns that names lists as Spark does."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in names.split(", ")])
+    return pa.Table.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+BLOCKS = "block long, ids binary, texts binary, size long"
+#: A block's words and runs of a shard, in order of hash: bytes, sizes and training counts; keys and training counts.
+#: A row without a shard has the block's training tokens and texts.
+PACKED = "block long, shard int, size long, tokens long, ends long, bytes binary, sizes binary, counts binary, words long, twos binary, two_counts binary, n_twos long, threes binary, three_counts binary, n_threes long"
+
+
+def _block(t: pa.Table, block: int) -> pa.RecordBatch:
     data, offsets = common.utf8(common.one(t.column("text")))
     held = np.array([bool(x) for x in t.column("held").to_pylist()])
     ids = t.column("doc_id").to_pylist()
-    tok = Tokens(data, offsets)
+    pack = learning.pack({"v": np.array([x or 0 for x in ids], np.int64), "null": np.array([x is None for x in ids], bool), "offsets": offsets, "held": held})
+    return _typed(BLOCKS, [{"block": block, "ids": pack, "texts": _zip(data), "size": len(data)}]).to_batches()[0]
+
+
+def _shard_cuts(hashes: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's part of increasing hashes of so many bits begins."""
+    return np.searchsorted((hashes >> np.uint64(bits - 24)).astype(np.int64) * shards >> 24, np.arange(shards + 1))
+
+
+def _packed(row: dict, shards: int, bits: int) -> pa.RecordBatch:
+    data, ids = _unzip(row["texts"], np.uint8, row["size"]), learning.unpack(row["ids"])
+    held, block = ids["held"], row["block"]
+    tok = Tokens(data, ids["offsets"])
     uniq, which, example = tok.different()
     count = np.bincount(which[~held[tok.w.row]], minlength=len(uniq)).astype(np.uint32)
     start, size = tok.w.start[example], (tok.w.end - tok.w.start)[example]
-    pack = learning.pack({"v": np.array([x or 0 for x in ids], np.int64), "null": np.array([x is None for x in ids], bool), "offsets": offsets, "held": held})
-    rows = [{"block": block, "ids": pack, "texts": _zip(data), "size": len(data), "tokens": int(tok.n[~held].sum()), "ends": int((~held).sum())}]
-    part = (uniq >> np.uint64(40)).astype(np.int64) * shards >> 24
-    cut = np.searchsorted(part, np.arange(shards + 1))
+    learned = ~held[tok.row]
+    parts = [{"block": block, "shard": s} for s in range(shards)]
+    cut = _shard_cuts(uniq, 64, shards)
     for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        if b > a:
-            text = tok.w.lower[tk.flat_ranges(start[a:b], size[a:b])]
-            rows.append({"block": block, "shard": s, "size": len(text), "bytes": _zip(text), "sizes": _zip(size[a:b].astype(np.uint32)), "counts": _zip(count[a:b]), "words": b - a})
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")])
-    return pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema).combine_chunks().to_batches()[0]
+        text = tok.w.lower[tk.flat_ranges(start[a:b], size[a:b])]
+        parts[s] |= {"size": len(text), "bytes": _zip(text), "sizes": _zip(size[a:b].astype(np.uint32)), "counts": _zip(count[a:b]), "words": b - a}
+    for name, keys in zip(("two", "three"), tok.runs(bits), strict=True):
+        runs, of = np.unique(keys, return_inverse=True)
+        n = np.bincount(of[learned], minlength=len(runs))
+        cut = _shard_cuts(runs, bits, shards)
+        for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            parts[s] |= {f"{name}s": _zip_keys(runs[a:b]), f"{name}_counts": _zip_numbers(n[a:b]), f"n_{name}s": b - a}
+    rows = [{"block": block, "tokens": int(learned.sum()), "ends": int((~held).sum())}]
+    rows += [p for p in parts if p["words"] or p["n_twos"] or p["n_threes"]]
+    return _typed(PACKED, rows).to_batches()[0]
 
 
 class ShardWords:
@@ -269,7 +333,7 @@ class ShardWords:
             texts.append(_unzip(r["bytes"], np.uint8, r["size"]))
             sizes.append(_unzip(r["sizes"], np.uint32, r["words"]))
             counts.append(_unzip(r["counts"], np.uint32, r["words"]))
-        self.data = np.concatenate(texts)
+        self.data = np.concatenate([*texts, np.zeros(0, np.uint8)])
         self.end = np.cumsum(np.concatenate(sizes).astype(np.int64))
         self.start = self.end - np.concatenate(sizes)
         self.uniq, first, self.which = np.unique(tk.span_hashes(self.data, self.start, self.end), return_index=True, return_inverse=True)
@@ -314,7 +378,17 @@ def _merged(parts: DataFrame, orders: int) -> dict[str, np.ndarray]:
     return {"counts": counts, "weights": np.where(seen > 0, other["w"] / np.maximum(seen, 1), blank.weights), "refine": other["refine"]}
 
 
-COUNTED = "block long, shard int, counts binary, spelled binary, words long, distinct long, once long, hashes binary"
+def _run_totals(t: pa.Table, name: str) -> list[bytes]:
+    """For each row of a shard, the whole corpus's training counts of its runs."""
+    n = t.column(f"n_{name}s").to_pylist()
+    keys = np.concatenate([_unzip_keys(x, m) for x, m in zip(t.column(f"{name}s").to_pylist(), n, strict=True)])
+    uniq, which = np.unique(keys, return_inverse=True)
+    here = np.concatenate([_unzip_numbers(x, m) for x, m in zip(t.column(f"{name}_counts").to_pylist(), n, strict=True)])
+    total = np.bincount(which, here, minlength=len(uniq)).astype(np.uint64)[which]
+    return [_zip_numbers(x) for x in np.split(total, np.cumsum(n)[:-1])]
+
+
+COUNTED = "block long, shard int, counts binary, spelled binary, words long, twos binary, n_twos long, threes binary, n_threes long, distinct long, once long, hashes binary"
 
 
 def _counted(t: pa.Table, least: float, spelling: Spelling) -> pa.Table:
@@ -322,14 +396,14 @@ def _counted(t: pa.Table, least: float, spelling: Spelling) -> pa.Table:
     w = ShardWords(t)
     shard = t.column("shard")[0].as_py()
     spelled = spelling.logs(w.data, w.start[w.first], w.end[w.first]).astype(np.float32)
+    twos, threes = _run_totals(t, "two"), _run_totals(t, "three")
     rows = []
-    for b, x, y in zip(t.column("block").to_pylist(), w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True):
-        at = w.which[x:y]
-        rows.append((b, shard, _zip(w.total[at]), _zip(spelled[at]), y - x, None, None, None))
+    for k, r in enumerate(t.select(["block", "n_twos", "n_threes"]).to_pylist()):
+        at = w.which[w.cut[k] : w.cut[k + 1]]
+        rows.append(r | {"shard": shard, "counts": _zip(w.total[at]), "spelled": _zip(spelled[at]), "words": len(at), "twos": twos[k], "threes": threes[k]})
     often = w.total >= max(least, 1)
-    rows.append((-1, shard, w.total[often].tobytes(), None, int(often.sum()), int((w.total > 0).sum()), int((w.total == 1).sum()), w.uniq[often].tobytes()))
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in COUNTED.split(", ")])
+    rows.append({"block": -1, "shard": shard, "counts": w.total[often].tobytes(), "words": int(often.sum()), "distinct": int((w.total > 0).sum()), "once": int((w.total == 1).sum()), "hashes": w.uniq[often].tobytes()})
+    return _typed(COUNTED, rows)
 
 
 def _learn_block(model: Words, row: dict, step: int) -> int:
@@ -351,10 +425,53 @@ def _learn_block(model: Words, row: dict, step: int) -> int:
     return step
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-
+def _gated(log_p: np.ndarray, shares: list[np.ndarray], cells: list[np.ndarray], learned: np.ndarray) -> np.ndarray:
+    """Natural logs of a probability with, in turn, each order's shares let in by a gate for each cell.
 
-def _score_block(model: Words, row: dict, counts: np.ndarray, spelled: np.ndarray, n: int, v: int, ends: int, rare: int, new: float) -> pa.RecordBatch:
+    Cell 0 has no counts: its gate is shut. Gates are fitted to the learned tokens, from a prior of 1 in 10 tokens.
+    """
+    gates = [np.full(1 + 4 * LEVELS, 0.3) for _ in shares]
+    p0, q, at = np.exp(log_p[learned]), [x[learned] for x in shares], [c[learned] for c in cells]
+    for _ in range(FITS):
+        low = [p0]
+        for g, x, c in zip(gates, q, at, strict=True):
+            g[0] = 0
+            low.append(low[-1] + g[c] * (x - low[-1]))
+        left = np.ones(len(p0))  # the chance that no higher order spoke
+        for k in reversed(range(len(gates))):
+            spoke = left * gates[k][at[k]] * q[k] / np.maximum(low[k + 1], 1e-300)
+            m = len(gates[k])
+            gates[k] = (np.bincount(at[k], spoke, minlength=m) + 1) / (np.bincount(at[k], left, minlength=m) + 10)
+            left = left - spoke
+    rest, given = np.ones(len(log_p)), np.zeros(len(log_p))
+    for g, x, c in zip(gates, shares, cells, strict=True):
+        g[0] = 0
+        rest, given = rest * (1 - g[c]), given * (1 - g[c]) + g[c] * x
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(log_p + np.log(rest), np.log(given))
+
+
+def _with_runs(tok: Tokens, log_p: np.ndarray, c: np.ndarray, twos: np.ndarray, threes: np.ndarray, ends: int, learned: np.ndarray) -> np.ndarray:
+    """Natural logs of the tokens' probabilities with runs: c, twos and threes are training counts of each token, of the
+    run of two and of the run of three that it ends."""
+    if not len(c):
+        return log_p
+    own, first = learned.astype(float), np.zeros(len(c), bool)
+    first[np.cumsum(tok.n) - tok.n] = True
+    before = [np.where(first, ends, np.roll(c, 1)) - own, np.where(first, 0, np.roll(twos, 1) - own)]
+    seen = [twos - own, threes - own]
+    shares = [np.where(b > 0, np.clip(x / np.maximum(b, 1), 0, 1), 0) for x, b in zip(seen, before, strict=True)]
+    hit = (seen[1] > 0).astype(np.int64)
+    last = np.where(first, 0, np.roll(hit, 1))
+    recent = 2 * last + np.where(first, 0, np.roll(last, 1))
+    cells = [np.where(b > 0, 1 + 4 * np.minimum(LEVELS - 1, np.log2(np.maximum(b, 1)).astype(np.int64)) + recent, 0) for b in before]
+    return _gated(log_p, shares, cells, learned)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, spelling_score double"
+
+
+def _score_block(model: Words, row: dict, counts: np.ndarray, spelled: np.ndarray, twos: np.ndarray, threes: np.ndarray, bits: int, n: int, v: int, ends: int, rare: int, new: float) -> pa.RecordBatch:
     data, ids = _unzip(row["texts"], np.uint8, row["size"]), learning.unpack(row["ids"])
     offsets = ids["offsets"]
     tok = Tokens(data, offsets)
@@ -374,9 +491,13 @@ def _score_block(model: Words, row: dict, counts: np.ndarray, spelled: np.ndarra
     c = np.full(len(symbol), float(ends))
     c[~tok.is_end] = counts[which]
     m = len(offsets) - 1
+    runs = [total[np.unique(keys, return_inverse=True)[1]].astype(float) for total, keys in zip((twos, threes), tok.runs(bits), strict=True)]
+    score = _with_runs(tok, score * math.log(10), c, *runs, ends, ~ids["held"][tok.row]) / math.log(10)
+    spelling = np.zeros(len(symbol))
+    spelling[~tok.is_end] = np.where(counts == 0, spelled, 0)[which]
     base = np.bincount(tok.row, np.log10((c + 0.1) / (n + 0.1 * (v + 1))), minlength=m)
     known = np.bincount(tok.row, c > 0, minlength=m).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids["v"], pa.int64(), mask=ids["null"]), pa.array(ids["held"]), pa.array(tok.n), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(np.bincount(tok.row, score, minlength=m)), pa.array(np.diff(offsets))], names=[c.split()[0] for c in SCORED.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(ids["v"], pa.int64(), mask=ids["null"]), pa.array(ids["held"]), pa.array(tok.n), pa.array(known), pa.array(np.full(m, n)), pa.array(base), pa.array(np.bincount(tok.row, score, minlength=m)), pa.array(np.diff(offsets)), pa.array(np.bincount(tok.row, spelling, minlength=m))], names=[c.split()[0] for c in SCORED.split(", ")])
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,24 +513,30 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """SCORED for every text: sizes, the score of smoothed word counts (base_score) and of the mixing model, both log10.
 
-    held: a boolean column, true for texts that nothing is learned from. Bits per byte are -score * log2(10) / n_bytes.
+    spelling_score is the part of score that spells words which no training text has; base_score gives all such words
+    one probability whatever their spelling, so score - spelling_score is what compares with it. held: a boolean column, true for texts that nothing is learned from. Bits per byte are -score * log2(10) / n_bytes.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     src = common.plain(docs, doc_id=doc_id, text=text, held=held).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held", F.lit(False)).alias("held"))
     _, size = common.input_bytes(src)
     shards = int(1 + size // SHARD_BYTES)
+    bits = min(64, max(40, size.bit_length() + SPARE_BITS))
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, t in enumerate(common.gathered(batches, BLOCK_BYTES)):
+            yield _block(t, (TaskContext.get().partitionId() << 32) + k)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for t in common.gathered(batches, BLOCK_BYTES):
-            yield _packed(t, block, shards)
-            block += 1
-
-    packed = common.stored(src.mapInArrow(common.trimmed(pack), PACKED), "blocks")
-    texts = packed.where("shard is null").select("block", "ids", "texts", "size", "tokens", "ends")
-    words = packed.where("shard is not null").select("block", "shard", "bytes", "sizes", "counts", "words", "size")
-    sums = texts.agg(F.sum("tokens").alias("n"), F.sum("ends").alias("e")).first()
+        for b in batches:
+            for k in range(b.num_rows):
+                yield _packed(b.slice(k, 1).to_pylist()[0], shards, bits)
+
+    texts = common.stored(src.mapInArrow(common.trimmed(block), BLOCKS), "blocks")
+    parts: list[str] = []  # discarded once they are counted
+    packed = common.stored(texts.mapInArrow(common.trimmed(pack), PACKED), "parts", parts)
+    words = packed.where("shard is not null").drop("tokens", "ends")
+    sums = packed.where("shard is null").agg(F.sum("tokens").alias("n"), F.sum("ends").alias("e")).first()
     n, ends = int(sums["n"] or 0), int(sums["e"] or 0)
     histogram = np.zeros(257, np.int64)
     for r in words.select("bytes", "size", "words").mapInArrow(common.trimmed(_histogram), "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
@@ -422,7 +549,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
         model.learn(w.data, w.start[at], w.end[at])
         return _parts_table(_parts(model.mixer))
 
-    spelling = spark.sparkContext.broadcast(_merged(words.groupBy("shard").applyInArrow(spell, PARTS), BYTE_ORDERS))
+    spelling = spark.sparkContext.broadcast(_merged(words.select("shard", "bytes", "sizes", "counts", "words", "size").groupBy("shard").applyInArrow(spell, PARTS), BYTE_ORDERS))
     kept: dict[str, object] = {}
     least = n / (1 << COMMON)
 
@@ -432,6 +559,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
         return _counted(t, least, kept["spelling"])
 
     counted = common.stored(words.groupBy("shard").applyInArrow(count, COUNTED), "counts")
+    common.discard(spark, parts)
     # at most 2**COMMON words are that common, which bounds what the driver gets
     tops = counted.where("block = -1").select("distinct", "once", "hashes", "counts").collect()
     hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in tops] or [np.zeros(0, np.uint64)])
@@ -460,7 +588,8 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
         rows = sorted(right.to_pylist(), key=lambda r: r["shard"])
         counts = np.concatenate([_unzip(r["counts"], np.int64, r["words"]) for r in rows] or [np.zeros(0, np.int64)])
         spelled = np.concatenate([_unzip(r["spelled"], np.float32, r["words"]) for r in rows] or [np.zeros(0, np.float32)])
-        return pa.Table.from_batches([_score_block(known["words"], r, counts, spelled, n, v, ends, rare, new) for r in left.to_pylist()])
+        runs = [np.concatenate([_unzip_numbers(r[k], r[f"n_{k}"]) for r in rows] or [np.zeros(0, np.uint64)]) for k in ("twos", "threes")]
+        return pa.Table.from_batches([_score_block(known["words"], r, counts, spelled, *runs, bits, n, v, ends, rare, new) for r in left.to_pylist()])
 
-    back = counted.where("block >= 0").select("block", "shard", "counts", "spelled", "words")
-    return texts.select("block", "ids", "texts", "size").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORED)
+    back = counted.where("block >= 0").drop("distinct", "once", "hashes")
+    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORED)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,6 +535,75 @@ def test_op9(spark, sf, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id, 10) == 0, len(t), sum(count[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
     assert (got.score < 0).all() and got.bits_per_byte.mean() < 4
+    out = got[got.held_out]
+    assert out.score.sum() > out.base_score.sum()
+    assert ((out.score - out.spelling_score) > out.base_score).mean() > 0.9
+
+
+def _op9_block(rows):
+    """The stored row of a block of (doc_id, text, held)."""
+    t = pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "held": [r[2] for r in rows]})
+    return context_mixing._block(t, rows[0][0]).to_pylist()[0]
+
+
+def test_runs_are_counted_over_all_blocks():
+    rng = np.random.default_rng(16)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(0, 40))), i % 4 == 0) for i in range(60)]
+    blocks = [_op9_block(rows[k : k + 15]) for k in range(0, 60, 15)]
+    counts = [collections.Counter() for _ in range(2)]
+    for _, text, held in rows:
+        t = [0, 0, *text.split(), None]
+        for j in range(2, len(t)):
+            if not held:
+                counts[0][tuple(t[j - 1 : j + 1])] += 1
+                counts[1][tuple(t[j - 2 : j + 1])] += 1
+    shards = 3
+    packed = pa.Table.from_batches([context_mixing._packed(b, shards, 48) for b in blocks]).to_pylist()
+    back: dict = {}
+    for s in range(shards):
+        mine = [r for r in packed if r["shard"] == s]
+        for name in ("two", "three"):
+            for r, raw in zip(mine, context_mixing._run_totals(pa.Table.from_pylist(mine), name), strict=True):
+                back.setdefault((r["block"], name), []).append(context_mixing._unzip_numbers(raw, r[f"n_{name}s"]))
+    for b, first in zip(blocks, range(0, 60, 15), strict=True):
+        ids = context_mixing.learning.unpack(b["ids"])
+        tok = context_mixing.Tokens(context_mixing._unzip(b["texts"], np.uint8, b["size"]), ids["offsets"])
+        for name, n, keys, want in zip(("two", "three"), (2, 3), tok.runs(48), counts, strict=True):
+            got = np.concatenate(back[b["block"], name])[np.unique(keys, return_inverse=True)[1]]
+            expected = [want[tuple(t[j - n + 1 : j + 1])] for _, x, _ in rows[first : first + 15] for t in [[0, 0, *x.split(), None]] for j in range(2, len(t))]
+            assert got.tolist() == expected
+
+
+def test_numbers_and_keys_come_back():
+    rng = np.random.default_rng(17)
+    for x in (np.zeros(0, np.uint64), np.zeros(3, np.uint64), np.unique(rng.integers(0, 2**64, 500, np.uint64)), np.array([2**64 - 1], np.uint64)):
+        assert (context_mixing._unzip_numbers(context_mixing._zip_numbers(x), len(x)) == x).all()
+        assert (context_mixing._unzip_keys(context_mixing._zip_keys(x), len(x)) == x).all()
+
+
+def test_gates_keep_a_distribution_and_follow_what_helps():
+    rng = np.random.default_rng(18)
+    shares = [rng.dirichlet(np.ones(5)) for _ in range(2)]  # of five words after one context
+    p = np.full(5, 0.2)
+    out = context_mixing._gated(np.log(p), shares, [np.full(5, 9), np.full(5, 3)], np.zeros(5, bool))
+    assert np.exp(out).sum() == pytest.approx(1)
+    shut = context_mixing._gated(np.log(p), shares, [np.zeros(5, int)] * 2, np.ones(5, bool))
+    assert np.allclose(shut, np.log(p))
+    right = np.full(2000, 0.9)
+    out = context_mixing._gated(np.full(2000, math.log(0.01)), [right, np.full(2000, 0.001)], [np.full(2000, 5)] * 2, np.ones(2000, bool))
+    assert np.exp(out).min() > 0.8
+
+
+def test_a_text_gains_from_its_copy_and_not_from_itself(spark):
+    rng = np.random.default_rng(19)
+    vocab = ["".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(vocab, 60)), False) for i in range(300)]
+    rows += [(300 + i, rows[i][1], i % 2 == 0) for i in range(20)]
+    got = context_mixing.mixing_scores(spark.createDataFrame(rows, "doc_id long, text string, held boolean")).toPandas().set_index("doc_id")
+    twice, alone = got.score[got.index < 20], got.score[(got.index >= 20) & (got.index < 300)]
+    # a training text with a held-out copy has no other training occurrence
+    assert twice[twice.index % 2 == 1].min() > alone.max() and got.score[got.held_out].min() > alone.max()
+    assert twice[twice.index % 2 == 0].max() < twice[twice.index % 2 == 1].min()
 
 
 def test_codes_are_complete():
