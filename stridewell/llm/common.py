@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark deletes an execution's shuffle files at its end, on every executor, where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a stored table's file, about, where their number is known beforehand; there are FEWEST files at least.
 FILE_ROWS, FEWEST = 200_000, 3
 
@@ -58,13 +60,19 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
 def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once.
 
+    Shuffle files of its making go with the write, as nothing reads them again.
     held: gets the table's path, for discard(). rows: that df has at most, or about; few rows are not written as many
     small files, each of which costs more than its rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     few = df if rows is None else compact(df, rows)
-    few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the return of write says so
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the return of write says so
+    finally:
+        spark.conf.set(CLEANUP, before)
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)
