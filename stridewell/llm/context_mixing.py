@@ -3,8 +3,8 @@
 A text is its words in lower case (A-Z) and one end. Words that make up 2**-COMMON or more of the training tokens, the
 end and an escape have Huffman codes; any other word is an escape and then, with the share of training tokens that Good
 and Turing's rule gives to new words, its bytes, each with a Huffman code, and a stop, or else its share of the counts
-of rare words. Every bit of a code is predicted from several hashed contexts (for words: the code so far, with no, one
-and two words before; for bytes: with one to four bytes before). A predictor's counts give a log odds; a gate, by how
+of rare words. Every bit of a code is predicted from several hashed contexts (for words: the code so far, without and
+with the word before; for bytes: with one to four bytes before). A predictor's counts give a log odds; a gate, by how
 often the contexts were seen, picks the weights that mix them; an adaptive table refines the mix. All is learned online:
 each chunk is predicted, then moves the weights, then joins the counts. Words learn from all training texts, spellings
 from all different training words. Tasks learn side by side; counts add up, weights are averaged by the bits they saw.
@@ -39,9 +39,9 @@ from . import common, learning, textkernel as tk
 
 BLOCK_BYTES, SHARD_BYTES = 4_000_000, 12_000_000
 COMMON, BITS, GATES, BINS, SLICES = 14, 18, 16, 33, 8
-ORDERS, BYTE_ORDERS = 3, 4
-#: Bits of a run's key beyond those that number the corpus's bytes; levels of a context's count; steps that fit gates.
-SPARE_BITS, LEVELS, FITS = 10, 24, 6
+ORDERS, BYTE_ORDERS = 2, 4
+#: Bits of a run's key beyond those that number the corpus's bytes; levels of a context's count; times gates are fitted.
+SPARE_BITS, LEVELS, FITS = 7, 24, 2
 #: Tokens, and words to spell, that are learned from or scored at once.
 CHUNK, SPELL = 64_000, 12_000
 #: What a context starts with for either bit, and how far the adaptive table is trusted.
@@ -90,7 +90,7 @@ class Mixer:
         """Makes what is looked up from what is counted."""
         pair = self.counts.reshape(self.k, -1, 2).astype(np.float32)
         self.odds = np.log((pair[..., 1] + np.float32(START)) / (pair[..., 0] + np.float32(START)))
-        n = pair.sum(2)
+        n = pair[..., 0] + pair[..., 1]
         self.level = (n >= 2).astype(np.uint8) + (n >= 12) + (n >= 100)
         self.w = self.weights.astype(np.float32)
         total = self.refine.sum(1)
@@ -160,14 +160,13 @@ class Words:
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         return np.where(self.vocab[at] == h, at + 2, ESCAPE)
 
-    def bits(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Slots, bits and tokens of the codes of symbols, after the words one and two."""
+    def bits(self, symbol: np.ndarray, one: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots, bits and tokens of the codes of symbols, after the words one."""
         size = self.code["size"][symbol]
         at = tk.flat_ranges(self.code["first"][symbol], size)
         of = np.repeat(np.arange(len(symbol)), size)
         node = self.code["node"][at]
-        far = one * np.uint64(3) + two * np.uint64(0x9E3779B97F4A7C15)
-        return [_slot(None, node), _slot(one[of], node), _slot(far[of], node)], self.code["bit"][at], of
+        return [_slot(None, node), _slot(one[of], node)], self.code["bit"][at], of
 
 
 class Spelling:
@@ -282,9 +281,11 @@ def _typed(names: str, rows: list[dict]) -> pa.Table:
 
 
 BLOCKS = "block long, ids binary, texts binary, size long"
-#: A block's words and runs of a shard, in order of hash: bytes, sizes and training counts; keys and training counts.
-#: A row without a shard has the block's training tokens and texts.
-PACKED = "block long, shard int, size long, tokens long, ends long, bytes binary, sizes binary, counts binary, words long, twos binary, two_counts binary, n_twos long, threes binary, three_counts binary, n_threes long"
+#: A block's words of a shard, in order of hash: their bytes, sizes and training counts. A row without a shard has the
+#: block's training tokens and texts.
+PACKED = "block long, shard int, size long, tokens long, ends long, bytes binary, sizes binary, counts binary, words long"
+#: A block's runs of a shard, in order: their keys and training counts, or the whole corpus's.
+RUNS = "block long, shard int, twos binary, two_counts binary, n_twos long, threes binary, three_counts binary, n_threes long"
 
 
 def _block(t: pa.Table, block: int) -> pa.RecordBatch:
@@ -300,28 +301,36 @@ def _shard_cuts(hashes: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return np.searchsorted((hashes >> np.uint64(bits - 24)).astype(np.int64) * shards >> 24, np.arange(shards + 1))
 
 
-def _packed(row: dict, shards: int, bits: int) -> pa.RecordBatch:
+def _packed(row: dict, shards: int) -> pa.RecordBatch:
     data, ids = _unzip(row["texts"], np.uint8, row["size"]), learning.unpack(row["ids"])
     held, block = ids["held"], row["block"]
     tok = Tokens(data, ids["offsets"])
     uniq, which, example = tok.different()
     count = np.bincount(which[~held[tok.w.row]], minlength=len(uniq)).astype(np.uint32)
     start, size = tok.w.start[example], (tok.w.end - tok.w.start)[example]
-    learned = ~held[tok.row]
-    parts = [{"block": block, "shard": s} for s in range(shards)]
+    rows = [{"block": block, "tokens": int(tok.n[~held].sum()), "ends": int((~held).sum())}]
     cut = _shard_cuts(uniq, 64, shards)
     for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        text = tok.w.lower[tk.flat_ranges(start[a:b], size[a:b])]
-        parts[s] |= {"size": len(text), "bytes": _zip(text), "sizes": _zip(size[a:b].astype(np.uint32)), "counts": _zip(count[a:b]), "words": b - a}
+        if b > a:
+            text = tok.w.lower[tk.flat_ranges(start[a:b], size[a:b])]
+            rows.append({"block": block, "shard": s, "size": len(text), "bytes": _zip(text), "sizes": _zip(size[a:b].astype(np.uint32)), "counts": _zip(count[a:b]), "words": b - a})
+    return _typed(PACKED, rows).to_batches()[0]
+
+
+def _runs(row: dict, shards: int, bits: int) -> pa.RecordBatch:
+    ids = learning.unpack(row["ids"])
+    tok = Tokens(_unzip(row["texts"], np.uint8, row["size"]), ids["offsets"])
+    learned = ~ids["held"][tok.row]
+    parts = [{"block": row["block"], "shard": s} for s in range(shards)]
     for name, keys in zip(("two", "three"), tok.runs(bits), strict=True):
-        runs, of = np.unique(keys, return_inverse=True)
-        n = np.bincount(of[learned], minlength=len(runs))
+        both = np.sort(keys * np.uint64(2) + learned)  # keys have 63 bits at most
+        keys = both >> np.uint64(1)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        runs, n = keys[at], np.add.reduceat(both & np.uint64(1), at)
         cut = _shard_cuts(runs, bits, shards)
         for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
             parts[s] |= {f"{name}s": _zip_keys(runs[a:b]), f"{name}_counts": _zip_numbers(n[a:b]), f"n_{name}s": b - a}
-    rows = [{"block": block, "tokens": int(learned.sum()), "ends": int((~held).sum())}]
-    rows += [p for p in parts if p["words"] or p["n_twos"] or p["n_threes"]]
-    return _typed(PACKED, rows).to_batches()[0]
+    return _typed(RUNS, [p for p in parts if p["n_twos"] or p["n_threes"]]).to_batches()[0]
 
 
 class ShardWords:
@@ -333,7 +342,7 @@ class ShardWords:
             texts.append(_unzip(r["bytes"], np.uint8, r["size"]))
             sizes.append(_unzip(r["sizes"], np.uint32, r["words"]))
             counts.append(_unzip(r["counts"], np.uint32, r["words"]))
-        self.data = np.concatenate([*texts, np.zeros(0, np.uint8)])
+        self.data = np.concatenate(texts)
         self.end = np.cumsum(np.concatenate(sizes).astype(np.int64))
         self.start = self.end - np.concatenate(sizes)
         self.uniq, first, self.which = np.unique(tk.span_hashes(self.data, self.start, self.end), return_index=True, return_inverse=True)
@@ -378,17 +387,21 @@ def _merged(parts: DataFrame, orders: int) -> dict[str, np.ndarray]:
     return {"counts": counts, "weights": np.where(seen > 0, other["w"] / np.maximum(seen, 1), blank.weights), "refine": other["refine"]}
 
 
-def _run_totals(t: pa.Table, name: str) -> list[bytes]:
-    """For each row of a shard, the whole corpus's training counts of its runs."""
-    n = t.column(f"n_{name}s").to_pylist()
-    keys = np.concatenate([_unzip_keys(x, m) for x, m in zip(t.column(f"{name}s").to_pylist(), n, strict=True)])
-    uniq, which = np.unique(keys, return_inverse=True)
-    here = np.concatenate([_unzip_numbers(x, m) for x, m in zip(t.column(f"{name}_counts").to_pylist(), n, strict=True)])
-    total = np.bincount(which, here, minlength=len(uniq)).astype(np.uint64)[which]
-    return [_zip_numbers(x) for x in np.split(total, np.cumsum(n)[:-1])]
+def _run_totals(t: pa.Table) -> pa.Table:
+    """A shard's rows of RUNS with the whole corpus's training counts and without keys."""
+    rows = [{k: r[k] for k in ("block", "shard", "n_twos", "n_threes")} for r in t.select(["block", "shard", "n_twos", "n_threes"]).to_pylist()]
+    for name in ("two", "three"):
+        n = t.column(f"n_{name}s").to_pylist()
+        keys = np.concatenate([_unzip_keys(x, m) for x, m in zip(t.column(f"{name}s").to_pylist(), n, strict=True)])
+        uniq, which = np.unique(keys, return_inverse=True)
+        here = np.concatenate([_unzip_numbers(x, m) for x, m in zip(t.column(f"{name}_counts").to_pylist(), n, strict=True)])
+        total = np.bincount(which, here, minlength=len(uniq)).astype(np.uint64)[which]
+        for r, x in zip(rows, np.split(total, np.cumsum(n)[:-1]), strict=True):
+            r[f"{name}_counts"] = _zip_numbers(x)
+    return _typed(RUNS, rows)
 
 
-COUNTED = "block long, shard int, counts binary, spelled binary, words long, twos binary, n_twos long, threes binary, n_threes long, distinct long, once long, hashes binary"
+COUNTED = "block long, shard int, counts binary, spelled binary, words long, distinct long, once long, hashes binary"
 
 
 def _counted(t: pa.Table, least: float, spelling: Spelling) -> pa.Table:
@@ -396,11 +409,10 @@ def _counted(t: pa.Table, least: float, spelling: Spelling) -> pa.Table:
     w = ShardWords(t)
     shard = t.column("shard")[0].as_py()
     spelled = spelling.logs(w.data, w.start[w.first], w.end[w.first]).astype(np.float32)
-    twos, threes = _run_totals(t, "two"), _run_totals(t, "three")
     rows = []
-    for k, r in enumerate(t.select(["block", "n_twos", "n_threes"]).to_pylist()):
-        at = w.which[w.cut[k] : w.cut[k + 1]]
-        rows.append(r | {"shard": shard, "counts": _zip(w.total[at]), "spelled": _zip(spelled[at]), "words": len(at), "twos": twos[k], "threes": threes[k]})
+    for b, x, y in zip(t.column("block").to_pylist(), w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True):
+        at = w.which[x:y]
+        rows.append({"block": b, "shard": shard, "counts": _zip(w.total[at]), "spelled": _zip(spelled[at]), "words": y - x})
     often = w.total >= max(least, 1)
     rows.append({"block": -1, "shard": shard, "counts": w.total[often].tobytes(), "words": int(often.sum()), "distinct": int((w.total > 0).sum()), "once": int((w.total == 1).sum()), "hashes": w.uniq[often].tobytes()})
     return _typed(COUNTED, rows)
@@ -419,7 +431,7 @@ def _learn_block(model: Words, row: dict, step: int) -> int:
     while k < len(symbol):
         z = slice(k, k + step)
         model.mixer.refresh()
-        slots, bit, _ = model.bits(symbol[z], tok.one[z], tok.two[z])
+        slots, bit, _ = model.bits(symbol[z], tok.one[z])
         model.mixer.learn(slots, bit)
         k, step = k + step, min(2 * step, CHUNK)
     return step
@@ -428,27 +440,39 @@ def _learn_block(model: Words, row: dict, step: int) -> int:
 def _gated(log_p: np.ndarray, shares: list[np.ndarray], cells: list[np.ndarray], learned: np.ndarray) -> np.ndarray:
     """Natural logs of a probability with, in turn, each order's shares let in by a gate for each cell.
 
-    Cell 0 has no counts: its gate is shut. Gates are fitted to the learned tokens, from a prior of 1 in 10 tokens.
+    Cell 0 has no counts: its gate is shut. Gates are fitted to the learned tokens, first chunk by chunk, then to what
+    all chunks together ask for, from a prior of 1 in 10 tokens.
     """
-    gates = [np.full(1 + 4 * LEVELS, 0.3) for _ in shares]
-    p0, q, at = np.exp(log_p[learned]), [x[learned] for x in shares], [c[learned] for c in cells]
-    for _ in range(FITS):
-        low = [p0]
-        for g, x, c in zip(gates, q, at, strict=True):
-            g[0] = 0
-            low.append(low[-1] + g[c] * (x - low[-1]))
-        left = np.ones(len(p0))  # the chance that no higher order spoke
-        for k in reversed(range(len(gates))):
-            spoke = left * gates[k][at[k]] * q[k] / np.maximum(low[k + 1], 1e-300)
-            m = len(gates[k])
-            gates[k] = (np.bincount(at[k], spoke, minlength=m) + 1) / (np.bincount(at[k], left, minlength=m) + 10)
-            left = left - spoke
-    rest, given = np.ones(len(log_p)), np.zeros(len(log_p))
-    for g, x, c in zip(gates, shares, cells, strict=True):
-        g[0] = 0
-        rest, given = rest * (1 - g[c]), given * (1 - g[c]) + g[c] * x
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(log_p + np.log(rest), np.log(given))
+    m, orders = 1 + 4 * LEVELS, range(len(shares))
+    gates, p0 = [np.full(m, 0.1) for _ in orders], np.exp(log_p)
+    for turn in range(FITS):
+        spoken, asked = np.ones((len(gates), m)), np.full((len(gates), m), 10.0)
+        for i in range(0, len(log_p), CHUNK):
+            keep = i + np.flatnonzero(learned[i : i + CHUNK])
+            at, q, low, opened = [c[keep].astype(np.intp) for c in cells], [x[keep] for x in shares], [p0[keep]], []
+            for k in orders:
+                opened.append(np.where(at[k] > 0, gates[k][at[k]], 0))
+                low.append(low[k] + opened[k] * (q[k] - low[k]))
+            left = np.ones(len(keep))  # the chance that no higher order spoke
+            for k in reversed(orders):
+                spoke = left * opened[k] * q[k] / np.maximum(low[k + 1], 1e-300)
+                spoken[k] += np.bincount(at[k], spoke, minlength=m)
+                asked[k] += np.bincount(at[k], left, minlength=m)
+                left -= spoke
+            if not turn:
+                gates = list(spoken / asked)
+        gates = list(spoken / asked)
+    out = np.empty(len(log_p))
+    for i in range(0, len(log_p), CHUNK):
+        z = slice(i, i + CHUNK)
+        rest, given = 1.0, 0.0
+        for g, x, c in zip(gates, shares, cells, strict=True):
+            opened = np.where(c[z] > 0, g[c[z]], 0)
+            rest, given = rest * (1 - opened), given * (1 - opened) + opened * x[z]
+        p = rest * p0[z] + given
+        # no float holds the probability of a long spelling
+        out[z] = np.where(p > 1e-200, np.log(np.maximum(p, 1e-200)), log_p[z] + np.log(rest))
+    return out
 
 
 def _with_runs(tok: Tokens, log_p: np.ndarray, c: np.ndarray, twos: np.ndarray, threes: np.ndarray, ends: int, learned: np.ndarray) -> np.ndarray:
@@ -456,15 +480,24 @@ def _with_runs(tok: Tokens, log_p: np.ndarray, c: np.ndarray, twos: np.ndarray,
     run of two and of the run of three that it ends."""
     if not len(c):
         return log_p
-    own, first = learned.astype(float), np.zeros(len(c), bool)
+    first = np.zeros(len(c), bool)
     first[np.cumsum(tok.n) - tok.n] = True
-    before = [np.where(first, ends, np.roll(c, 1)) - own, np.where(first, 0, np.roll(twos, 1) - own)]
-    seen = [twos - own, threes - own]
-    shares = [np.where(b > 0, np.clip(x / np.maximum(b, 1), 0, 1), 0) for x, b in zip(seen, before, strict=True)]
-    hit = (seen[1] > 0).astype(np.int64)
-    last = np.where(first, 0, np.roll(hit, 1))
-    recent = 2 * last + np.where(first, 0, np.roll(last, 1))
-    cells = [np.where(b > 0, 1 + 4 * np.minimum(LEVELS - 1, np.log2(np.maximum(b, 1)).astype(np.int64)) + recent, 0) for b in before]
+    last = np.zeros(len(c), bool)  # whether the token before ended a known run of three
+    last[1:] = (threes > learned)[:-1] & ~first[1:]
+    recent = last * np.uint8(2)
+    recent[1:] += last[:-1] & ~first[1:]
+    shares, cells = [], []
+    for seen, context, begin in ((twos, c, ends), (threes, twos, 0)):
+        share, cell = np.zeros(len(c), np.float32), np.zeros(len(c), np.uint8)
+        for i in range(0, len(c), CHUNK):
+            z = slice(i, min(i + CHUNK, len(c)))
+            before = np.where(first[z], begin, context[np.arange(z.start - 1, z.stop - 1)]) - learned[z]  # below 1: no counts
+            known = np.maximum(before, 1)
+            share[z] = np.where(before > 0, np.clip((seen[z] - learned[z]) / known, 0, 1), 0)
+            level = np.minimum(LEVELS - 1, np.log2(known).astype(np.uint8))
+            cell[z] = np.where(before > 0, 1 + 4 * level + recent[z], 0)
+        shares.append(share)
+        cells.append(cell)
     return _gated(log_p, shares, cells, learned)
 
 
@@ -486,12 +519,12 @@ def _score_block(model: Words, row: dict, counts: np.ndarray, spelled: np.ndarra
     score[~tok.is_end] = np.where(symbols == ESCAPE, escaped, 0)[which]
     for k in range(0, len(symbol), CHUNK):
         z = slice(k, k + CHUNK)
-        slots, bit, of = model.bits(symbol[z], tok.one[z], tok.two[z])
+        slots, bit, of = model.bits(symbol[z], tok.one[z])
         score[z] += np.bincount(of, model.mixer.logs(slots, bit), minlength=len(symbol[z]))
     c = np.full(len(symbol), float(ends))
     c[~tok.is_end] = counts[which]
     m = len(offsets) - 1
-    runs = [total[np.unique(keys, return_inverse=True)[1]].astype(float) for total, keys in zip((twos, threes), tok.runs(bits), strict=True)]
+    runs = [total[np.unique(keys, return_inverse=True)[1]].astype(np.int64) for total, keys in zip((twos, threes), tok.runs(bits), strict=True)]
     score = _with_runs(tok, score * math.log(10), c, *runs, ends, ~ids["held"][tok.row]) / math.log(10)
     spelling = np.zeros(len(symbol))
     spelling[~tok.is_end] = np.where(counts == 0, spelled, 0)[which]
@@ -521,7 +554,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     src = common.plain(docs, doc_id=doc_id, text=text, held=held).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("held", F.lit(False)).alias("held"))
     _, size = common.input_bytes(src)
     shards = int(1 + size // SHARD_BYTES)
-    bits = min(64, max(40, size.bit_length() + SPARE_BITS))
+    bits = min(63, max(32, size.bit_length() + SPARE_BITS))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(common.gathered(batches, BLOCK_BYTES)):
@@ -530,7 +563,12 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield _packed(b.slice(k, 1).to_pylist()[0], shards, bits)
+                yield _packed(b.slice(k, 1).to_pylist()[0], shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield _runs(b.slice(k, 1).to_pylist()[0], shards, bits)
 
     texts = common.stored(src.mapInArrow(common.trimmed(block), BLOCKS), "blocks")
     parts: list[str] = []  # discarded once they are counted
@@ -549,7 +587,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
         model.learn(w.data, w.start[at], w.end[at])
         return _parts_table(_parts(model.mixer))
 
-    spelling = spark.sparkContext.broadcast(_merged(words.select("shard", "bytes", "sizes", "counts", "words", "size").groupBy("shard").applyInArrow(spell, PARTS), BYTE_ORDERS))
+    spelling = spark.sparkContext.broadcast(_merged(words.drop("block").groupBy("shard").applyInArrow(spell, PARTS), BYTE_ORDERS))
     kept: dict[str, object] = {}
     least = n / (1 << COMMON)
 
@@ -560,6 +598,7 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
 
     counted = common.stored(words.groupBy("shard").applyInArrow(count, COUNTED), "counts")
     common.discard(spark, parts)
+    totals = common.stored(texts.mapInArrow(common.trimmed(run), RUNS).groupBy("shard").applyInArrow(_run_totals, RUNS), "runs")
     # at most 2**COMMON words are that common, which bounds what the driver gets
     tops = counted.where("block = -1").select("distinct", "once", "hashes", "counts").collect()
     hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in tops] or [np.zeros(0, np.uint64)])
@@ -586,10 +625,11 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
         if "words" not in known:
             known["words"] = Words(*given.value, learned.value)
         rows = sorted(right.to_pylist(), key=lambda r: r["shard"])
-        counts = np.concatenate([_unzip(r["counts"], np.int64, r["words"]) for r in rows] or [np.zeros(0, np.int64)])
-        spelled = np.concatenate([_unzip(r["spelled"], np.float32, r["words"]) for r in rows] or [np.zeros(0, np.float32)])
-        runs = [np.concatenate([_unzip_numbers(r[k], r[f"n_{k}"]) for r in rows] or [np.zeros(0, np.uint64)]) for k in ("twos", "threes")]
+        mine = [r for r in rows if r["words"] is not None]
+        counts = np.concatenate([_unzip(r["counts"], np.int64, r["words"]) for r in mine] or [np.zeros(0, np.int64)])
+        spelled = np.concatenate([_unzip(r["spelled"], np.float32, r["words"]) for r in mine] or [np.zeros(0, np.float32)])
+        runs = [np.concatenate([_unzip_numbers(r[f"{k}_counts"], r[f"n_{k}s"]) for r in rows if r["words"] is None] or [np.zeros(0, np.uint64)]) for k in ("two", "three")]
         return pa.Table.from_batches([_score_block(known["words"], r, counts, spelled, *runs, bits, n, v, ends, rare, new) for r in left.to_pylist()])
 
-    back = counted.where("block >= 0").drop("distinct", "once", "hashes")
+    back = counted.where("block >= 0").select("block", "shard", "counts", "spelled", "words").unionByName(totals.drop("twos", "threes"), allowMissingColumns=True)
     return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, SCORED)

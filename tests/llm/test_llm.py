@@ -558,13 +558,12 @@ def test_runs_are_counted_over_all_blocks():
                 counts[0][tuple(t[j - 1 : j + 1])] += 1
                 counts[1][tuple(t[j - 2 : j + 1])] += 1
     shards = 3
-    packed = pa.Table.from_batches([context_mixing._packed(b, shards, 48) for b in blocks]).to_pylist()
+    packed = pa.Table.from_batches([context_mixing._runs(b, shards, 48) for b in blocks]).to_pylist()
     back: dict = {}
     for s in range(shards):
-        mine = [r for r in packed if r["shard"] == s]
-        for name in ("two", "three"):
-            for r, raw in zip(mine, context_mixing._run_totals(pa.Table.from_pylist(mine), name), strict=True):
-                back.setdefault((r["block"], name), []).append(context_mixing._unzip_numbers(raw, r[f"n_{name}s"]))
+        for r in context_mixing._run_totals(pa.Table.from_pylist([r for r in packed if r["shard"] == s])).to_pylist():
+            for name in ("two", "three"):
+                back.setdefault((r["block"], name), []).append(context_mixing._unzip_numbers(r[f"{name}_counts"], r[f"n_{name}s"]))
     for b, first in zip(blocks, range(0, 60, 15), strict=True):
         ids = context_mixing.learning.unpack(b["ids"])
         tok = context_mixing.Tokens(context_mixing._unzip(b["texts"], np.uint8, b["size"]), ids["offsets"])
