@@ -19,8 +19,8 @@ what the rest of the corpus has: a text that occurs once gains nothing from itse
 
 Words are known by 64-bit hashes, runs by as many bits as keep a false match under about one in a thousand.
 
-Defined results: a null text is empty and has its end alone; equal rows are scored alike; null ids count as training
-texts. Without training texts all counts are 0.
+Defined results: a null text is empty and has its end alone; equal rows of a block are scored alike, those of different
+blocks by their own block's gates; null ids count as training texts. Without training texts all counts are 0.
 """
 
 from __future__ import annotations
