@@ -246,10 +246,11 @@ def pack(t: pa.Table, length: int, kind: type, keep_ids: bool) -> pa.Table:
     return pa.Table.from_batches([common.rows(SCHEMA, doc_id=names, start=a - begin[of], length=z - a, ids_crc32=[zlib.crc32(p) for p in pieces], doc_tokens=size[of], sequence_id=seq + high, offset=a - opened, ids=pieces if keep_ids else [None] * len(pieces))])
 
 
-def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int = LENGTH, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int = LENGTH, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The pieces of all texts (columns of SCHEMA; ids: little-endian 32-bit, if kept).
 
-    spec: a tokenizer's JSON, one that splits at white space and drops it.
+    spec: a tokenizer's JSON, one that splits at white space and drops it. block: bytes of text that a worker tokenizes
+    at once; more take less time and more memory, and the pieces are the same.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -261,10 +262,10 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(shared.value)
-        for t in common.gathered(batches, BLOCK):
+        for t in common.gathered(batches, block):
             b = t.to_batches()[0]
             data, offsets = common.utf8(b.column(1))
-            for i, j in common.cuts(offsets, BLOCK):
+            for i, j in common.cuts(offsets, block):
                 ids, offs, breaks = token_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words, end_id)
                 flat = ids.astype(kind)
                 first = np.searchsorted(breaks, offs, "right")  # a break at a row's start is none
