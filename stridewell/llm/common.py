@@ -57,10 +57,10 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(FEWEST, -(-rows // FILE_ROWS)))
 
 
-def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int | None = None, sweep: bool = False) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, is computed once.
 
-    Shuffle files of its making go with the write, as nothing reads them again.
+    sweep: shuffle files of its making go with the write, as nothing reads them again.
     held: gets the table's path, for discard(). rows: that df has at most, or about; few rows are not written as many
     small files, each of which costs more than its rows.
     """
@@ -68,7 +68,7 @@ def stored(df: DataFrame, what: str, held: list[str] | None = None, rows: int |
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     few = df if rows is None else compact(df, rows)
     before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(CLEANUP, "true" if sweep else before)
     try:
         few.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # the return of write says so
     finally:

@@ -570,9 +570,9 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
             for k in range(b.num_rows):
                 yield _runs(b.slice(k, 1).to_pylist()[0], shards, bits)
 
-    texts = common.stored(src.mapInArrow(common.trimmed(block), BLOCKS), "blocks")
+    texts = common.stored(src.mapInArrow(common.trimmed(block), BLOCKS), "blocks", sweep=True)
     parts: list[str] = []  # discarded once they are counted
-    packed = common.stored(texts.mapInArrow(common.trimmed(pack), PACKED), "parts", parts)
+    packed = common.stored(texts.mapInArrow(common.trimmed(pack), PACKED), "parts", parts, sweep=True)
     words = packed.where("shard is not null").drop("tokens", "ends")
     sums = packed.where("shard is null").agg(F.sum("tokens").alias("n"), F.sum("ends").alias("e")).first()
     n, ends = int(sums["n"] or 0), int(sums["e"] or 0)
@@ -596,9 +596,9 @@ def mixing_scores(docs: DataFrame, held: str = "held", doc_id: str = "doc_id", t
             kept["spelling"] = Spelling(byte_code, spelling.value)
         return _counted(t, least, kept["spelling"])
 
-    counted = common.stored(words.groupBy("shard").applyInArrow(count, COUNTED), "counts")
+    counted = common.stored(words.groupBy("shard").applyInArrow(count, COUNTED), "counts", sweep=True)
     common.discard(spark, parts)
-    totals = common.stored(texts.mapInArrow(common.trimmed(run), RUNS).groupBy("shard").applyInArrow(_run_totals, RUNS), "runs")
+    totals = common.stored(texts.mapInArrow(common.trimmed(run), RUNS).groupBy("shard").applyInArrow(_run_totals, RUNS), "runs", sweep=True)
     # at most 2**COMMON words are that common, which bounds what the driver gets
     tops = counted.where("block = -1").select("distinct", "once", "hashes", "counts").collect()
     hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in tops] or [np.zeros(0, np.uint64)])
