@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def average_rank(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
     """df with ranks from 0; equal values share the mean of theirs.
 
-    Values are counted first, so the window runs over different values, not over rows.
+    Equal values are counted first; different ones are dealt by ranges, whose counts are summed over the ranges before.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(name, F.sum("_c").over(w) - F.col("_c") + (F.col("_c") - 1) / 2)
-    keys = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, value)]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    return df.alias("d").join(ranks.alias("r"), cond).select("d.*", f"r.{name}")
+    ranks = ranges.running_sum(counts, "_c", [value], "_start", inclusive=False, by=by).withColumn(name, F.col("_start") + (F.col("_c") - 1) / 2)
+    return df.alias("d").join(ranks.alias("r"), ranges.same("d", "r", [*by, value])).select("d.*", f"r.{name}")
 
 
 def fit(df: DataFrame, pred: str, target: str, by: list[str]) -> DataFrame:
@@ -55,10 +52,7 @@ def episode_errors(df: DataFrame, episode: str, step: str, pred: str, target: st
 
 def distribution(df: DataFrame, value: str, by: list[str], points: dict[str, float]) -> DataFrame:
     """by: n, min, max, mean, std (population) and exact quantiles, by linear interpolation."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        *[F.percentile(value, F.lit(p)).alias(k) for k, p in points.items()],
-    )
+    return ranges.quantiles(df.select(*by, value), by, value, points, F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from . import ranges
+
 
 def resolve_success(frames: DataFrame, episodes: DataFrame, episode: str, columns: list[str], step: str = "step") -> DataFrame:
     """episode, success: the first frame's flag from the first column that has one, else the episode table's, else true."""
@@ -34,7 +37,10 @@ def return_to_go(df: DataFrame, episode: str, success: str, penalty: float, gamm
 def horizons(episodes: DataFrame, task: str | None, length: str = "length") -> DataFrame:
     """episodes with a horizon: max(1, length - 1), of the episode or the longest of its task."""
     own = F.greatest(F.lit(1), F.col(length) - 1)
-    return episodes.withColumn("horizon", (own if task is None else F.max(own).over(Window.partitionBy(task))).cast("double"))
+    if task is None:
+        return episodes.withColumn("horizon", own.cast("double"))
+    longest = episodes.groupBy(task).agg(F.max(own).cast("double").alias("horizon"))
+    return episodes.alias("d").join(longest.alias("h"), ranges.same("d", "h", [task])).select("d.*", "h.horizon")
 
 
 def normalised(value: Column, horizon: Column, penalty: float = 0.0) -> Column:
@@ -100,12 +106,22 @@ def n_step(df: DataFrame, keys: list[str], n: int, gamma: float, scale: float =
 
 def top_fraction(df: DataFrame, task: str, advantage: str, position: str, fraction: float, threshold: float = 0.0, least: int = 1) -> DataFrame:
     """df with label 1 for the best candidates (advantage over the threshold) of a task: ceil(fraction * candidates) of
-    them, at least `least`, at most all; ties go to the smaller position."""
-    candidate = F.col(advantage) > F.lit(threshold)
-    count = F.sum(candidate.cast("long")).over(Window.partitionBy(task))
-    k = F.least(count, F.greatest(F.lit(least), F.ceil(F.lit(fraction) * count)))
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(F.when(candidate, F.col(advantage)).desc_nulls_last(), position))
-    return df.withColumn("label", (F.coalesce(candidate, F.lit(False)) & (rank <= k)).cast("long"))
+    them, at least `least`, at most all; ties go to the smaller position.
+
+    The last advantage that gets a label is an order statistic, found by counting; only rows that have just this one are
+    ranked, by ranges of the position. So a task's rows are never together.
+    """
+    best = df.where(F.col(advantage) > F.lit(threshold)).select(task, advantage)
+    k = F.least(F.col("n"), F.greatest(F.lit(least), F.ceil(F.lit(fraction) * F.col("n"))))
+    groups, found = ranges.order_statistics(best, [task], advantage, [(max(0.0, 1.0 - fraction), [F.col("n") - k])])
+    cut = found.where("x is not null").alias("f").join(groups.alias("g"), ranges.same("f", "g", [task])).select(f"f.{task}", F.col("x").alias("_cut"), k.alias("_k"))
+    above = best.alias("d").join(cut.alias("c"), ranges.same("d", "c", [task])).groupBy(f"d.{task}", "_cut", "_k").agg(F.count_if(F.col(advantage) > F.col("_cut")).alias("_above"))
+    cut = stored(above.select(task, "_cut", (F.col("_k") - F.col("_above")).alias("_left")), "cuts")  # a row for each task
+    rows = df.alias("d").join(cut.alias("c"), ranges.same("d", "c", [task]), "left").select("d.*", "_cut", "_left")
+    tie = F.coalesce(F.col(advantage) == F.col("_cut"), F.lit(False))
+    clear = rows.where(~tie).withColumn("label", F.coalesce(F.col(advantage) > F.col("_cut"), F.lit(False)).cast("long"))
+    ties = ranges.numbered(rows.where(tie), [position], "_r", [task])
+    return clear.drop("_cut", "_left").union(ties.withColumn("label", (F.col("_r") < F.col("_left")).cast("long")).drop("_cut", "_left", "_r"))
 
 
 def label_summary(df: DataFrame, task: str, advantage: str) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import running_sum
+from .ranges import numbered, running_sum
 
 
 def order_key(keys: list[str], seed: int) -> Column:
-    """A pseudo-random order of rows by hash, the same at every run."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """A pseudo-random order of rows, the same at every run and in any engine: the first 60 bits of the md5 of seed and keys."""
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """df with 0, 1, ... in a total order over the whole table, without one task for all rows."""
-    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), "_one", order, name, inclusive=False).drop("_one")
+    return numbered(df, order, name)
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
@@ -37,6 +38,15 @@ def sample(df: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
     return df.withColumn("_key", order_key(keys, seed)).orderBy("_key", *keys).limit(n).drop("_key")
 
 
+def reservoir(df: DataFrame, by: list[str], keys: list[str], seed: int, n: int) -> DataFrame:
+    """n rows of each group without replacement (all of a smaller one): those of the smallest keys.
+
+    Spark keeps n rows a group in each task before the shuffle, so that samples of parts are merged, not groups sorted.
+    """
+    w = Window.partitionBy(*by).orderBy("_key", *keys)
+    return df.withColumn("_key", order_key(keys, seed)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_key", "_r")
+
+
 def sample_share(df: DataFrame, keys: list[str], seed: int, share: float) -> DataFrame:
     """int(rows * share) rows."""
     return sample(df, keys, seed, int(df.count() * share))
@@ -44,18 +54,14 @@ def sample_share(df: DataFrame, keys: list[str], seed: int, share: float) -> Dat
 
 def weighted_sample(df: DataFrame, keys: list[str], weight: Column, seed: int, n: int) -> DataFrame:
     """n rows without replacement, drawn in proportion to weights (1e-8 at least): the smallest -ln(u) / w."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    u = (order_key(keys, seed) % (1 << 40) + 1) / F.lit(float((1 << 40) + 1))
     return df.withColumn("_key", -F.log(u) / F.greatest(weight, F.lit(1e-8))).orderBy("_key", *keys).limit(n).drop("_key")
 
 
 def greedy(df: DataFrame, length: str, order: list[str], target: float, by: list[str] | None = None) -> DataFrame:
     """Rows in order until their lengths reach the target; the row that crosses it stays unless leaving it out comes
     strictly nearer and another row stays."""
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        summed = df.withColumn("_cum", F.sum(length).over(w))
-    else:
-        summed = running_sum(df, length, order, "_cum")
+    summed = running_sum(df, length, order, "_cum", by=by)
     before = F.col("_cum") - F.col(length)
     keep = (F.col("_cum") < target) | (before == 0) | ((before < target) & (F.abs(before - target) >= F.abs(F.col("_cum") - target)))
     return summed.where(keep & F.lit(target > 0)).drop("_cum")
@@ -70,7 +76,7 @@ def cycled(df: DataFrame, keys: list[str], length: str, seed: int, target: float
     if not total or target <= 0:
         return df.limit(0).withColumn("cycle", F.lit(0).cast("long"))
     cycles = int(target // total) + 1
-    again = df.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cycles - 1).cast("long")))).withColumn("_key", F.xxhash64(F.lit(seed), F.col("cycle"), *[F.col(k) for k in keys]))
+    again = df.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cycles - 1).cast("long")))).withColumn("_key", order_key(["cycle", *keys], seed))
     return greedy(again, length, ["cycle", "_key", *keys], target).drop("_key")
 
 

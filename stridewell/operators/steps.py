@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from . import ranges
 
 
 def number_steps(df: DataFrame, episode: str, order: list[str], step: str = "step") -> DataFrame:
@@ -88,31 +88,16 @@ def tiles(df: DataFrame, horizon: int, step: str = "step") -> DataFrame:
 
 
 def moving_average(df: DataFrame, value: str, order: list[str], by: list[str], size: int = 100) -> DataFrame:
-    """df with the mean of the last `size` values; rows that have fewer are left out, and groups of no more than size."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    out = df.withColumn("smooth", F.avg(value).over(w.rowsBetween(1 - size, 0))).withColumn("_n", F.row_number().over(w)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return out.where((F.col("_n") >= size) & (F.col("_all") > size)).drop("_n", "_all")
-
-
-def start_index(df: DataFrame, length: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """df with the sum of the lengths before each row. Without `by`, in two steps, so that no task holds all rows."""
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn("start", (F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length)).cast("long"))
-    return running_sum(df, length, order, "start", inclusive=False)
+    """df with the mean of the last `size` values; rows that have fewer are left out, and groups of no more than size.
 
+    The order must be total. A group is cut into segments, so that it is not one task's work.
+    """
+    out = ranges.moving(df, by, order, size, {"smooth": F.avg(value)})
+    full = out.where(F.col("_n") >= size - 1).drop("_n")
+    long = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")).where(F.col("_all") > size)
+    return full.alias("d").join(long.alias("g"), ranges.same("d", "g", by), "left_semi")
 
-def running_sum(df: DataFrame, value: str, order: list[str], name: str, inclusive: bool = True) -> DataFrame:
-    """df with running sums over the whole table: within ranges of the order, then over the ranges' totals.
 
-    The order must be total. Ranges are as many as shuffle partitions; their totals are a small table. The ranges are
-    stored, since Spark samples their bounds anew each time it computes them.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = stored(ranged.withColumn("_sum", F.sum(value).over(inner)), "ranges")
-    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = ranged.join(F.broadcast(before.select("_part", "_before")), "_part")  # a row for each partition
-    total = F.col("_sum") + F.col("_before")
-    return joined.withColumn(name, total if inclusive else total - F.col(value)).drop("_part", "_sum", "_before")
+def start_index(df: DataFrame, length: str, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """df with the sum of the lengths before each row (of its group), by ranges, so that no task holds a whole group."""
+    return ranges.running_sum(df, length, order, "start", inclusive=False, by=by).withColumn("start", F.col("start").cast("long"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def part(vector: Column, start: int, end: int) -> Column:
     """Elements start .. end - 1."""
@@ -202,10 +204,7 @@ def statistics(long: DataFrame, by: list[str], std: str = "population") -> DataF
         spread = F.when(F.count("x") <= 1, F.lit(1.0)).otherwise(F.sqrt(F.greatest(F.var_samp("x"), F.lit(1e-8))))
     else:
         raise ValueError(f"unknown std: {std}")
-    return long.groupBy(*by).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), spread.alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.percentile("x", F.lit(0.01)).alias("q01"), F.percentile("x", F.lit(0.99)).alias("q99"),
-    )
+    return ranges.quantiles(long.select(*by, "x"), by, "x", {"q01": 0.01, "q99": 0.99}, F.avg("x").alias("mean"), spread.alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
 def partials(long: DataFrame, by: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import steps
@@ -49,8 +49,10 @@ def episodes(ev: DataFrame) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = frames(spark, sf_dir)
-    return ev.join(episodes(ev), "episode")
+    """Frames with length, task and success of their episode, over the windows that number them."""
+    whole = Window.partitionBy("episode")
+    df = frames(spark, sf_dir).withColumns({"length": F.count(F.lit(1)).over(whole), "task": F.max_by("event_type", "step").over(whole)})
+    return df.withColumn("success", F.col("task") != "error")
 
 
 EV = """ev AS (SELECT user_id AS episode, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_id, event_type, value, epoch_us(ts) AS us, props FROM events),

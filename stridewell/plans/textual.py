@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import returns, sampling
+from ..operators import collate, sampling, views
 from ..sources import readers
-from .base import query, r6, table
+from .base import query, table
 
 #: Other names of the same parts.
 SYNONYMS = {"left_gripper": "left_hand", "right_gripper": "right_hand", "left_pose": "left_arm", "right_pose": "right_arm"}
@@ -108,11 +107,11 @@ def _(spark, sf):
     return tx.from_first_user(c, "conv_id", "turn", "role").select("conv_id", "turn", "role")
 
 
-@query("t13_label_mask", r"WITH w AS (SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM conversations) SELECT conv_id, turn, CAST(CASE WHEN role = 'assistant' THEN greatest(0, n - 3) ELSE 0 END AS BIGINT) AS learned FROM w")
+@query("t13_label_mask", r"WITH w AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_transform(w, lambda x, i: CASE WHEN role = 'assistant' AND i > 3 THEN length(x) ELSE -100 END), ',') AS labels FROM w")
 def _(spark, sf):
-    ids = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), lambda w, i: i)
-    labels = tx.label_mask(F.col("role"), ids)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.filter(labels, lambda x: x != -100)).cast("long").alias("learned"))
+    """Labels by value; a word's length stands for its token."""
+    ids = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.length(w))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(tx.label_mask(F.col("role"), ids), ",").alias("labels"))
 
 
 @query("t14_paths", "SELECT o_orderkey, format('chunk-{:03d}/episode_{:06d}.parquet', o_orderkey // 1000, o_orderkey) AS path FROM orders")
@@ -128,28 +127,6 @@ def _(spark, sf):
     return tx.longest_prefix(runs, "name", keys, "key").select("p_partkey", "name", "key")
 
 
-@query("s3_blank_lines", "SELECT n_nationkey AS task_index, n_name AS task FROM nation WHERE n_nationkey % 4 <> 0")
-def _(spark, sf):
-    line = F.when(F.col("n_nationkey") % 4 != 0, F.to_json(F.struct(F.col("n_nationkey").alias("task_index"), F.col("n_name").alias("task")))).otherwise(F.lit("  "))
-    lines = table(spark, sf, "nation").select(line.alias("l")).where(F.trim("l") != "")
-    return lines.select(F.from_json("l", "task_index int, task string").alias("r")).select("r.*")
-
-
-@query("s7_dataset_discovery", "SELECT 'set' || (s_nationkey % 5) AS name, CAST(1.0 AS DOUBLE) AS weight FROM supplier WHERE s_nationkey % 5 < 3 GROUP BY 1")
-def _(spark, sf):
-    k = (F.col("s_nationkey") % 5).cast("string")
-    base = table(spark, sf, "supplier").where("s_nationkey % 5 < 3")
-    paths = base.select(F.concat(F.lit("/root/set"), k, F.lit("/data/"), F.col("s_name")).alias("p")).union(base.select(F.concat(F.lit("/root/set"), k, F.lit("/meta/info.json")))).union(spark.createDataFrame([("/root/bare/data/x",)], "p string"))
-    return readers.registry(paths, "p", "/root", True)
-
-
-@query("s10_conversation_sources", "SELECT conv_id, count(*) AS turns, 'a' AS data_path FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1 UNION ALL SELECT conv_id, count(*), 'b' FROM conversations WHERE conv_id % 2 = 1 GROUP BY 1")
-def _(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-    a = c.where("conv_id % 2 = 0").withColumn("data_path", F.lit("a"))
-    return a.unionByName(c.where("conv_id % 2 = 1").withColumn("data_path", F.lit("b")), allowMissingColumns=True)
-
-
 @query("s11_sampling_percent", r"WITH n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '%' || (s_suppkey % 90 + 10) ELSE s_name END AS n FROM supplier) SELECT s_suppkey, regexp_replace(n, '%\d+$', '') AS name, CASE WHEN regexp_extract(n, '%(\d+)$', 1) <> '' THEN CAST(regexp_extract(n, '%(\d+)$', 1) AS DOUBLE) / 100 ELSE 1.0 END AS share FROM n")
 def _(spark, sf):
     n = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.col("s_name"), F.lit("%"), (F.col("s_suppkey") % 90 + 10).cast("string"))).otherwise(F.col("s_name"))
@@ -157,56 +134,62 @@ def _(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", name.alias("name"), share.alias("share"))
 
 
-@query("s12_config_key", "SELECT substring(md5('v2|stride=3|true'), 1, 12) AS key")
-def _(spark, sf):
-    return spark.range(1).select(readers.config_key("v2", "stride=3", "true").alias("key"))
-
-
 @query("s14_registry", "SELECT DISTINCT lower(p_brand) AS name, CAST(1.0 AS DOUBLE) AS weight FROM part ORDER BY name")
 def _(spark, sf):
     paths = table(spark, sf, "part").select(F.concat(F.lit("/data/"), F.lower("p_brand"), F.lit("/data/"), F.col("p_name")).alias("p"))
     return readers.registry(paths, "p", "/data")
 
 
-@query("u5_view_synonyms", "WITH v AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'left_gripper' WHEN 1 THEN 'right_pose' WHEN 2 THEN 'left_hand' WHEN 3 THEN 'head' ELSE 'right_gripper' END AS raw, p_size AS px FROM part), m AS (SELECT p_partkey, raw, px, CASE raw WHEN 'left_gripper' THEN 'left_hand' WHEN 'right_gripper' THEN 'right_hand' WHEN 'right_pose' THEN 'right_arm' WHEN 'left_pose' THEN 'left_arm' ELSE raw END AS name FROM v) SELECT name, count(*) AS n, arg_min(p_partkey, px * 1000000 + p_partkey) AS smallest FROM m GROUP BY name")
-def _(spark, sf):
+VIEWS = """v AS (SELECT p_partkey, p_size, p_type, p_brand, CASE p_size % 5 WHEN 0 THEN 'left_gripper' WHEN 1 THEN 'right_pose' WHEN 2 THEN 'left_hand' WHEN 3 THEN 'head' ELSE 'right_gripper' END AS raw FROM part),
+m AS (SELECT p_brand AS mixture, p_type AS dataset, raw, CASE raw WHEN 'left_gripper' THEN 'left_hand' WHEN 'right_gripper' THEN 'right_hand' WHEN 'right_pose' THEN 'right_arm' WHEN 'left_pose' THEN 'left_arm' ELSE raw END AS name, min(p_size) AS px FROM v GROUP BY 1, 2, 3, 4)"""
+
+
+def _views(spark, sf):
+    """mixture, dataset, raw, px: a data set's views and their pixels."""
     k = F.col("p_size") % 5
     raw = F.when(k == 0, "left_gripper").when(k == 1, "right_pose").when(k == 2, "left_hand").when(k == 3, "head").otherwise("right_gripper")
-    names = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    v = table(spark, sf, "part").withColumn("raw", raw).withColumn("name", F.coalesce(F.try_element_at(names, F.col("raw")), F.col("raw")))
-    return v.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("smallest"))
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("mixture"), F.col("p_type").alias("dataset"), raw.alias("raw")).agg(F.min("p_size").alias("px"))
 
 
-@query("r7_pad_and_pack", r"WITH w AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM conversations), m AS (SELECT conv_id, CAST(max(n) AS BIGINT) AS longest, CAST(sum(n) AS BIGINT) AS packed, count(*) AS rows FROM w GROUP BY 1) SELECT conv_id, longest * rows AS padded, packed, longest FROM m")
+@query("u5_view_synonyms", f"WITH {VIEWS} SELECT name, count(*) AS n, count(DISTINCT dataset) AS datasets, min(px) AS smallest FROM m GROUP BY name")
 def _(spark, sf):
-    w = table(spark, sf, "conversations").withColumn("n", tx.word_count(F.col("text"))).withColumn("ids", F.transform(F.sequence(F.lit(0), F.greatest(F.col("n").cast("int") - 1, F.lit(0))), lambda i: i)).withColumn("ids", F.slice("ids", F.lit(1), F.col("n").cast("int")))
-    w = w.withColumn("longest", F.max("n").over(Window.partitionBy("conv_id")))
-    tail = F.concat("ids", F.array_repeat(F.lit(0), (F.col("longest") - F.col("n")).cast("int")))
-    return w.groupBy("conv_id").agg(F.sum(F.size(tail)).alias("padded"), F.sum(F.size("ids")).alias("packed"), F.max("longest").alias("longest"))
+    v = _views(spark, sf).withColumn("name", views.canonical(F.col("raw"), SYNONYMS))
+    return v.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dataset").alias("datasets"), F.min("px").alias("smallest"))
 
 
-@query("f12_file_health", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 5 = 1 THEN 'empty' ELSE 'ok' END AS state FROM supplier")
+@query("u5_view_choice", f"""WITH {VIEWS}, o AS (SELECT mixture, dataset, name, arg_max(px, raw) AS px FROM m GROUP BY 1, 2, 3),
+s AS (SELECT mixture, count(DISTINCT dataset) AS sets, min(dataset) AS first FROM o GROUP BY 1),
+c AS (SELECT o.mixture, o.name, count(*) = any_value(s.sets) AS common, bool_or(o.dataset = s.first) AS in_first, min(o.px) AS px, arg_min(o.dataset, (o.px, o.dataset)) AS of FROM o JOIN s USING (mixture) GROUP BY 1, 2),
+a AS (SELECT mixture, bool_or(common) AS has FROM c GROUP BY 1)
+SELECT mixture, name, px, of AS dataset, common FROM c JOIN a USING (mixture) WHERE common OR (NOT has AND in_first)""")
 def _(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).alias("m"))
-    have = s.where("m > 0").select("s_suppkey", F.when(F.col("m") == 1, 0).otherwise(10).alias("size"))
-    return s.join(have, "s_suppkey", "left").select("s_suppkey", F.when(F.col("size").isNull(), "missing").when(F.col("size") == 0, "empty").otherwise("ok").alias("state"))
+    return views.choose(_views(spark, sf), "mixture", "dataset", "raw", "px", SYNONYMS)
 
 
-@query("k2_json_lines", "SELECT n_nationkey, n_name FROM nation")
+@query("u5_available_views", f"""WITH {VIEWS} SELECT mixture, string_agg(DISTINCT name, ',' ORDER BY name) AS views FROM m GROUP BY 1""".replace("string_agg(DISTINCT name, ',' ORDER BY name)", "array_to_string(list_sort(list(DISTINCT CASE name WHEN 'head' THEN '0head' WHEN 'left_hand' THEN '1left_hand' WHEN 'right_hand' THEN '2right_hand' ELSE '3' || name END)), ',')"))
 def _(spark, sf):
-    lines = table(spark, sf, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("l"))
-    return lines.select(F.from_json("l", "n_nationkey int, n_name string").alias("r")).select("r.*")
+    v = views.available(_views(spark, sf), "mixture", "raw", SYNONYMS, ["head", "left_hand", "right_hand"])
+    return v.select("mixture", F.array_join(F.transform("views", lambda x: F.concat(F.when(x == "head", "0").when(x == "left_hand", "1").when(x == "right_hand", "2").otherwise("3"), x)), ",").alias("views"))
 
 
-@query("k4_csv_rows", "SELECT r_regionkey || ',' || r_name AS line FROM region")
-def _(spark, sf):
-    return table(spark, sf, "region").select(F.to_csv(F.struct("r_regionkey", "r_name")).alias("line"))
+R7 = r"WITH w AS (SELECT conv_id, turn, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''), lambda x: length(x)) AS ids FROM conversations)"
 
 
-@query("flagship_task_returns")
-def flagship(spark, sf):
-    """Returns to go by task and success: the whole way from events through steps, success, returns to quantiles."""
-    from .base import labelled
+def _ids(spark, sf):
+    """conv_id, turn, ids: a word's length stands for its token."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.transform(words, lambda w: F.length(w)).alias("ids"))
 
-    df = returns.return_to_go(labelled(spark, sf), "episode", "success", 10.0)
-    return df.groupBy("task", "success").agg(F.count(F.lit(1)).alias("n"), F.min("return_to_go").alias("least"), F.max("return_to_go").alias("most"), r6(F.avg("return_to_go"), "mean"), r6(F.percentile("return_to_go", F.lit(0.5)), "median"))
+
+@query("r7_pad_and_pack", R7 + ", m AS (SELECT conv_id, max(len(ids)) AS longest FROM w GROUP BY 1) SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(longest - len(ids)), lambda x: 0)), ',') AS padded, len(ids) AS length FROM w JOIN m USING (conv_id)")
+def _(spark, sf):
+    """Rows of a conversation padded at their end to its longest, by value."""
+    out = collate.pad(_ids(spark, sf), ["conv_id"], "ids", 0)
+    return out.select("conv_id", "turn", F.array_join("padded", ",").alias("padded"), F.col("length").cast("long").alias("length"))
+
+
+@query("r7_packed", R7 + ", t AS (SELECT conv_id, array_to_string(flatten(list(ids ORDER BY turn)), ',') AS packed, list(len(ids) ORDER BY turn) AS n FROM w GROUP BY 1) SELECT conv_id, packed, '0' || array_to_string(list_transform(range(1, len(n) + 1), lambda i: ',' || list_sum(n[1:i])::BIGINT), '') AS offsets FROM t")
+def _(spark, sf):
+    """Rows of a conversation end to end, with the offsets at which they begin and the last ends."""
+    out = collate.pack(_ids(spark, sf), ["conv_id"], ["turn"], "ids")
+    return out.select("conv_id", F.array_join("packed", ",").alias("packed"), F.array_join("offsets", ",").alias("offsets"))

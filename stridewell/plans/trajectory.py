@@ -547,31 +547,43 @@ def _(spark, sf):
     return frames(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value"), "mean")).orderBy(F.desc("mean"), "event_type")
 
 
+KEY = "('0x' || substring(md5('{}|' || {}), 1, 15))::BIGINT"  # the order of sampling.order_key
+
+
 @query("l5_split_sizes", "WITH n AS (SELECT count(*) AS n FROM events), c AS (SELECT n, CAST(floor(n * 0.8) AS BIGINT) AS a FROM n) SELECT 'train' AS split, a AS rows FROM c UNION ALL SELECT 'val', (n - a) // 2 FROM c UNION ALL SELECT 'test', n - a - (n - a) // 2 FROM c")
 def _(spark, sf):
     return sampling.split(frames(spark, sf), ["episode", "step"], 7, 0.8).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("l5_split_rows", f"WITH {EV}, p AS (SELECT episode, step, row_number() OVER (ORDER BY {KEY.format(7, "episode || '|' || step")}, episode, step) - 1 AS p, count(*) OVER () AS n FROM ev) SELECT episode, step, CASE WHEN p < floor(n * 0.8) THEN 'train' WHEN p < floor(n * 0.8) + (n - floor(n * 0.8)) // 2 THEN 'val' ELSE 'test' END AS split FROM p")
+def _(spark, sf):
+    return sampling.split(frames(spark, sf), ["episode", "step"], 7, 0.8).select("episode", "step", "split")
+
+
 @query("l4_shuffle_coverage", "SELECT count(*) AS rows, count(*) AS places, CAST(0 AS BIGINT) AS first_place, count(*) - 1 AS last_place FROM events")
 def _(spark, sf):
     s = sampling.shuffled(frames(spark, sf), ["episode", "step"], 3)
     return s.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("place").alias("places"), F.min("place").cast("long").alias("first_place"), F.max("place").cast("long").alias("last_place"))
 
 
-@query("l6_uniform_sample", "SELECT least(50, count(DISTINCT user_id)) AS rows, least(50, count(DISTINCT user_id)) AS trajectories FROM events")
+@query("l4_shuffled_rows", f"WITH {EV} SELECT episode, step, row_number() OVER (ORDER BY {KEY.format(3, "episode || '|' || step")}, episode, step) - 1 AS place FROM ev")
+def _(spark, sf):
+    return sampling.shuffled(frames(spark, sf), ["episode", "step"], 3).select("episode", "step", F.col("place").cast("long").alias("place"))
+
+
+@query("l6_uniform_sample", f"WITH {EV} SELECT episode, length FROM epi ORDER BY {KEY.format(5, 'episode')}, episode LIMIT 50")
 def _(spark, sf):
-    return sampling.sample(episodes(frames(spark, sf)), ["episode"], 5, 50).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("episode").alias("trajectories"))
+    return sampling.sample(episodes(frames(spark, sf)), ["episode"], 5, 50).select("episode", "length")
 
 
-@query("l7_weighted_sample", "SELECT least(30, count(*)) AS rows, least(30, count(*)) AS distinct_rows FROM supplier")
+@query("l7_weighted_sample", f"SELECT s_suppkey FROM supplier ORDER BY -ln(({KEY.format(11, 's_suppkey')} % 1099511627776 + 1) / CAST(1099511627777 AS DOUBLE)) / greatest(abs(s_acctbal), 1e-8), s_suppkey LIMIT 30")
 def _(spark, sf):
-    s = sampling.weighted_sample(table(spark, sf, "supplier"), ["s_suppkey"], F.abs("s_acctbal"), 11, 30)
-    return s.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("s_suppkey").alias("distinct_rows"))
+    return sampling.weighted_sample(table(spark, sf, "supplier"), ["s_suppkey"], F.abs("s_acctbal"), 11, 30).select("s_suppkey")
 
 
-@query("l8_share_sample", "SELECT CAST(floor(count(*) * 0.3) AS BIGINT) AS rows FROM conversations")
+@query("l8_share_sample", f"SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY {KEY.format(13, "conv_id || '|' || turn")}, conv_id, turn) AS r, count(*) OVER () AS n FROM conversations) WHERE r <= floor(n * 0.3)")
 def _(spark, sf):
-    return sampling.sample_share(table(spark, sf, "conversations"), ["conv_id", "turn"], 13, 0.3).agg(F.count(F.lit(1)).alias("rows"))
+    return sampling.sample_share(table(spark, sf, "conversations"), ["conv_id", "turn"], 13, 0.3).select("conv_id", "turn")
 
 
 MIX = f"WITH {EV}, d AS (SELECT task AS name, CAST(sum(length) AS DOUBLE) AS length, CASE WHEN task IN ('click', 'view') THEN 1.0 ELSE 0.5 END AS weight FROM epi GROUP BY task), w AS (SELECT *, greatest(weight * length, 1e-8) AS raw FROM d), s AS (SELECT name, weight, length, raw / sum(raw) OVER () AS share FROM w)"
@@ -689,7 +701,13 @@ def _(spark, sf):
     return fail.union(e.where("success")).select("episode", "length", "success")
 
 
-@query("r4_cycled_success")
+def _cycled_sql(rows: str, target: str, seed: int) -> str:
+    return f"""t AS (SELECT {target} AS target, (SELECT sum(length) FROM {rows}) AS total), y AS (SELECT episode, length, unnest(range(CAST(floor(target / total) AS BIGINT) + 1)) AS cycle, target FROM {rows}, t),
+c AS (SELECT *, sum(length) OVER (ORDER BY cycle, {KEY.format(seed, "cycle || '|' || episode")}, episode ROWS UNBOUNDED PRECEDING) AS cum FROM y),
+k AS (SELECT episode, length, cycle FROM c WHERE cum < target OR cum = length OR (cum - length < target AND abs(cum - length - target) >= abs(cum - target)))"""
+
+
+@query("r4_cycled_success", f"WITH {EV}, ok AS (SELECT * FROM epi WHERE success), {_cycled_sql('ok', '(SELECT round(CAST(sum(length) AS DOUBLE) * 4) FROM epi WHERE NOT success)', 17)} SELECT episode, length, success, CAST(0 AS BIGINT) AS cycle FROM epi WHERE NOT success UNION ALL SELECT episode, length, true, cycle FROM k")
 def _(spark, sf):
     """All failures, and successes over and over until they have four times the failures' frames."""
     e = episodes(frames(spark, sf))
@@ -698,7 +716,7 @@ def _(spark, sf):
     return fail.withColumn("cycle", F.lit(0).cast("long")).unionByName(more).select("episode", "length", "success", "cycle")
 
 
-@query("w14_cycled_selection")
+@query("w14_cycled_selection", f"WITH {EV}, {_cycled_sql('epi', '(SELECT CAST(sum(length) AS DOUBLE) * 2.5 FROM epi)', 19)} SELECT episode, length, cycle FROM k")
 def _(spark, sf):
     e = episodes(frames(spark, sf))
     return sampling.cycled(e, ["episode"], "length", 19, _target(e, "true", 2.5)).select("episode", "length", "cycle")
@@ -729,7 +747,9 @@ def _(spark, sf):
     return writers.info(episodes(frames(spark, sf)), "length", 10)
 
 
-@query("k3_json_document", f"WITH {EV} SELECT 'returns' AS name, count(*) AS entries, max(length) AS longest FROM epi")
-def _(spark, sf):
-    doc = writers.document(episodes(frames(spark, sf)).select("episode", "length"), "episodes", ["episode"], name="returns")
-    return doc.select("name", F.size("episodes").cast("long").alias("entries"), F.array_max(F.transform("episodes", lambda s: s["length"])).alias("longest"))
+@query("flagship_task_returns", f"WITH {VAL} SELECT task, success, count(*) AS n, min(return_to_go) AS least, max(return_to_go) AS most, round(avg(return_to_go), 6) AS mean, round(quantile_cont(return_to_go, 0.5), 6) AS median FROM val GROUP BY task, success")
+def flagship(spark, sf):
+    """Returns to go by task and success: the whole way from events through steps, success, returns to quantiles."""
+    df = returns.return_to_go(labelled(spark, sf), "episode", "success", PENALTY)
+    d = metrics.distribution(df, "return_to_go", ["task", "success"], {"median": 0.5})
+    return d.select("task", "success", "n", F.col("min").alias("least"), F.col("max").alias("most"), r6("mean", "mean"), r6("median", "median"))

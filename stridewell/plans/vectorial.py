@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pose
-from ..operators import returns, sampling
+from ..operators import returns
 from ..operators import vectors as vec
 from ..sources import writers
 from .base import VEC, query, r6, table, vectors
@@ -174,10 +174,12 @@ def _(spark, sf):
     return m.select("label", F.size("mean").cast("long").alias("n"), F.round(total, 5).alias("weighted"))
 
 
-@query("p30_action_mask", "SELECT CAST(i AS BIGINT) AS dim, i NOT IN (6, 13) AS real FROM generate_series(0, 13) t(i)")
+@query("p30_action_mask", f"WITH {VEC} SELECT vec_id, dim, dim NOT IN (6, 13) AS real, CASE WHEN dim NOT IN (6, 13) THEN round(x, 6) END AS x FROM vec WHERE dim < 14")
 def _(spark, sf):
+    """Each vector's elements with the mask of its sub-keys; what the mask leaves out is null."""
     mask = vec.action_mask({"left_arm": 6, "left_gripper": 1, "right_arm": 6, "right_gripper": 1})
-    return spark.range(1).select(F.posexplode(mask).alias("dim", "real")).select(F.col("dim").cast("long").alias("dim"), "real")
+    both = vectors(spark, sf).select("vec_id", F.posexplode(F.arrays_zip(vec.part(F.col("v"), 0, 14).alias("x"), mask.alias("real"))).alias("dim", "e"))
+    return both.select("vec_id", F.col("dim").cast("long").alias("dim"), "e.real", F.when(F.col("e.real"), r6(F.col("e.x"), "x")).alias("x"))
 
 
 PAIR = f"{VEC}, pr AS (SELECT a.vec_id, a.x AS x, b.x AS y FROM vec a JOIN vec b ON a.vec_id = b.vec_id AND b.dim = a.dim + 32 WHERE a.dim < 32)"
@@ -288,30 +290,69 @@ def _(spark, sf):
     return j.groupBy("vec_id").agg(F.round(F.sum("z"), 5).alias("total"))
 
 
-# rotations and poses: no SQL; tests hold them against identities -------------------------------------------------------
+# rotations and poses --------------------------------------------------------------------------------------------------
+def _e(i: int) -> str:
+    return f"CAST(embedding[{i + 1}] AS DOUBLE)"
+
+
+def _unit(names: str, place: int) -> str:
+    """The quaternion at a place of the vector, of length 1, as columns."""
+    size = " + ".join(f"{_e(place + k)} * {_e(place + k)}" for k in range(4))
+    return ", ".join(f"{_e(place + k)} / sqrt({size}) AS {n}" for k, n in enumerate(names.split()))
+
+
+#: Of a unit quaternion x, y, z, w, the rows of its matrix.
+MATRIX = ["1 - 2 * ({y} * {y} + {z} * {z})", "2 * ({x} * {y} - {z} * {w})", "2 * ({x} * {z} + {y} * {w})", "2 * ({x} * {y} + {z} * {w})", "1 - 2 * ({x} * {x} + {z} * {z})", "2 * ({y} * {z} - {x} * {w})", "2 * ({x} * {z} - {y} * {w})", "2 * ({y} * {z} + {x} * {w})", "1 - 2 * ({x} * {x} + {y} * {y})"]
+
+
+def _m(i: int, **names: str) -> str:
+    return "(" + MATRIX[i].format(**names) + ")"
+
+
+_R = {"x": "rx", "y": "ry", "z": "rz", "w": "rw"}
+P19 = f"""WITH q AS (SELECT vec_id, {_unit("rx ry rz rw", 3)}, {_unit("px py pz pw", 10)}, {", ".join(f"{_e(7 + i)} - {_e(i)} AS d{i}, {_e(7 + i)} AS b{i}" for i in range(3))} FROM embeddings),
+r AS (SELECT *, rw * px - rx * pw - ry * pz + rz * py AS x, rw * py + rx * pz - ry * pw - rz * px AS y, rw * pz - rx * py + ry * px - rz * pw AS z, rw * pw + rx * px + ry * py + rz * pz AS w FROM q)
+SELECT vec_id, {", ".join(f"round({' + '.join(f'{_m(3 * k + i, **_R)} * d{k}' for k in range(3))}, 6) AS r{i}" for i in range(3))},
+{", ".join(f"round(CASE WHEN w < 0 THEN -{c} ELSE {c} END, 6) AS r{3 + i}" for i, c in enumerate("xyzw"))}, {", ".join(f"round(b{i}, 6) AS b{i}" for i in range(3))} FROM r"""
+P21 = f"""WITH a AS (SELECT vec_id, {", ".join(f"{_e(14 + i)} AS a{i}, {_e(17 + i)} AS b{i}" for i in range(3))} FROM embeddings),
+x AS (SELECT *, {", ".join(f"a{i} / sqrt(a0 * a0 + a1 * a1 + a2 * a2) AS x{i}" for i in range(3))} FROM a),
+o AS (SELECT *, {", ".join(f"b{i} - (x0 * b0 + x1 * b1 + x2 * b2) * x{i} AS o{i}" for i in range(3))} FROM x),
+y AS (SELECT *, {", ".join(f"o{i} / sqrt(o0 * o0 + o1 * o1 + o2 * o2) AS y{i}" for i in range(3))} FROM o)
+SELECT vec_id, {", ".join(f"round({v}, 6) AS m{i}" for i, v in enumerate(["x0", "x1", "x2", "y0", "y1", "y2", "x1 * y2 - x2 * y1", "x2 * y0 - x0 * y2", "x0 * y1 - x1 * y0"]))} FROM y"""
+P22 = f"""WITH q AS (SELECT vec_id, {_unit("rx ry rz rw", 3)} FROM embeddings), s AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS s FROM q)
+SELECT vec_id, round(atan2(-{_m(5, **_R)}, {_m(8, **_R)}), 6) AS e0, round(asin(greatest(-1, least(1, {_m(2, **_R)}))), 6) AS e1, round(atan2(-{_m(1, **_R)}, {_m(0, **_R)}), 6) AS e2,
+{", ".join(f"round(CASE WHEN rw < 0 THEN -{c} ELSE {c} END * 2 * atan2(s, abs(rw)) / s, 6) AS a{i}" for i, c in enumerate(("rx", "ry", "rz")))} FROM s"""
+P24 = f"""WITH q AS (SELECT vec_id // 10 AS chunk, CAST(vec_id % 10 AS DOUBLE) AS t, {", ".join(f"{_e(i)} AS p{i}" for i in range(3))}, {_unit("p3 p4 p5 p6", 3)} FROM embeddings),
+n AS (SELECT *, {", ".join(f"lead(p{i}) OVER w AS n{i}, lag(p{i}) OVER w AS l{i}" for i in range(7))}, lead(t) OVER w AS nt, lag(t) OVER w AS lt FROM q WINDOW w AS (PARTITION BY chunk ORDER BY t)),
+d AS (SELECT *, CASE WHEN {" + ".join(f"p{i} * n{i}" for i in range(3, 7))} < 0 THEN -1 ELSE 1 END AS g, CASE WHEN nt IS NULL AND lt IS NOT NULL AND {" + ".join(f"p{i} * l{i}" for i in range(3, 7))} < 0 THEN -1 ELSE 1 END AS h FROM n),
+m AS (SELECT *, sqrt({" + ".join(f"(p{i} + g * n{i}) * (p{i} + g * n{i})" for i in range(3, 7))}) AS size FROM d)
+SELECT chunk, t, {", ".join(f"round({'' if i < 3 else 'h * '}p{i}, 6) AS p{i}" for i in range(7))} FROM m
+UNION ALL SELECT chunk, t + 0.5, {", ".join(f"round((p{i} + n{i}) / 2, 6)" if i < 3 else f"round((p{i} + g * n{i}) / size, 6)" for i in range(7))} FROM m WHERE nt IS NOT NULL"""
+
+
 def _poses(spark, sf):
     return vectors(spark, sf).select("vec_id", vec.part(F.col("v"), 0, 7).alias("ref"), vec.part(F.col("v"), 7, 14).alias("pose"), vec.part(F.col("v"), 14, 20).alias("r6"))
 
 
-@query("p19_relative_pose")
+@query("p19_relative_pose", P19)
 def _(spark, sf):
     p = _poses(spark, sf).withColumn("rel", pose.relative_pose(F.col("ref"), F.col("pose"))).withColumn("back", pose.absolute_pose(F.col("ref"), F.col("rel")))
     return p.select("vec_id", *[r6(F.col("rel")[i], f"r{i}") for i in range(7)], *[r6(F.col("back")[i], f"b{i}") for i in range(3)])
 
 
-@query("p21_rotation_6d")
+@query("p21_rotation_6d", P21)
 def _(spark, sf):
     m = pose.convert(F.col("r6"), "rotation_6d", "matrix")
     return _poses(spark, sf).withColumn("m", m).select("vec_id", *[r6(F.col("m")[i], f"m{i}") for i in range(9)])
 
 
-@query("p22_rotation_conversion")
+@query("p22_rotation_conversion", P22)
 def _(spark, sf):
     p = _poses(spark, sf).withColumn("e", pose.convert(vec.part(F.col("ref"), 3, 7), "quaternion", "euler_xyz")).withColumn("a", pose.convert(F.col("e"), "euler_xyz", "axis_angle"))
     return p.select("vec_id", *[r6(F.col("e")[i], f"e{i}") for i in range(3)], *[r6(F.col("a")[i], f"a{i}") for i in range(3)])
 
 
-@query("p24_pose_interpolation")
+@query("p24_pose_interpolation", P24)
 def _(spark, sf):
     v = vectors(spark, sf).select((F.floor(F.col("vec_id") / 10)).cast("long").alias("chunk"), (F.col("vec_id") % 10).cast("double").alias("t"), vec.part(F.col("v"), 0, 7).alias("p"))
     v = v.withColumn("p", F.concat(vec.part(F.col("p"), 0, 3), F.transform(vec.part(F.col("p"), 3, 7), lambda x: x / vec.norm(vec.part(F.col("p"), 3, 7)))))
@@ -319,8 +360,3 @@ def _(spark, sf):
     grid = ends.select("chunk", F.explode(F.transform(F.sequence(F.lit(0), (F.col("last") * 2).cast("int")), lambda i: i / 2)).alias("t"))
     out = pose.interpolate_chunks(v, "chunk", "t", "p", grid, True)
     return out.select("chunk", "t", *[r6(F.col("p")[i], f"p{i}") for i in range(7)])
-
-
-@query("l9_bounded_sample", "SELECT least(100, count(*)) AS rows FROM embeddings")
-def _(spark, sf):
-    return sampling.sample(table(spark, sf, "embeddings"), ["vec_id"], 31, 100).agg(F.count(F.lit(1)).alias("rows"))

@@ -58,9 +58,9 @@ def row_groups(spark: SparkSession, path: str, include: list[str] | None = None,
 
 
 def data_sets(spark: SparkSession, root: str) -> DataFrame:
-    """dataset, files: the directories under root that hold meta/modality.json and data files."""
+    """dataset, files: the directories under root that hold meta/modality.json (a file, or Spark's folder of parts) and data files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    found = files.select(F.regexp_extract("path", r"^(.*)/(?:meta/modality\.json|data/.+)$", 1).alias("dataset"), F.col("path").rlike(r"/meta/modality\.json$").cast("int").alias("_m"), F.col("path").rlike(r"/data/.+").cast("int").alias("_d"))
+    found = files.select(F.regexp_extract("path", r"^(.*?)/(?:meta/modality\.json(?:/.+)?|data/.+)$", 1).alias("dataset"), F.col("path").rlike(r"/meta/modality\.json(/|$)").cast("int").alias("_m"), F.col("path").rlike(r"/data/.+").cast("int").alias("_d"))
     return found.where("dataset <> ''").groupBy("dataset").agg(F.max("_m").alias("_m"), F.sum("_d").alias("files")).where("_m = 1 and files > 0").select("dataset", "files")
 
 
@@ -104,13 +104,34 @@ def complete_runs(files: DataFrame, run: str, seed: str, expected: int) -> DataF
     return files.groupBy(run, seed).agg(F.count(F.lit(1)).alias("files")).where(F.col("files") == expected).orderBy(seed, run)
 
 
-def health(spark: SparkSession, wanted: DataFrame, path: str, root: str) -> DataFrame:
-    """path, state: missing, empty or ok, from the store's listing and the files' sizes (empty files give no row)."""
+def health(spark: SparkSession, wanted: DataFrame, path: str, root: str, size: str | None = None) -> DataFrame:
+    """wanted with state: missing, empty, truncated (fewer bytes than the column `size` says) or ok.
+
+    One listing of root tells all lengths; no file is opened. Spark's sources leave files of no bytes out of their rows, so
+    these alone are asked of the store by name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "_p string").select(F.regexp_replace("_p", "^file:/+", "file:/").alias(path), F.lit(True).alias("_there"))
-    sizes = files.select(F.regexp_replace("path", "^file:/+", "file:/").alias(path), F.col("length").alias("_n"))
-    out = wanted.join(listed, path, "left").join(sizes, path, "left")
-    return out.select(path, F.when(F.col("_there").isNull(), "missing").when(F.coalesce("_n", F.lit(0)) == 0, "empty").otherwise("ok").alias("state"))
+    listed = files.select(_one_slash(F.col("path")).alias("_p"), F.col("length").alias("_n"))
+    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, root)], "_p string").select(_one_slash(F.col("_p")).alias("_p"), F.lit(0).cast("long").alias("_n"))
+    out = wanted.join(listed.union(empty), _one_slash(F.col(path)) == F.col("_p"), "left")
+    state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 0, "empty")
+    if size:
+        state = state.when(F.col("_n") < F.col(size), "truncated")
+    return out.withColumn("state", state.otherwise("ok")).drop("_p", "_n")
+
+
+def _one_slash(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, walk = [], at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    while walk.hasNext():
+        f = walk.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            found.append(f.getPath().toString())
+    return found
 
 
 def config_key(*parts: str) -> Column:
@@ -119,7 +140,7 @@ def config_key(*parts: str) -> Column:
 
 
 def kept(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
-    """The table folder/key, made by make() where it is not there yet."""
+    """The table folder/key, made by make() where it is not there yet; cache.cached() chooses keys by what a table depends on."""
     path = f"{folder.rstrip('/')}/{key}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):

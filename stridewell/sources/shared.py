@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is made only where none is named, as in tests."""
+    """The folder in spark.checkpoint.dir. Where none is named, a local one is made if all of Spark is on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='stridewell-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -23,12 +23,6 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def document(df: DataFrame, array: str, order: list[str], **fields) -> DataFrame:
-    """One row: the fields, and all rows as an array in order. Only for reports, whose rows a single task can hold."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))
-    return df.agg(rows.alias(array)).select(*[F.lit(v).alias(k) for k, v in fields.items()], array)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stridewell.functions import pose
 from stridewell.functions import text as tx
-from stridewell.operators import alignment, metrics, returns, sampling, steps
+from stridewell.operators import alignment, metrics, ranges, returns, sampling, steps
 from stridewell.operators import vectors as vec
 from stridewell.sources import readers, writers
 
@@ -87,7 +87,7 @@ def test_lookup_of_unknown_key_fails(spark):
 
 def test_running_sum_over_partitions(spark):
     df = spark.range(5000).select("id", (F.col("id") % 7).alias("v")).repartition(13)
-    got = steps.running_sum(df, "v", ["id"], "s").orderBy("id").toPandas()
+    got = ranges.running_sum(df, "v", ["id"], "s").orderBy("id").toPandas()
     assert (got["s"].to_numpy() == np.cumsum(np.arange(5000) % 7)).all()
 
 
@@ -264,7 +264,7 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "e int, step long, v double, ok boolean")
     assert returns.return_to_go(df, "e", "ok", 1).count() == 0
     assert steps.offset_windows(df, "e", "v", [0]).count() == 0
-    assert steps.running_sum(df, "v", ["step"], "s").count() == 0
+    assert ranges.running_sum(df, "v", ["step"], "s").count() == 0
     assert sampling.greedy(df, "v", ["step"], 5).count() == 0
     assert metrics.fit(df.withColumn("p", F.lit(1.0)), "p", "v", ["e"]).count() == 0
 
