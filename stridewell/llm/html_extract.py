@@ -10,11 +10,13 @@ Defined results: a null or empty page gives the empty text; unclosed tags, attri
 the page; text in tables nested in cells is rendered inside the cell; any depth of nesting is followed without recursion
 by the builder, and beyond MOST_DEPTH levels elements are flattened into their parent, but hidden ones stay hidden.
 Form controls, formulas, the text of pictures, open dialogs and what only readers of screens skip (aria-hidden) are
-visible; all options of a list are written, a line each.
+visible; all options of a list are written, a line each. What visibility hides takes no part but for descendants that
+are visible again; of closed details the summary is written. A table's columns are those at which some cell begins.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -63,7 +65,9 @@ END_SCOPE = frozenset("table td th caption html".split())
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<bogus>[!?][^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)
+LONG_REFERENCE = re.compile(r"&#(?:([xX])([0-9a-fA-F]{7,})|([0-9]{8,}));?")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -74,12 +78,23 @@ class Node:
         self.name, self.attrs, self.children = name, attrs or {}, []
 
 
+def unescape(s: str) -> str:
+    """s with character references as characters; of whatever number of digits, what is no character is U+FFFD."""
+    def short(m: re.Match) -> str:
+        digits = (m[2] or m[3]).lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{m[1] or ''}{digits or '0'};"
+
+    if "&" not in s:
+        return s
+    return html.unescape(LONG_REFERENCE.sub(short, s) if "&#" in s else s)
+
+
 def _attrs(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, value in ATTR.findall(raw):
         if value[:1] in ("'", '"'):
             value = value[1:].removesuffix(value[0])
-        out.setdefault(name.lower(), html.unescape(value))
+        out.setdefault(name.lower(), unescape(value))
     return out
 
 
@@ -136,9 +151,9 @@ def tree(page: str) -> Node:
     while True:
         m = TAG.search(page, pos)
         if not m:
-            text(html.unescape(page[pos:]))
+            text(unescape(page[pos:]))
             return root
-        text(html.unescape(page[pos : m.start()]))
+        text(unescape(page[pos : m.start()]))
         pos = m.end()
         if m["start"]:
             name = m["start"].lower()
@@ -164,7 +179,7 @@ def tree(page: str) -> Node:
                 node = open_(name, attrs)
                 body = page[pos : end.start() if end else len(page)]
                 if body:
-                    node.children.append(html.unescape(body) if name in ("textarea", "title") else body)
+                    node.children.append(unescape(body) if name in ("textarea", "title") else body)
                 pos = end.end() if end else len(page)
                 continue
             foreign = name in ("svg", "math") or opened["svg"] or opened["math"]
@@ -190,6 +205,14 @@ def hidden(node: Node) -> bool:
     return bool(a.get("style")) and bool(HIDES.search(a["style"]))
 
 
+def unseen(node: Node, above: bool) -> bool:
+    """Whether the element's own text is unseen: visibility is inherited, and can be taken back."""
+    style = node.attrs.get("style")
+    found = SEEN.findall(style) if style else ()
+    value = found[-1].lower() if found else ""
+    return value in ("hidden", "collapse") if value in ("hidden", "collapse", "visible", "initial") else above
+
+
 def width(s: str) -> int:
     """Columns that a text takes: wide East Asian characters two, combining marks none."""
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
@@ -198,15 +221,17 @@ def width(s: str) -> int:
 class Renderer:
     """Collects lines; inline text is joined with its white space collapsed."""
 
-    def __init__(self):
+    def __init__(self, unseen: bool = False):
         self.lines: list[str] = []
         self.run: list[str] = []
         self.prefix: list[str] = []
         self.mark: str | None = None
         self.gap = 0
+        self.unseen = unseen
 
     def inline(self, s: str) -> None:
-        self.run.append(s)
+        if not self.unseen:
+            self.run.append(s)
 
     def flush(self) -> None:
         """Ends the line that inline text has filled."""
@@ -251,8 +276,15 @@ def _children(node: Node, out: Renderer, depth: int) -> None:
 
 
 def _element(node: Node, out: Renderer, depth: int) -> None:
+    """A visible element; one that is only unseen takes part in nothing but what its seen descendants show."""
     if hidden(node):
         return
+    before, out.unseen = out.unseen, unseen(node, out.unseen)
+    _seen(node, out, depth)
+    out.unseen = before
+
+
+def _seen(node: Node, out: Renderer, depth: int) -> None:
     name = node.name
     if name == "br":
         out.inline("\x00")
@@ -261,7 +293,8 @@ def _element(node: Node, out: Renderer, depth: int) -> None:
             out.inline(node.attrs["alt"])
     elif name == "hr":
         out.block(True)
-        out.line("-" * 3)
+        if not out.unseen:
+            out.line("-" * 3)
         out.gap = 1
     elif name == "table":
         out.block(True)
@@ -282,15 +315,20 @@ def _element(node: Node, out: Renderer, depth: int) -> None:
         out.block(name == "blockquote")
     elif name == "pre":
         out.block(True)
-        body = _plain(node).replace("\r\n", "\n")
-        for s in body.removeprefix("\n").rstrip("\n").split("\n"):
+        body = _plain(node, out.unseen).replace("\r\n", "\n")
+        for s in body.removeprefix("\n").rstrip("\n").split("\n") if body or not out.unseen else ():
             out.line(s.rstrip())
         out.gap = 1
     elif name == "textarea":
         out.block(False)
-        body = _plain(node).replace("\r\n", "\n").removeprefix("\n").rstrip("\n")
+        body = _plain(node, out.unseen).replace("\r\n", "\n").removeprefix("\n").rstrip("\n")
         for s in body.split("\n") if body else ():
             out.line(s.rstrip())
+    elif name == "details" and "open" not in node.attrs:  # its first summary alone
+        out.block(False)
+        for c in [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]:
+            _element(c, out, depth)
+        out.block(False)
     elif name in ("option", "optgroup"):
         out.block(False)
         if node.attrs.get("label", "").strip():
@@ -315,8 +353,8 @@ def _element(node: Node, out: Renderer, depth: int) -> None:
         _children(node, out, depth)
 
 
-def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else "" if hidden(c) else _plain(c) for c in node.children)
+def _plain(node: Node, away: bool = False) -> str:
+    return "".join(("" if away else c) if isinstance(c, str) else "\n" if c.name == "br" else "" if hidden(c) else _plain(c, unseen(c, away)) for c in node.children)
 
 
 def _item(node: Node, out: Renderer, depth: int, mark: str) -> None:
@@ -326,7 +364,7 @@ def _item(node: Node, out: Renderer, depth: int, mark: str) -> None:
     out.mark = mark
     _children(node, out, depth + 1)
     out.flush()
-    if len(out.lines) == before:
+    if len(out.lines) == before and not out.unseen:
         out.line("")
     out.mark = None
     out.prefix.pop()
@@ -342,7 +380,9 @@ def _list(node: Node, out: Renderer, depth: int) -> None:
         elif c.name == "li" and not hidden(c):
             value = c.attrs.get("value", "").strip()
             n = int(value) if re.fullmatch(r"-?\d{1,9}", value) else n
+            before, out.unseen = out.unseen, unseen(c, out.unseen)
             _item(c, out, depth, f"{n}. " if node.name == "ol" else "* ")
+            out.unseen = before
             n += step
         else:
             _element(c, out, depth + 1)
@@ -379,28 +419,40 @@ def _table(node: Node, out: Renderer, depth: int) -> None:
     for c in head:
         _children(c, out, depth)
         out.flush()
-    grid: list[list[list[str]]] = []
-    held: dict[tuple[int, int], bool] = {}
+    # where each cell begins; columns at which none begins are not written, so spans add no more than there are cells
+    laid: list[list[tuple[int, int, Node]]] = []
+    held: list[tuple[int, int, int]] = []  # first column, one past the last, and one past the last row of cells from above
     for y, cells in enumerate(rows):
-        line: list[list[str]] = []
+        held = sorted(h for h in held if h[2] > y)
+        line, x, k = [], 0, 0
         for cell in cells:
-            while held.get((y, len(line))):
-                line.append([""])
-            inner = Renderer()
+            while k < len(held) and held[k][0] <= x:
+                x, k = max(x, held[k][1]), k + 1
+            across, down = (max(1, min(int(v.lstrip("0")[:9] or 0), most)) if (v := cell.attrs.get(name, "").strip()).isdigit() and v.isascii() else 1 for name, most in (("colspan", MOST_ACROSS), ("rowspan", min(MOST_DOWN, len(rows) - y))))
+            line.append((x, x + across, cell))
+            if down > 1:
+                held.append((x, x + across, y + down))
+            x += across
+        laid.append(line)
+    columns_at = sorted({x for line in laid for x, _, _ in line})
+    starts = {x: k for k, x in enumerate(columns_at)}
+    grid: list[list[list[str]]] = []
+    for line in laid:
+        row: list[list[str]] = []
+        more = False
+        for x, end, cell in line:
+            inner = Renderer(unseen(cell, out.unseen))
             _children(cell, inner, 0)
-            across, down = (min(int(v.lstrip("0")[:9] or 0), most) if (v := cell.attrs.get(k, "").strip()).isdigit() and v.isascii() else 1 for k, most in (("colspan", MOST_ACROSS), ("rowspan", min(MOST_DOWN, len(rows) - y))))
-            for dy in range(1, max(1, down)):
-                for dx in range(max(1, across)):
-                    held[y + dy, len(line) + dx] = True
-            line.append(inner.text().split("\n"))
-            line += [[""]] * (max(1, across) - 1)
-        grid.append(line)
+            text = inner.text()
+            more = not text or starts[x] < bisect.bisect_left(columns_at, end) - 1
+            if text:
+                row += [[""]] * (starts[x] - len(row))
+                row.append(text.split("\n"))
+        grid.append([*row, [""]] if row and more else row)  # what is empty at a row's end is one cell, however wide
     columns = max(map(len, grid), default=0)
     widths = [max((width(s) for row in grid if x < len(row) for s in row[x]), default=0) for x in range(columns)]
     for row in grid:
-        if not any(s for cell in row for s in cell):
-            continue
-        for k in range(max(map(len, row))):
+        for k in range(max(map(len, row), default=0)):
             cells = [cell[k] if k < len(cell) else "" for cell in row]
             out.line(" | ".join(s + " " * (w - width(s)) for s, w in zip(cells, widths, strict=False)).rstrip() if len(row) > 1 else cells[0])
 

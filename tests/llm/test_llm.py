@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -512,6 +513,27 @@ def test_rendering_of_all_that_is_visible(page, text):
     assert html_extract.render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"a&#{'9' * 5000};b", "a\ufffdb"), (f"<img alt='&#x{'f' * 5000};'>", "\ufffd"), (f"&#{'0' * 5000}65;", "A"), ("&#x1F600; &#128512;", "\U0001f600 \U0001f600"),
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>", "yes"), ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>b</ul>", "* b"),
+        ("<div style='visibility:hidden'><pre>no</pre><hr></div>z", "z"), ("<p style='visibility:hidden; visibility:visible'>a", "a"),
+        ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+        ("<table><tr><td colspan=3>a<td>b<tr><td>c<td>d</table>", "a |   | b\nc | d"), ("<table><tr><td colspan=9>a<tr><td>c<td>d<td>e</table>", "a |\nc | d | e"),
+    ],
+)
+def test_rendering_of_long_references_and_visibility(page, text):
+    assert html_extract.render(page) == text
+
+
+def test_text_is_bounded_by_the_page():
+    page = "<table>" + "<tr><td colspan=1000 rowspan=65534>a</td></tr>" * 150 + "</table>"
+    began = time.perf_counter()
+    assert len(html_extract.render(page)) < 20 * len(page)
+    assert time.perf_counter() - began < 1
+
+
 def test_rendering_never_fails(spark, sf):
     rng = np.random.default_rng(11)
     bits = ["<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<p>", "</p>", "<div", ">", "'", '"', "&#0;", "&nosuch;", "x ", "<b>", "</div>", "<!--", "-->", "<pre>", "<script>", "</script>", "<dd>", "</", "<a b=c d>"]
