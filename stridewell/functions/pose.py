@@ -208,14 +208,12 @@ def interpolate_chunks(df: DataFrame, key: str, time: str, value: str, grid: Dat
 
 
 def linear(df: DataFrame, frames: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
-    """df (by, time) with the value between the frames around each time, all in SQL: an as-of pair and a lerp."""
-    from pyspark.sql import Window
+    """df (by, time) with the value between the frames around each time, all in SQL: an as-of pair, carried over ranges, and a lerp."""
+    from ..operators import ranges
 
     u = df.select(*by, time, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_side")).union(frames.select(*by, time, F.col(value).cast("double"), F.lit(0)))
     frame = F.when(F.col("_side") == 0, F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
-    w = Window.partitionBy(*by).orderBy(time, "_side")
-    u = u.withColumn("_a", F.last(frame, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("_b", F.first(frame, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    u = ranges.carried(u, by, [F.col(time), F.col("_side"), F.col("_v")], F.struct(time, "_v"), frame, "_a", "_b").where("_side = 1")
     share = (F.col(time) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
     got = F.when(F.col("_b").isNull() & (F.col("_a.t") == F.col(time)), F.col("_a.v")).when(F.col("_a.t") == F.col(time), F.col("_a.v")).otherwise(F.col("_a.v") + share * (F.col("_b.v") - F.col("_a.v")))
     return u.select(*by, time, got.alias(value))

@@ -173,22 +173,28 @@ def axis_angle(q: list[Column]) -> list[Column]:
     return [x * scale for x in q[:3]]
 
 
+def uniforms(keys: list[Column], seed: int) -> tuple[Column, Column]:
+    """Two numbers over 0 and up to 1 of the keys: 52 bits each of the md5 of seed and keys, in any engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
+    return tuple((F.conv(F.substr(digest, F.lit(i), F.lit(13)), 16, 10).cast("long") + 1) / F.lit(float(1 << 52)) for i in (1, 17))
+
+
 def noisy(vector: Column, sigma: float, seed: int, keys: list[Column]) -> Column:
-    """Noise of N(0, sigma) from hashes of the keys, clamped to the vector's own range; sigma <= 0 leaves it."""
+    """Noise of N(0, sigma) from hashes of keys and place, clamped to the vector's own range; sigma <= 0 leaves it."""
     if sigma <= 0:
         return vector
     low, high = F.array_min(vector), F.array_max(vector)
 
-    def uniform(i, salt):
-        return (F.pmod(F.xxhash64(*keys, i, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    def normal(i):
+        u, v = uniforms([*keys, i], seed)
+        return F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
 
-    return F.transform(vector, lambda x, i: F.greatest(low, F.least(high, x + F.lit(sigma) * F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(F.lit(2 * math.pi) * uniform(i, 2)))))
+    return F.transform(vector, lambda x, i: F.greatest(low, F.least(high, x + F.lit(sigma) * normal(i))))
 
 
 def dropped(vector: Column, share: float, seed: int, keys: list[Column]) -> Column:
     """The vector, or zeros for about a share of the rows, chosen by hash."""
-    hit = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < share
-    return F.when(hit, F.transform(vector, lambda x: x * 0)).otherwise(vector)
+    return F.when(uniforms(keys, seed)[0] <= share, F.transform(vector, lambda x: x * 0)).otherwise(vector)
 
 
 def long_form(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

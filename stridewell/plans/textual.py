@@ -78,8 +78,9 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.short_hash(F.col("p_name")).alias("config"), tx.seed(F.col("p_name")).alias("seed"))
 
 
-MATCH = """WITH k AS (SELECT DISTINCT 'tasks/' || lower(r_name) AS key, lower(r_name) AS tail FROM region UNION SELECT 'AFRICA', 'AFRICA'),
-q AS (SELECT DISTINCT q FROM (VALUES ('AFRICA'), ('asia'), ('runs/europe'), ('ddle'), ('a'), ('nothing')) t(q)),
+MATCH = """WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name, p_type, p_brand FROM part),
+k AS (SELECT 'tasks/' || name AS key, name AS tail FROM n UNION SELECT p_brand || '/' || p_type, p_type FROM n UNION SELECT p_type, p_type FROM n),
+q AS (SELECT DISTINCT unnest(['tasks/' || name, name, 'runs/' || name, upper(substring(name, 3)), substring(name, 2, 2), p_type, lower(p_brand), 'no ' || name]) AS q FROM n),
 c AS (SELECT q, key, 0 AS r FROM q JOIN k ON q = key UNION ALL SELECT q, key, 1 FROM q JOIN k ON q = tail UNION ALL SELECT q, key, 2 FROM q JOIN k ON list_extract(string_split(q, '/'), -1) = tail UNION ALL SELECT q, key, 3 FROM q JOIN k ON contains(lower(key), lower(q))),
 b AS (SELECT q, min(r) AS r FROM c GROUP BY q), o AS (SELECT c.q, c.r, min(key) AS key FROM c JOIN b ON c.q = b.q AND c.r = b.r GROUP BY c.q, c.r HAVING count(DISTINCT key) = 1)
 SELECT q.q AS query, o.key, CAST(o.r AS BIGINT) AS rank FROM q LEFT JOIN o ON q.q = o.q"""
@@ -87,10 +88,11 @@ SELECT q.q AS query, o.key, CAST(o.r AS BIGINT) AS rank FROM q LEFT JOIN o ON q.
 
 @query("t10_fuzzy_task", MATCH)
 def _(spark, sf):
-    name = F.lower("r_name")
-    keys = table(spark, sf, "region").select(F.concat(F.lit("tasks/"), name).alias("k")).union(spark.createDataFrame([("AFRICA",)], "k string"))
-    queries = spark.createDataFrame([(q,) for q in ("AFRICA", "asia", "runs/europe", "ddle", "a", "nothing")], "q string")
-    m = tx.match_task(queries, keys, "q", "k")
+    """Exact names, last segments on either side, parts of names in another case, and names that are no key's or several."""
+    n = table(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), "p_type", "p_brand").distinct()
+    keys = n.select(F.explode(F.array(F.concat(F.lit("tasks/"), "name"), F.concat_ws("/", "p_brand", "p_type"), "p_type")).alias("k"))
+    asked = [F.concat(F.lit("tasks/"), "name"), F.col("name"), F.concat(F.lit("runs/"), "name"), F.upper(F.expr("substring(name, 3)")), F.substring("name", 2, 2), F.col("p_type"), F.lower("p_brand"), F.concat(F.lit("no "), "name")]
+    m = tx.match_task(n.select(F.explode(F.array(*asked)).alias("q")), keys, "q", "k")
     return m.select("query", "key", F.col("rank").cast("long").alias("rank"))
 
 

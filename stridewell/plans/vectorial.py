@@ -207,18 +207,32 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", r6(vec.box_iou(a, [F.lit(x) for x in (2.0, 1.0, 20.0, 8.0)]), "iou"))
 
 
-@query("p33_perturbation", f"WITH {VEC} SELECT vec_id, count(*) AS n, true AS in_range FROM vec GROUP BY 1")
+def _uniform(place: int, seed: int, keys: str) -> str:
+    return f"((('0x' || substring(md5('{seed}|' || {keys}), {place}, 13))::BIGINT + 1) / CAST(4503599627370496 AS DOUBLE))"
+
+
+@query("p33_perturbation", f"WITH {VEC}, b AS (SELECT vec_id, min(x) AS lo, max(x) AS hi FROM vec GROUP BY 1) SELECT vec_id, dim, round(greatest(lo, least(hi, x + 0.1 * sqrt(-2 * ln({_uniform(1, 23, "vec_id || '|' || dim")})) * cos(2 * pi() * {_uniform(17, 23, "vec_id || '|' || dim")}))), 5) AS y FROM vec JOIN b USING (vec_id) WHERE dim < 14")
+def _(spark, sf):
+    """Noise by value: the same hashes give the same normal numbers in either engine."""
+    noisy = vectors(spark, sf).select("vec_id", F.posexplode(F.slice(vec.noisy(F.col("v"), 0.1, 23, [F.col("vec_id")]), 1, 14)).alias("dim", "y"))
+    return noisy.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("y", 5).alias("y"))
+
+
+@query("p33_noise_moments", "SELECT true AS centred, true AS spread, count(*) AS vectors FROM embeddings")
 def _(spark, sf):
-    noisy = vectors(spark, sf).withColumn("y", vec.noisy(F.col("v"), 0.1, 23, [F.col("vec_id")]))
-    inside = (F.array_min("y") >= F.array_min("v")) & (F.array_max("y") <= F.array_max("v"))
-    return noisy.select("vec_id", F.size("y").cast("long").alias("n"), inside.alias("in_range"))
+    """Of noise that no range cuts off: mean and standard deviation over all elements, within five standard errors."""
+    wide = vectors(spark, sf).select("vec_id", F.concat(F.array(F.lit(-99.0)), F.array_repeat(F.lit(0.0), 62), F.array(F.lit(99.0))).alias("v"))
+    x = wide.select("vec_id", F.explode(F.slice(vec.noisy(F.col("v"), 0.5, 23, [F.col("vec_id")]), 2, 62)).alias("x"))
+    m = x.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("x").alias("n"), F.count_distinct("vec_id").alias("vectors"))
+    err = F.lit(0.5) / F.sqrt("n")
+    return m.select((F.abs("m") < 5 * err).alias("centred"), (F.abs(F.col("s") - 0.5) < 5 * err).alias("spread"), "vectors")
 
 
-@query("p34_dropout", f"WITH {VEC} SELECT vec_id, count(*) AS n, true AS zero_or_same FROM vec GROUP BY 1")
+@query("p34_dropout", f"WITH {VEC} SELECT vec_id, round(sum(CASE WHEN {_uniform(1, 29, 'vec_id')} <= 0.3 THEN 0 ELSE x END), 6) AS total, {_uniform(1, 29, 'vec_id')} <= 0.3 AS zeroed FROM vec GROUP BY vec_id")
 def _(spark, sf):
+    """Which vectors are zeroed, and what is left of each."""
     d = vectors(spark, sf).withColumn("y", vec.dropped(F.col("v"), 0.3, 29, [F.col("vec_id")]))
-    zero = F.forall("y", lambda x: x == 0)
-    return d.select("vec_id", F.size("y").cast("long").alias("n"), (zero | (F.col("y") == F.col("v"))).alias("zero_or_same"))
+    return d.select("vec_id", r6(F.aggregate("y", F.lit(0.0), lambda a, x: a + x), "total"), F.forall("y", lambda x: x == 0).alias("zeroed"))
 
 
 @query("p36_relative_to_absolute", f"WITH {S14}, s AS (SELECT vec_id, dim AS d, x AS ref FROM vec) SELECT j.vec_id, j.dim, round(CASE WHEN j.dim < 6 THEN 0.5 * ({CLIP.format('x')} + 1) * (mx - mn) + mn + ref ELSE {CLIP.format('x')} END, 6) AS y FROM j JOIN s ON s.vec_id = j.vec_id AND s.d = j.dim + 20")
@@ -276,11 +290,14 @@ def _(spark, sf):
     return _rounded(vec.statistics(long, ["t", "dim"]), ["t", "dim"])
 
 
-@query("k5_statistics_document", f"WITH {VEC} SELECT label AS tag, true AS has_mean, count(DISTINCT dim) AS dims FROM vec WHERE dim < 3 GROUP BY 1")
+@query("k5_statistics_document", f"WITH {VEC} SELECT label AS tag, dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS least, round(max(x), 6) AS most, round(quantile_cont(x, 0.01), 6) AS q01, round(quantile_cont(x, 0.99), 6) AS q99 FROM vec WHERE dim < 3 GROUP BY 1, 2")
 def _(spark, sf):
     s = vec.statistics(_long(spark, sf, 0, 3), ["label", "dim"]).withColumn("key", F.lit("action")).withColumnRenamed("label", "tag")
     doc = writers.statistics_document(s, "tag", "key", ["dim"], ["mean", "std", "min", "max", "q01", "q99"])
-    return doc.select("tag", F.col("json").contains('"mean"').alias("has_mean"), F.size(F.from_json(F.get_json_object("json", "$.action.mean"), "array<double>")).cast("long").alias("dims"))
+    kinds = ("mean", "std", "min", "max", "q01", "q99")
+    read = doc.select("tag", F.from_json("json", f"action struct<{','.join(f'{k}:array<double>' for k in kinds)}>")["action"].alias("a"))
+    each = read.select("tag", F.posexplode(F.arrays_zip(*[F.col(f"a.{k}").alias(k) for k in kinds])).alias("dim", "s"))
+    return each.select("tag", F.col("dim").cast("long").alias("dim"), *[r6(F.col(f"s.{k}"), {"min": "least", "max": "most"}.get(k, k)) for k in kinds])
 
 
 @query("r8_transform_chain", f"WITH {S14} SELECT vec_id, round(sum(x), 5) AS total FROM j GROUP BY 1")
