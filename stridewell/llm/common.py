@@ -38,9 +38,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is named, as in tests."""
+    """The folder that driver and executors share; a local one is made only where none is named and all of Spark is here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='stridewell-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
