@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import numbered, running_sum
+from .ranges import numbered, order_statistics, running_sum
+
+#: Rows of a sample that one task may hold.
+MOST_TAKEN = 100_000
 
 
 def order_key(keys: list[str], seed: int) -> Column:
@@ -33,9 +36,27 @@ def split(df: DataFrame, keys: list[str], seed: int, train: float) -> DataFrame:
     return out.withColumn("split", F.when(F.col("place") < first, "train").when(F.col("place") < second, "val").otherwise("test"))
 
 
+def smallest(df: DataFrame, key: str, ties: list[str], n: int) -> DataFrame:
+    """The n rows of the smallest keys; of equal keys those that come first by `ties`.
+
+    Up to MOST_TAKEN rows are merged from each task's first n. For more, the last key that is in is an order statistic, so
+    that nothing is sorted and no task holds the sample.
+    """
+    if n <= MOST_TAKEN:
+        return df.orderBy(key, *ties).limit(n)
+    total = df.count()
+    if n >= total:
+        return df
+    _, found = order_statistics(df.select(key).withColumn("_all", F.lit(0)), ["_all"], key, [(n / total, [F.lit(n - 1)])])
+    cut = found.first()["x"]
+    below, last = df.where(F.col(key) < F.lit(cut)), df.where(F.col(key) == F.lit(cut))
+    left = n - below.count()
+    return below.union(smallest(last, ties[0], ties[1:], left) if ties else last.limit(left))
+
+
 def sample(df: DataFrame, keys: list[str], seed: int, n: int) -> DataFrame:
     """n rows without replacement."""
-    return df.withColumn("_key", order_key(keys, seed)).orderBy("_key", *keys).limit(n).drop("_key")
+    return smallest(df.withColumn("_key", order_key(keys, seed)), "_key", keys, n).drop("_key")
 
 
 def reservoir(df: DataFrame, by: list[str], keys: list[str], seed: int, n: int) -> DataFrame:
@@ -55,7 +76,7 @@ def sample_share(df: DataFrame, keys: list[str], seed: int, share: float) -> Dat
 def weighted_sample(df: DataFrame, keys: list[str], weight: Column, seed: int, n: int) -> DataFrame:
     """n rows without replacement, drawn in proportion to weights (1e-8 at least): the smallest -ln(u) / w."""
     u = (order_key(keys, seed) % (1 << 40) + 1) / F.lit(float((1 << 40) + 1))
-    return df.withColumn("_key", -F.log(u) / F.greatest(weight, F.lit(1e-8))).orderBy("_key", *keys).limit(n).drop("_key")
+    return smallest(df.withColumn("_key", -F.log(u) / F.greatest(weight, F.lit(1e-8))), "_key", keys, n).drop("_key")
 
 
 def greedy(df: DataFrame, length: str, order: list[str], target: float, by: list[str] | None = None) -> DataFrame:

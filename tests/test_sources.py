@@ -156,6 +156,18 @@ def test_reservoirs_merge(spark):
     assert all(2 <= drawn.count(i) <= 20 for i in range(20))
 
 
+@pytest.mark.parametrize("n", [0, 1, 37, 499, 500, 900])
+def test_large_samples_are_the_same_rows(spark, monkeypatch, n):
+    """Also where keys tie: by the columns that settle ties."""
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("g"), (F.col("id") % 50).alias("k"))
+    want = [tuple(r) for r in df.orderBy("k", "g", "id").limit(n).collect()]
+    drawn = {tuple(r) for r in sampling.sample(df, ["id"], 9, n).collect()}
+    monkeypatch.setattr(sampling, "MOST_TAKEN", 0)
+    if n:
+        assert sorted(tuple(r) for r in sampling.smallest(df, "k", ["g", "id"], n).collect()) == sorted(want)
+        assert {tuple(r) for r in sampling.sample(df, ["id"], 9, n).collect()} == drawn
+
+
 def test_weighted_sample_follows_weights(spark):
     """A row of three times the weight comes first about three times as often."""
     df = spark.createDataFrame([(0, 3.0), (1, 1.0)], "id long, w double")
