@@ -2,7 +2,7 @@
 
 Rows wait in state until the watermark has passed their time, as only then no earlier row can come; they leave in order
 of their step. An episode ends with the row that says so, or when nothing has come for a while; then all of its state and
-timers go. Rows behind the watermark are dropped by Spark. State is what waits and n numbers an episode; it is kept in the
+timers go. Rows behind the watermark are dropped. State is what waits and n numbers an episode; it is kept in the
 stream's checkpoint (RocksDB), so a restart goes on where the last run stopped.
 """
 
@@ -30,10 +30,14 @@ class _History(StatefulProcessor):
         self.closing = handle.getValueState("closing", "at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        times = []
+        times, passed = [], timerValues.getCurrentWatermarkInMs()
         for r in rows:
+            if r["_at"] < passed:  # Spark itself drops only what the last batch's watermark had passed
+                continue
             self.waiting.updateValue((r["_step"],), (r["_at"], r["_value"], bool(r["_last"])))
             times.append(r["_at"])
+        if not times:
+            return
         for at in {min(times), max(times)}:
             self.handle.registerTimer(at)
         close = max(times) + self.idle_ms

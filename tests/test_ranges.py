@@ -41,7 +41,7 @@ def grouped(rows):
     return out
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 20, 2])
+@pytest.mark.parametrize("accuracy", [10_000, 2])
 def test_quantiles_are_exact(many, monkeypatch, accuracy):
     """Whatever the sketch proposes: with an accuracy of 2 its stretches are far off."""
     monkeypatch.setattr(ranges, "ACCURACY", accuracy)
@@ -83,7 +83,7 @@ def test_top_fraction_of_a_hot_task(many, fraction, threshold, least):
 
 
 @pytest.mark.parametrize("segment", [100, 1 << 16])
-@pytest.mark.parametrize("size", [1, 7, 100])
+@pytest.mark.parametrize("size", [1, 100])
 def test_moving_average_of_a_hot_group(many, monkeypatch, segment, size):
     monkeypatch.setattr(ranges, "SEGMENT", segment)
     rows = [(g, i, x) for g, i, x in rows_of(4) if x is not None]
