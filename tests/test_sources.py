@@ -2,13 +2,15 @@
 
 import json
 import os
+import pickle
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stridewell.operators import collate, sampling, views
-from stridewell.sources import cache, documents, readers
+from stridewell.sources import cache, documents, readers, rollouts
 from stridewell.sources.shared import shared_dir
 
 
@@ -122,6 +124,40 @@ def test_health_of_files(spark, tmp_path):
     assert got == {"ok.bin": "ok", "short.bin": "truncated", "empty.bin": "empty", "gone.bin": "missing", "unknown.bin": "ok"}
 
 
+class Evil:
+    def __reduce__(self):
+        return os.system, ("touch /tmp/never",)
+
+
+def test_pickles_are_data_alone(spark, tmp_path):
+    whole = {"states": np.arange(6.0).reshape(3, 2), "actions": np.ones((3, 2), np.float32), "length": np.int64(3), "timestamps": np.array([0.0, 0.5, 1.0])}
+    cases = {
+        "ok_success.pkl": whole, "plain.pkl": {"states": [[1, 2]], "actions": [[3, 4]], "success": True}, "wide.pkl": whole | {"states": np.zeros((3, 4))},
+        "short.pkl": whole | {"length": 2}, "times.pkl": whole | {"timestamps": [1.0]}, "none.pkl": {"states": []}, "evil.pkl": {"states": Evil(), "actions": [[1, 2]]},
+    }
+    for name, x in cases.items():
+        (tmp_path / name).write_bytes(pickle.dumps(x))
+    got = {}
+    for r in rollouts.rollouts(spark, str(tmp_path), 2, 10.0, "report").collect():
+        got.setdefault(os.path.basename(r["path"]), []).append(r)
+    assert [(r["frame_index"], r["state"], r["action"], r["timestamp"], r["success"]) for r in got["ok_success.pkl"]] == [(k, [2.0 * k, 2.0 * k + 1], [1.0, 1.0], 0.5 * k, True) for k in range(3)]
+    assert got["plain.pkl"][0]["success"] and got["plain.pkl"][0]["problem"] is None
+    assert {n: rs[0]["problem"] for n, rs in got.items() if rs[0]["problem"]}.keys() == {"wide.pkl", "short.pkl", "times.pkl", "none.pkl", "evil.pkl"}
+    assert "not data" in got["evil.pkl"][0]["problem"] and "[3, 4]" in got["wide.pkl"][0]["problem"]
+    with pytest.raises(Exception, match="not data"):
+        rollouts.rollouts(spark, str(tmp_path / "evil.pkl"), 2).collect()
+
+
+def test_initial_actions(spark, tmp_path):
+    sets = [{"t0": {"arm": np.array([[1.0, 2.0], [3.0, 4.0]]), "hand": np.array([5.0])}, "t1": {"arm": np.zeros((0, 2))}}, {}]
+    np.savez(tmp_path / "a.npz", sets)
+    got = {(r["dataset"], r["trajectory"], r["key"]): (r["action"], r["shape"]) for r in rollouts.initial_actions(spark, str(tmp_path)).collect()}
+    assert got == {(0, "t0", "arm"): ([1.0, 2.0, 3.0, 4.0], [2, 2]), (0, "t0", "hand"): ([5.0], [1]), (0, "t1", "arm"): ([], [0, 2])}
+    np.savez(tmp_path / "b.npz", np.array([Evil()], dtype=object))
+    with pytest.raises(Exception, match="not data"):
+        rollouts.initial_actions(spark, str(tmp_path / "b.npz")).collect()
+
+
 def test_views_of_a_mixture(spark):
     rows = [
         ("m", "a", "left_gripper", 9), ("m", "a", "head", 5), ("m", "b", "left_hand", 4), ("m", "b", "head", 5), ("m", "b", "extra", 1),
