@@ -57,10 +57,11 @@ class WordIds:
 
     Plain words are encoded many at once, as a text with spaces between; as the tokenizer drops spaces and keeps all
     other bytes, the bytes of the ids tell where each word ends. Where they do not, and for other words, each is
-    encoded by itself. Ids are kept from batch to batch for at most MOST_KEPT words.
+    encoded by itself. Ids are kept from batch to batch for at most `most` words.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, most: int = 0):
+        self.most = most or MOST_KEPT
         t = Tokenizer.from_str(spec)
         self.encode = t.encode_batch_fast
         vocab = t.get_vocab()
@@ -114,7 +115,7 @@ class WordIds:
         """Place and number of each word's ids, and the ids in which they are."""
         at = pc.index_in(words, value_set=self.words)
         new = words.filter(at.is_null())
-        if len(self.words) + len(new) > MOST_KEPT:  # only what came again stays
+        if len(self.words) + len(new) > self.most:  # only what came again stays
             again = np.unique(at.drop_null().to_numpy())
             self.ids = self.ids[tk.flat_ranges(self.first[again], self.size[again])]
             self.words, self.size = self.words.take(pa.array(again)), self.size[again]
@@ -130,15 +131,15 @@ class WordIds:
         return self.first[place], self.size[place], self.ids
 
 
-_kept: dict[str, WordIds] = {}
+_kept: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(spec: str) -> WordIds:
+def word_ids(spec: str, most: int = 0) -> WordIds:
     """One for each tokenizer and worker, so that tasks share what is kept."""
-    if spec not in _kept:
+    if (spec, most) not in _kept:
         _kept.clear()
-        _kept[spec] = WordIds(spec)
-    return _kept[spec]
+        _kept[spec, most] = WordIds(spec, most)
+    return _kept[spec, most]
 
 
 def token_rows(data: np.ndarray, offsets: np.ndarray, words: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,6 +226,7 @@ SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def pack(t: pa.Table, length: int, kind: type, keep_ids: bool) -> pa.Table:
     """One range's pieces."""
+    _kept.clear()  # the worker has nothing more to tokenize
     if not t.num_rows:
         return SCHEMA.empty_table()
     doc, raw, breaks = (t.column(c).to_pylist() for c in ("doc_id", "ids", "breaks"))
@@ -246,11 +248,11 @@ def pack(t: pa.Table, length: int, kind: type, keep_ids: bool) -> pa.Table:
     return pa.Table.from_batches([common.rows(SCHEMA, doc_id=names, start=a - begin[of], length=z - a, ids_crc32=[zlib.crc32(p) for p in pieces], doc_tokens=size[of], sequence_id=seq + high, offset=a - opened, ids=pieces if keep_ids else [None] * len(pieces))])
 
 
-def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int = LENGTH, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int = LENGTH, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, most_kept: int = MOST_KEPT) -> DataFrame:
     """The pieces of all texts (columns of SCHEMA; ids: little-endian 32-bit, if kept).
 
     spec: a tokenizer's JSON, one that splits at white space and drops it. block: bytes of text that a worker tokenizes
-    at once; more take less time and more memory, and the pieces are the same.
+    at once, most_kept: words whose ids it keeps; more take less time and more memory, and the pieces are the same.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -261,7 +263,7 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
     kind = np.uint16 if max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(shared.value)
+        words = word_ids(shared.value, most_kept)
         for t in common.gathered(batches, block):
             b = t.to_batches()[0]
             data, offsets = common.utf8(b.column(1))
