@@ -14,8 +14,8 @@ from stridewell.llm.queries import tokenizer_spec
 
 #: Rows that may be broadcast by their number (8 bytes each), after counting them; more are joined by shuffle.
 MOST_BROADCAST = 500_000
-#: Bytes that packing tokenizes at once: few, as what earlier stages used is still held by executors.
-PACKED_AT_ONCE = 2 << 20
+#: Bytes that packing tokenizes at once, and words that it keeps: few, as what earlier stages used is still held by executors.
+PACKED_AT_ONCE, WORDS_KEPT = 1 << 20, 60_000
 #: Words of the shortest passage that goes: "over 50".
 PASSAGE = 51
 
@@ -67,7 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 4096 tokens, with their ids."""
-    return packing.pack_documents(docs, tokenizer_spec(), block=PACKED_AT_ONCE)
+    return packing.pack_documents(docs, tokenizer_spec(), block=PACKED_AT_ONCE, most_kept=WORDS_KEPT)
 
 
 STAGES = [
