@@ -226,7 +226,6 @@ SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def pack(t: pa.Table, length: int, kind: type, keep_ids: bool) -> pa.Table:
     """One range's pieces."""
-    _kept.clear()  # the worker has nothing more to tokenize
     if not t.num_rows:
         return SCHEMA.empty_table()
     doc, raw, breaks = (t.column(c).to_pylist() for c in ("doc_id", "ids", "breaks"))
@@ -253,6 +252,7 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
 
     spec: a tokenizer's JSON, one that splits at white space and drops it. block: bytes of text that a worker tokenizes
     at once, most_kept: words whose ids it keeps; more take less time and more memory, and the pieces are the same.
+    With fewer than MOST_KEPT a worker also gives its tokenizer back once tokenizing is over.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -281,4 +281,10 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int = END_ID, length: int
                 ], names=["doc_id", "bucket", "ids", "breaks"])
 
     made = src.mapInArrow(common.trimmed(tokens), "doc_id long, bucket int, ids binary, breaks binary")
-    return made.groupBy("bucket").applyInArrow(lambda t: pack(t, length, kind, keep_ids), SQL)
+
+    def packed(t: pa.Table) -> pa.Table:
+        if most_kept < MOST_KEPT:
+            _kept.clear()
+        return pack(t, length, kind, keep_ids)
+
+    return made.groupBy("bucket").applyInArrow(packed, SQL)
