@@ -102,11 +102,11 @@ def order_statistics(df: DataFrame, by: list[str], value: str, wanted: list[tupl
     some = df.where(x.isNotNull())
     groups = df.groupBy(*by).agg(F.count(x).alias("n"), F.percentile_approx(x, ends, ACCURACY).alias("_ends"), *aggs)
 
-    bounds = groups.where("n > 0").select(*by, "n", "_ends")
-    counts = some.alias("d").join(bounds.alias("b"), same("d", "b", by)).select("d.*", "b.n", "b._ends")
+    bounds = groups.where("n > 0").select(*by, "n", "_ends")  # a row for each group
     below = [F.count_if(x < F.col("_ends")[2 * i]).alias(f"_b{i}") for i in range(len(wanted))]
     upto = [F.count_if(x <= F.col("_ends")[2 * i + 1]).alias(f"_u{i}") for i in range(len(wanted))]
-    counts = counts.groupBy(*by, "n", "_ends").agg(*below, *upto)
+    counts = some.alias("d").join(bounds.alias("b"), same("d", "b", by)).select(*[f"d.{c}" for c in by], f"d.{value}", "b._ends").groupBy(*by).agg(*below, *upto)
+    counts = counts.alias("c").join(bounds.alias("b"), same("c", "b", by)).select("c.*", "b.n", "b._ends")
     points = []
     for i, (_, ranks) in enumerate(wanted):
         lo, hi, b, u = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1], F.col(f"_b{i}"), F.col(f"_u{i}")
@@ -115,14 +115,16 @@ def order_statistics(df: DataFrame, by: list[str], value: str, wanted: list[tupl
             zone = F.when(r < b, -1).when(r < u, 0).otherwise(1)
             points.append(F.struct(F.lit(i).alias("point"), r.alias("rank"), zone.alias("zone"), lo.alias("lo"), hi.alias("hi"), F.when(r < b, F.lit(0)).when(r < u, b).otherwise(u).alias("before")))
     points = counts.select(*by, F.explode(F.array_distinct(F.array(*points))).alias("_p")).select(*by, "_p.*")
-    zones = points.groupBy(*by, "point", "zone", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))  # a row or two for a point
-
-    inside = F.when(F.col("z.zone") < 0, F.col(f"d.{value}") < F.col("z.lo")).when(F.col("z.zone") > 0, F.col(f"d.{value}") > F.col("z.hi")).otherwise((F.col(f"d.{value}") >= F.col("z.lo")) & (F.col(f"d.{value}") <= F.col("z.hi")))
-    held = some.alias("d").join(zones.alias("z"), same("d", "z", by) & inside).select(*[F.col(f"d.{c}") for c in by], F.col(f"d.{value}").alias("x"), "z.point", "z.zone", "z.before", "z.ranks")
-    held = held.groupBy(*by, "point", "zone", "before", "ranks", "x").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.col("before") + F.sum("_c").over(Window.partitionBy(*by, "point", "zone").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    held = held.withColumn("_upto", upto).withColumn("rank", F.explode("ranks"))
-    return groups.drop("_ends"), held.where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c"))).select(*by, "point", "rank", "x")
+
+    # each row beside the few stretches of its group in which it lies
+    stretches = points.groupBy(*by).agg(F.collect_set(F.struct("point", "zone", "lo", "hi")).alias("_z"))
+    near_rows = some.alias("d").join(stretches.alias("z"), same("d", "z", by)).select(*[f"d.{c}" for c in by], F.col(f"d.{value}").alias("x"), "z._z")
+    v = F.col("x")
+    near_rows = near_rows.select(*by, "x", F.explode(F.filter("_z", lambda z: F.when(z["zone"] < 0, v < z["lo"]).when(z["zone"] > 0, v > z["hi"]).otherwise((v >= z["lo"]) & (v <= z["hi"])))).alias("_z"))
+    held = near_rows.groupBy(*by, F.col("_z.point").alias("point"), F.col("_z.zone").alias("zone"), "x").agg(F.count(F.lit(1)).alias("_c"))
+    held = held.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "point", "zone").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    found = held.alias("h").join(points.alias("p"), same("h", "p", [*by, "point", "zone"])).select(*[f"h.{c}" for c in by], "h.point", "p.rank", "h.x", "h._c", (F.col("p.rank") - F.col("p.before")).alias("_r"), "h._upto")
+    return groups.drop("_ends"), found.where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c"))).select(*by, "point", "rank", "x")
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float], *aggs: Column) -> DataFrame:
