@@ -143,7 +143,7 @@ def _cells(words: DataFrame, size: int) -> Iterator[DataFrame]:
         large = large.select("cell", F.lit(True).alias("large"))
         marked = dealt.join(large, "cell", "left")
         yield marked.where("large is null").select("word", "n", "cell", F.lit(cut).alias("cut"), F.lit(-1).alias("mid"))
-        rest = marked.where("large").select("word", "n")
+        rest = common.stored(marked.where("large").select("word", "n"), "large")  # else each round's plan holds the last one's twice
 
 
 def _cell_pairs(words: list[str], cut: int, mids: list[int]) -> Iterator[tuple[int, int]]:
