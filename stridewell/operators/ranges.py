@@ -8,6 +8,8 @@ ordered.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def same(left: str, right: str, columns: list[str]) -> Column:
     return out
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """df, which is to be read several times: as a stored table if making it deals rows out, else as it is."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return stored(df, what) if re.search(r"^\W*(?:Window|Join|Aggregate|Repartition|Sort)", plan, re.M) else df
+
+
 def laid(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     """df with _part, the number of a row's range of (by, order), as a stored table.
 

@@ -111,6 +111,7 @@ def top_fraction(df: DataFrame, task: str, advantage: str, position: str, fracti
     The last advantage that gets a label is an order statistic, found by counting; only rows that have just this one are
     ranked, by ranges of the position. So a task's rows are never together.
     """
+    df = ranges.settled(df, "advantages")
     best = df.where(F.col(advantage) > F.lit(threshold)).select(task, advantage)
     k = F.least(F.col("n"), F.greatest(F.lit(least), F.ceil(F.lit(fraction) * F.col("n"))))
     groups, found = ranges.order_statistics(best, [task], advantage, [(max(0.0, 1.0 - fraction), [F.col("n") - k])])
