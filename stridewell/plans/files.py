@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -102,17 +103,19 @@ def _(spark, sf):
     """A file for ten users; some were never written, some have no bytes, some lost their last row."""
     root = _folder(spark, "health")
     rows = table(spark, sf, "events").withColumn("user_id", F.expr("user_id div 10"))
-    rows = rows.select("user_id", "event_id", F.to_json(F.struct("event_id", "event_type", "value")).alias("line"), F.expr(FATES).alias("fate"))
-    whole = rows.groupBy("user_id", "fate").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("event_id").alias("last"))
-    kept = rows.join(whole.select("user_id", "last"), "user_id").where("fate = 'ok' or (fate = 'truncated' and event_id <> last)")
-    kept.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), "line").repartition("user").write.partitionBy("user").text(root)
+    user = F.concat(F.lit("u"), F.coalesce(F.col("user_id").cast("string"), F.lit("none"))).alias("user")
+    rows = rows.select("user_id", user, "event_id", F.to_json(F.struct("event_id", "event_type", "value")).alias("line"), F.expr(FATES).alias("fate"))
+    whole = rows.groupBy("user_id", "user", "fate").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+    back = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("event_id")))
+    kept = rows.where("fate in ('ok', 'truncated')").withColumn("back", back).where("fate = 'ok' or back > 1")
+    kept.select("user", "line").write.partitionBy("user").text(root)
     # Spark names the files; what is wanted is known by folder
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.regexp_extract("path", r"/user=u(\d+)/", 1).cast("long").alias("user_id"))
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.regexp_extract("path", r"/user=(u-?\w+)/", 1).alias("user"))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in whole.where("fate = 'empty'").select("user_id").toLocalIterator():
-        fs.create(hadoop(f"{root}/user=u{r['user_id']}/empty.txt")).close()
-    wanted = whole.join(names, "user_id", "left").select("user_id", "rows", "bytes", F.coalesce("path", F.concat(F.lit(f"{root}/user=u"), F.col("user_id").cast("string"), F.lit("/empty.txt"))).alias("path"))
+    for r in whole.where("fate = 'empty'").select("user").toLocalIterator():
+        fs.create(hadoop(f"{root}/user={r['user']}/empty.txt")).close()
+    wanted = whole.join(names, "user", "left").select("user_id", "rows", "bytes", F.coalesce("path", F.concat(F.lit(f"{root}/user="), F.col("user"), F.lit("/empty.txt"))).alias("path"))
     return readers.health(spark, wanted, "path", root, "bytes").select("user_id", "rows", "state")
 
 

@@ -108,20 +108,23 @@ def health(spark: SparkSession, wanted: DataFrame, path: str, root: str, size: s
     """wanted with state: missing, empty, truncated (fewer bytes than the column `size` says) or ok.
 
     One listing of root tells all lengths; no file is opened. Spark's sources leave files of no bytes out of their rows, so
-    these alone are asked of the store by name.
+    these alone are asked of the store by name. Paths without a scheme are those of the default store, as for Spark.
     """
+    store = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).getUri().toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    listed = files.select(_one_slash(F.col("path")).alias("_p"), F.col("length").alias("_n"))
-    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, root)], "_p string").select(_one_slash(F.col("_p")).alias("_p"), F.lit(0).cast("long").alias("_n"))
-    out = wanted.join(listed.union(empty), _one_slash(F.col(path)) == F.col("_p"), "left")
+    listed = files.select(_qualified(F.col("path"), store).alias("_p"), F.col("length").alias("_n"))
+    empty = spark.createDataFrame([(p,) for p in _empty_files(spark, root)], "_p string").select(_qualified(F.col("_p"), store).alias("_p"), F.lit(0).cast("long").alias("_n"))
+    out = wanted.join(listed.union(empty), _qualified(F.col(path), store) == F.col("_p"), "left")
     state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 0, "empty")
     if size:
         state = state.when(F.col("_n") < F.col(size), "truncated")
     return out.withColumn("state", state.otherwise("ok")).drop("_p", "_n")
 
 
-def _one_slash(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "file:/")
+def _qualified(path: Column, store: str) -> Column:
+    """path with its store, and files of this machine in one of their spellings."""
+    whole = F.when(path.startswith("/"), F.concat(F.lit(store), path)).otherwise(path)
+    return F.regexp_replace(whole, "^file:/+", "file:/")
 
 
 def _empty_files(spark: SparkSession, root: str) -> list[str]:

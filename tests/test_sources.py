@@ -6,10 +6,12 @@ import pickle
 import random
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from stridewell.operators import collate, sampling, views
+from stridewell.plans import ORACLES, QUERIES, files
 from stridewell.sources import cache, documents, readers, rollouts
 from stridewell.sources.shared import shared_dir
 
@@ -124,6 +126,14 @@ def test_health_of_files(spark, tmp_path):
     assert got == {"ok.bin": "ok", "short.bin": "truncated", "empty.bin": "empty", "gone.bin": "missing", "unknown.bin": "ok"}
 
 
+def test_health_of_a_shared_folder_without_a_scheme(spark, tmp_path, monkeypatch):
+    """Users that are null or negative, and ids that occur twice, in a folder named by its path alone."""
+    rows = [(k // 4, u, "click", 0.5) for k, u in enumerate(u for u in (*range(-30, 60, 5), None) for _ in range(5))] + [(7, 75, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/sf/events.parquet")
+    monkeypatch.setattr(files, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    assert oracle.differences(QUERIES["f12_file_health"](spark, f"{tmp_path}/sf"), oracle.connect(f"{tmp_path}/sf"), ORACLES["f12_file_health"]) == []
+
+
 class Evil:
     def __reduce__(self):
         return os.system, ("touch /tmp/never",)
