@@ -121,12 +121,13 @@ def _(spark, sf):
 
 @query("s8_rollouts", f"WITH {EV} SELECT episode, step AS frame, round(value, 3) AS s0, CAST(step % 5 AS DOUBLE) AS s1, CAST(event_id % 1000 AS DOUBLE) AS a0, success, false AS broken FROM lab WHERE episode % 7 <> 3 UNION ALL SELECT episode, NULL, NULL, NULL, NULL, NULL, true FROM epi WHERE episode % 7 = 3")
 def _(spark, sf):
-    """Episodes as pickled rollouts; the length that some of them state is not that of their rows."""
+    """Episodes as pickled rollouts, many to a file; the length that some of them state is not that of their rows."""
     root = _folder(spark, "rollouts")
-    lab = labelled(spark, sf).withColumns({"s1": F.col("step") % 5, "a0": F.col("event_id") % 1000, "a1": F.lit(1.0), "length": F.col("length") + (F.col("episode") % 7 == 3).cast("int")})
+    lab = labelled(spark, sf).where("episode is not null").withColumns({"s1": F.col("step") % 5, "a0": F.col("event_id") % 1000, "a1": F.lit(1.0), "length": F.col("length") + (F.col("episode") % 7 == 3).cast("int")})
     rollouts.write_rollouts(lab.withColumn("run", F.concat(F.lit("e"), F.col("episode").cast("string"))), root, "run", "step", ["value", "s1"], ["a0", "a1"], ["length", "success"])
-    read = rollouts.rollouts(spark, root, 2, errors="report").withColumn("episode", F.regexp_extract("path", r"/run=e(\d+)/", 1).cast("long"))
-    return read.select("episode", F.col("frame_index").alias("frame"), F.round(F.col("state")[0].cast("double"), 3).alias("s0"), F.col("state")[1].cast("double").alias("s1"), F.col("action")[0].cast("double").alias("a0"), "success", F.col("problem").isNotNull().alias("broken"))
+    read = rollouts.unpickle(spark.read.parquet(root), 2, errors="report").withColumn("episode", F.regexp_extract("path", r"^run=e(-?\d+)$", 1).cast("long"))
+    s0 = F.nullif(F.round(F.col("state")[0].cast("double"), 3), F.lit(float("nan")))
+    return read.select("episode", F.col("frame_index").alias("frame"), s0.alias("s0"), F.col("state")[1].cast("double").alias("s1"), F.col("action")[0].cast("double").alias("a0"), "success", F.col("problem").isNotNull().alias("broken"))
 
 
 @query("s12_config_key", "SELECT l_returnflag || l_linestatus AS name, substring(md5('v2|stride=3|' || l_returnflag || l_linestatus), 1, 12) AS key FROM lineitem GROUP BY 1, 2")

@@ -231,3 +231,16 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Elsewhere)
+
+
+def test_rollouts_are_not_a_file_each(spark, tmp_path):
+    """200 runs give no more files than there are tasks, and come back in order; a null is NaN."""
+    df = spark.range(600).selectExpr("concat('r', id % 200) as run", "2 - id div 200 as step", "if(id = 7, null, id) as x", "id * 2.0 as y", "id % 2 = 0 as success").repartition(8)
+    rollouts.write_rollouts(df, f"{tmp_path}/runs", "run", "step", ["x", "y"], ["y", "x"], ["success"])
+    assert len(list((tmp_path / "runs").rglob("*.parquet"))) <= 8 and not any(p.is_dir() for p in (tmp_path / "runs").iterdir())
+    got = rollouts.unpickle(spark.read.parquet(f"{tmp_path}/runs"), 2).orderBy("path", "frame_index").collect()
+    assert len(got) == 600 and {r["path"] for r in got} == {f"run=r{k}" for k in range(200)}
+    for r in got:
+        i = 200 * (2 - r["frame_index"]) + int(r["path"][5:])
+        assert r["state"][1] == r["action"][0] == 2 * i and r["success"] == (i % 2 == 0) and r["problem"] is None
+        assert np.isnan(r["state"][0]) if i == 7 else r["state"][0] == r["action"][1] == i
