@@ -21,10 +21,10 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     size = both.count()
     now = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root")
     while True:
-        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
-        took = now.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
+        near = both.join(common.shuffled(now), F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
+        took = now.join(common.shuffled(near), F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
         jump = now.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        nxt = took.join(jump, "root", "left").select("node", "old", F.least("root", "far").alias("root"))
+        nxt = took.join(common.shuffled(jump), "root", "left").select("node", "old", F.least("root", "far").alias("root"))
         moved = Observation()
         path = []
         now = common.stored(nxt.observe(moved, F.count(F.when(F.col("root") != F.col("old"), 1)).alias("n")), "labels", path, size).select("node", "root")

@@ -277,8 +277,8 @@ def _of_large(hot: DataFrame, most: int, held: list[str]) -> DataFrame:
     """Links of keys with many rows: hot has key, fp, own, n and head, the key's fingerprint of most documents."""
     star = common.stored(hot.where("fp <> head").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= most).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct(), "star", held)
     of = graph.components(star)
-    marked = hot.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    marked = marked.join(of.select(F.col("node").alias("head"), F.col("root").alias("far")), "head", "left").withColumn("rest", F.col("root") != F.coalesce("far", "head"))
+    marked = hot.join(common.shuffled(of.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = marked.join(common.shuffled(of.select(F.col("node").alias("head"), F.col("root").alias("far"))), "head", "left").withColumn("rest", F.col("root") != F.coalesce("far", "head"))
     marked = common.stored(marked.select("key", "fp", "own", "n", "rest"), "marked", held)
     some = marked.groupBy("key").agg(F.count_if("rest").alias("r")).where("r > 0")
     marked = marked.join(some, "key").withColumns({"rb": F.ceil(F.col("r") / F.lit(KEY_ROWS)).cast("int"), "ab": F.ceil(F.col("n") / F.lit(KEY_ROWS)).cast("int")})
@@ -302,7 +302,7 @@ def links(fps: DataFrame, masks: list[tuple[int, list[int]]], n: int, most: int,
     """a, b: links that join all fingerprints of fps (fp, copies; different ones, n) that differ by at most `most` bits."""
     entries = _entries(fps, masks)
     keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("k")).where("n > 1 and k > 0")
-    both = common.stored(entries.join(keys, "key").select("key", "fp", "own", "n"), "candidates", held)
+    both = common.stored(entries.join(common.shuffled(keys), "key").select("key", "fp", "own", "n"), "candidates", held)
     groups = F.lit(max(1, both.count() // GROUP_ROWS))
 
     def run(t: pa.Table) -> pa.Table:
@@ -312,7 +312,7 @@ def links(fps: DataFrame, masks: list[tuple[int, list[int]]], n: int, most: int,
     out = few.groupBy("part").applyInArrow(run, "a long, b long")
     large = both.where(F.col("n") > KEY_ROWS)
     if not large.isEmpty():
-        heads = large.where("own").join(fps.select("fp", "copies"), "fp").groupBy("key").agg(F.max(F.struct("copies", "fp"))["fp"].alias("head"))
+        heads = large.where("own").join(common.shuffled(fps.select("fp", "copies")), "fp").groupBy("key").agg(F.max(F.struct("copies", "fp"))["fp"].alias("head"))
         out = out.union(_of_large(common.stored(large.join(heads, "key"), "large", held), most, held))
     return common.stored(out, "near", held, n)
 
@@ -337,7 +337,7 @@ def simhash_components(docs: DataFrame, most: int = 4, doc_id: str = "doc_id", t
     common.discard(spark, held)
 
     # fingerprints that are linked, or that several documents have; all others are their document's own
-    of = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
-    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    out = rows.join(of, "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    of = fps.join(common.shuffled(found.withColumnRenamed("node", "fp")), "fp", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
+    of = of.join(common.shuffled(of.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("fp", "component_id")
+    out = rows.join(common.shuffled(of), "fp", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return common.compact(out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), rows.count())

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stridewell.llm import bwt, common, context_mixing, decontam, fingerprint, graph, html_extract, langid, learning, packing, quality, queries, shingle_join, suffix_dedup, textkernel, toxicity
+from stridewell.llm import bwt, common, context_mixing, decontam, fingerprint, graph, html_extract, langid, learning, packing, quality, queries, shingle_join, simhash, suffix_dedup, textkernel, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -793,3 +793,19 @@ def test_labels_never_use_held_out_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     got = {r.doc_id: r.h for r in df.select("doc_id", learning.held(F.col("doc_id"), 5, 0).alias("h")).collect()}
     assert got == {i: crc(i, 5) == 0 for i in range(50)}
+
+
+def test_simhash_joins_nothing_that_grows_through_the_driver(spark, monkeypatch):
+    """No join of its tables is by broadcast, however small Spark takes them to be."""
+    plans, store = [], common.stored
+
+    def seen(df, *a, **b):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, *a, **b)
+
+    monkeypatch.setattr(common, "stored", seen)
+    texts = [f"a b c d e f g h {k // 3} i j k l m n o p" for k in range(60)]
+    out = simhash.simhash_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
+    assert all(r["component_id"] <= r["doc_id"] // 3 * 3 for r in out.collect())
