@@ -261,7 +261,10 @@ def _by_transform(t: pa.Table, kind: type) -> pa.Table:
         got = np.flatnonzero(high >= 0)
         some, shift = mine.take(pa.array(got)), mine.column("shift").to_numpy()[got]
         found.append(pa.table({"root_key": some.column("root_key"), "root_same": some.column("root_same"), "low": pa.array((low[got] + shift).astype(np.int32)), "high": pa.array((high[got] + shift).astype(np.int32))}))
-    return pa.concat_tables(found)
+    out = pa.concat_tables(found)
+    del mine, left, right, some
+    common.give_back()  # the worker lives on beside later stages
+    return out
 
 
 def _split(rows: DataFrame, wide: int) -> DataFrame:

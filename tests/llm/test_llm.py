@@ -809,3 +809,14 @@ def test_simhash_joins_nothing_that_grows_through_the_driver(spark, monkeypatch)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
     assert all(r["component_id"] <= r["doc_id"] // 3 * 3 for r in out.collect())
+
+
+def test_merged_transforms_give_memory_back(monkeypatch):
+    """Workers of groups, which live on, give back what a group took."""
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    a = np.arange(4, dtype=np.int64)
+    side = pa.array([b"ab"] * 4, pa.binary())
+    four = pa.array(np.full(4, 2, np.int32))
+    t = pa.table({"key": a // 4, "same": a, "left": side, "right": side, "around": four, "shift": pa.array(np.zeros(4, np.int32)), "root_key": a // 4, "root_same": a})
+    assert suffix_dedup._by_transform(t, np.uint8).num_rows == 4 and done
