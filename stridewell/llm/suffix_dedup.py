@@ -217,7 +217,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame, few: bool, unit: Unit) -> DataF
                 x, y = int(ends[i]), int(ends[j])
                 if x == y:
                     continue
-                part, wide, raw = w.slice(x, y - x), d.itemsize, memoryview(np.ascontiguousarray(d)).cast("B")
+                part, wide, raw = w.slice(x, y - x), d.itemsize, d.tobytes()  # pyarrow never lets go of views that it makes arrays of
                 start, before, after, key, same, count = (part.field(f) for f in range(6))
                 row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
                 c = start.to_numpy() + offs[row]

@@ -1,6 +1,7 @@
 """The text operators against brute force, round trips and held-out labels, and on awkward tables."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import math
@@ -820,3 +821,25 @@ def test_merged_transforms_give_memory_back(monkeypatch):
     four = pa.array(np.full(4, 2, np.int32))
     t = pa.table({"key": a // 4, "same": a, "left": side, "right": side, "around": four, "shift": pa.array(np.zeros(4, np.int32)), "root_key": a // 4, "root_same": a})
     assert suffix_dedup._by_transform(t, np.uint8).num_rows == 4 and done
+
+
+@pytest.mark.parametrize("unit", [suffix_dedup.of_bytes(400), suffix_dedup.of_words(51)])
+def test_workers_let_go_of_what_they_cut_out(spark, unit):
+    """What is around repeated cores is cut out by workers that live on: none of it stays in them."""
+    rng = np.random.default_rng(7)
+    word = [f"w{k:04d}" for k in range(3000)]
+    shared = [" ".join(rng.choice(word, 120)) for _ in range(20)]
+    rows = [(k, " ".join([*rng.choice(word, 40), shared[k % 20], *rng.choice(word, 40)])) for k in range(200)]
+
+    def views(batches):
+        for b in batches:
+            held = sum(isinstance(x, memoryview) for x in gc.get_objects())
+            time.sleep(0.2)  # so that each worker gets a task
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64())], names=["held"])
+
+    def most():
+        return max(r.held for r in spark.range(0, 8, 1, 8).mapInArrow(views, "held long").collect())
+
+    before = most()
+    assert suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc long, text string"), unit).count() == 200
+    assert most() < before + 50
